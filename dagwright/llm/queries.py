@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
 from .chat import OP10_SQL, op10_chat_format
 from .hamming import OP1_SQL, op1_hamming_topk
+from .langid import op6_language
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import OP5_SQL, op5_source_mix
 
@@ -11,6 +13,8 @@ QUERIES = {
     "op1_hamming_topk": op1_hamming_topk,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
+    "op6_language": op6_language,
+    "op9_bpe": op9_bpe,
     "op10_chat_format": op10_chat_format,
 }
 
