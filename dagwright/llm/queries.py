@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op9_bpe
 from .chat import OP10_SQL, op10_chat_format
 from .hamming import OP1_SQL, op1_hamming_topk
+from .jaccard import OP2_SQL, op2_jaccard
 from .langid import op6_language
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import OP5_SQL, op5_source_mix
 
 QUERIES = {
     "op1_hamming_topk": op1_hamming_topk,
+    "op2_jaccard": op2_jaccard,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_language": op6_language,
@@ -20,6 +22,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_hamming_topk": OP1_SQL,
+    "op2_jaccard": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_source_mix": OP5_SQL,
     "op10_chat_format": OP10_SQL,
