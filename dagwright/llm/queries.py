@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op9_bpe
 from .chat import OP10_SQL, op10_chat_format
 from .hamming import OP1_SQL, op1_hamming_topk
+from .html_text import op8_html_text
 from .jaccard import OP2_SQL, op2_jaccard
 from .langid import op6_language
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_language": op6_language,
+    "op8_html_text": op8_html_text,
     "op9_bpe": op9_bpe,
     "op10_chat_format": op10_chat_format,
 }
