@@ -10,10 +10,12 @@ from .jaccard import OP2_SQL, op2_jaccard
 from .langid import op6_language
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import OP5_SQL, op5_source_mix
+from .quality import op3_quality
 
 QUERIES = {
     "op1_hamming_topk": op1_hamming_topk,
     "op2_jaccard": op2_jaccard,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_language": op6_language,
