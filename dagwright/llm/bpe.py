@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +60,7 @@ class Bpe:
                 self.suffixes.add_word(b.decode("latin-1"), (i, len(b)))
         self.suffixes.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, bytes, bytes]] = {}
+        self.pieces: dict[str, tuple[int, bytes, bytes, bytes]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves token b after token a as they are.
@@ -111,10 +112,12 @@ class Bpe:
             at -= size[at]
         return ids[::-1]
 
-    def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
-        """(number of ids, the ids in decimal with commas, what they decode to)"""
-        ids = self.encode_piece(piece.encode("utf-8"))
-        found = len(ids), ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
+    def _found(self, ids: list[int]) -> tuple[int, bytes, bytes, bytes]:
+        """(number of ids, the ids in decimal with commas, what they decode to, the ids as int32)"""
+        return len(ids), ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids)), np.array(ids, np.int32).tobytes()
+
+    def _piece(self, piece: str) -> tuple[int, bytes, bytes, bytes]:
+        found = self._found(self.encode_piece(piece.encode("utf-8")))
         if len(piece) <= LONG_PIECE:
             if len(self.pieces) >= PIECES:
                 self.pieces.clear()
@@ -129,19 +132,18 @@ class Bpe:
                 if part:
                     yield bool(i % 2), part
 
-    def parts_of(self, text: str) -> list[tuple[int, bytes, bytes]]:
+    def parts_of(self, text: str) -> list[tuple[int, bytes, bytes, bytes]]:
         out, known = [], self.pieces
         for special, span in self._spans(text):
             if special:
-                i = self.special[span]
-                out.append((1, str(i).encode(), self.bytes_of[i]))
+                out.append(self._found([self.special[span]]))
                 continue
             for piece in self.split.findall(span):
                 out.append(known.get(piece) or self._piece(piece))
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [int(x) for _, ids, _ in self.parts_of(text) for x in ids.split(b",")]
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join([p[3] for p in self.parts_of(text)]), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -178,7 +180,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     def rows(batches):
         bpe = _coder(spec)
         for b in batches:
-            ids = pa.array([bpe.encode(x or "") for x in b.column("text").to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([bpe.encode(x.as_py() or "") for x in b.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(rows, _schema(documents, "ids array<int>"))

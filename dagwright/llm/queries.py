@@ -9,6 +9,7 @@ from .html_text import op8_html_text
 from .jaccard import OP2_SQL, op2_jaccard
 from .langid import op6_language
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .lm_select import op7_lm_score
 from .mixing import OP5_SQL, op5_source_mix
 from .quality import op3_quality
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_language": op6_language,
+    "op7_lm_score": op7_lm_score,
     "op8_html_text": op8_html_text,
     "op9_bpe": op9_bpe,
     "op10_chat_format": op10_chat_format,
