@@ -34,6 +34,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     probes every part with every mask of weight r, verifies whole codes, and a
     query is done once its kth distance is at most ``segments * (r + 1) - 1``:
     nothing nearer can be left unseen. Level r = part width covers all codes.
+    Codes are verified within the join, which lets through only what is as near
+    as the kth neighbour found so far.
 
     Rows with one code are one entry of the index, with their k smallest ids, so
     a code that many rows share costs what a single one does; equal query codes
@@ -56,20 +58,22 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     ids = written(ids, "codes")
     parts = F.explode(F.array(*[F.struct(F.lit(j).alias("part"), F.expr(_segment("code", j, width)).alias("value")) for j in range(segments)]))
     table = written(ids.select("code", "ids", parts.alias("p")).select("p.*", "code", "ids"), "parts")
-    todo = written(queries.filter("code is not null").select(F.col("code").alias("q")).distinct(), "queries")
+    todo = written(queries.filter("code is not null").select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)), "queries")
     best = None
     done: list[DataFrame] = []
     xor = "(q ^ code)"
     apart = [f"bit_count({_segment(xor, j, width)})" for j in range(segments)]
     for level in range(width + 1):
         masks = F.expr(f"filter(sequence(0, {(1 << width) - 1}), m -> bit_count(m) = {level})")
-        probe = todo.select("q", F.explode(masks).alias("mask")).select(
-            "q", F.explode(F.array(*[F.struct(F.lit(j).alias("part"), (F.expr(_segment("q", j, width)).bitwiseXOR(F.col("mask"))).alias("value")) for j in range(segments)])).alias("p")
-        ).select("q", "p.*")
+        probe = todo.select("q", "bound", F.explode(masks).alias("mask")).select(
+            "q", "bound", F.explode(F.array(*[F.struct(F.lit(j).alias("part"), (F.expr(_segment("q", j, width)).bitwiseXOR(F.col("mask"))).alias("value")) for j in range(segments)])).alias("p")
+        ).select("q", "bound", "p.*")
+        # The planner sees the probes' size from before the explode: no broadcast.
         # A pair meets again at other parts and levels; it counts where its nearest part lies.
         nearest = f"least({', '.join(apart)})" if segments > 1 else apart[0]
         first = f"part = array_position(array({', '.join(apart)}), {nearest}) - 1"
-        met = probe.join(table, ["part", "value"]).filter(F.expr(f"{nearest} = {level} and {first}"))
+        met = probe.hint("merge").join(table, ["part", "value"])
+        met = met.filter(F.expr(f"bit_count({xor}) <= bound and {nearest} = {level} and {first}"))
         found = met.select("q", F.expr(f"bit_count({xor})").alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             found = best.unionByName(found)
@@ -81,7 +85,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
         best = written(best.withColumn("done", (full & (kth <= covered)) | F.lit(level == width)), "best")
         done.append(best.filter("done").select("q", "rank", "id", "distance"))
         best = best.filter("not done").select("q", "distance", "id")
-        todo = written(todo.join(done[-1].select("q").distinct(), "q", "left_anti"), "queries")
+        kth = best.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("kth"))
+        todo = todo.join(done[-1].select("q").distinct(), "q", "left_anti").join(kth, "q", "left")
+        todo = written(todo.select("q", F.least("bound", F.coalesce("kth", F.lit(BITS))).alias("bound")), "queries")
         if level == width or todo.isEmpty():
             break
     hits = done[0]
