@@ -1,0 +1 @@
+"""Aggregations, kernels and searches over DataFrames."""

@@ -1,0 +1 @@
+"""Which physical strategy a computation takes, and the registered queries."""

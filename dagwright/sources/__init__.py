@@ -1,0 +1 @@
+"""Tables in; graphs, models and fits out as text."""

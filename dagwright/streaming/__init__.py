@@ -1,0 +1 @@
+"""The engine has no streaming operators: networks are learned from whole tables."""
