@@ -54,6 +54,16 @@ def _erfinv(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.sqrt(np.sqrt(t * t - ln / a) - t)
 
 
+def _uniform(key: Column, *salt: int) -> Column:
+    """A number in (0, 1) fixed by the key: the same whichever task draws it."""
+    bits = 48
+    return (F.pmod(F.xxhash64(key, *[F.lit(s) for s in salt]), F.lit(1 << bits)) + 0.5) / float(1 << bits)
+
+
+def _normal(key: Column, *salt: int) -> Column:
+    return F.sqrt(-2 * F.ln(_uniform(key, *salt, 0))) * F.cos(2 * F.pi() * _uniform(key, *salt, 1))
+
+
 def simulate(spark: SparkSession, network: Network, rows: int = 1000, seed: int = 42, groups: int | None = None) -> DataFrame:
     """``(id, nodes...)``: rows drawn parent by parent, in generated code (counts
     by an Arrow function). A network with random intercepts draws a value for
@@ -75,18 +85,16 @@ def simulate(spark: SparkSession, network: Network, rows: int = 1000, seed: int
                     continue
                 eta = eta + F.lit(value) * _term(schema, c, name, state, parent)
             if f.sigma_alpha:
-                # One draw for a group: a normal variable from two hashes of its id.
-                u = [(F.pmod(F.xxhash64(F.col("group_id"), F.lit(seed * 1009 + k * 31 + b * 7 + j)), F.lit(1 << 40)) + 0.5) / float(1 << 40) for j in (0, 1)]
-                eta = eta + F.lit(f.sigma_alpha[min(b, len(f.sigma_alpha) - 1)]) * F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * F.pi() * u[1])
+                eta = eta + F.lit(f.sigma_alpha[min(b, len(f.sigma_alpha) - 1)]) * _normal(F.col("group_id"), seed, k, b, 7)
             etas.append(eta)
         if f.dist is Dist.GAUSSIAN:
-            value = etas[0] + F.lit(f.sigma or 0.0) * F.randn(seed + k)
+            value = etas[0] + F.lit(f.sigma or 0.0) * _normal(F.col("id"), seed, k)
         elif f.dist is Dist.BINOMIAL:
-            value = F.when(F.rand(seed + k) < 1 / (1 + F.exp(-etas[0])), F.lit(schema.levels[c][-1])).otherwise(F.lit(schema.levels[c][0]))
+            value = F.when(_uniform(F.col("id"), seed, k) < 1 / (1 + F.exp(-etas[0])), F.lit(schema.levels[c][-1])).otherwise(F.lit(schema.levels[c][0]))
         elif f.dist is Dist.POISSON:
-            value = _poisson(F.exp(F.least(etas[0], F.lit(13.8))), F.rand(seed + k)).cast("long")
+            value = _poisson(F.exp(F.least(etas[0], F.lit(13.8))), _uniform(F.col("id"), seed, k)).cast("long")
         else:
-            out = out.withColumn("u", F.rand(seed + k))
+            out = out.withColumn("u", _uniform(F.col("id"), seed, k))
             weights = [F.lit(1.0), *[F.exp(F.least(e, F.lit(700.0))) for e in etas]]
             total = weights[0]
             for w in weights[1:]:
