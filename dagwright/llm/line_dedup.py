@@ -18,15 +18,14 @@ def repeated_positions(documents: DataFrame) -> DataFrame:
     hashed = documents.filter(F.col("text").contains("\n")).select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
-        # hash 0 marks a line without a word
-        F.transform(_lines("text"), lambda x: F.when(F.length(F.translate(x, SPACES, "")) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("h"),
+        F.transform(_lines("text"), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(F.translate(x, SPACES, "")) > 0).alias("word"))).alias("l"),
     )
-    three = F.expr("transform(sequence(0, size(h) - 3), i -> struct(i AS pos, named_struct('a', h[i], 'b', h[i+1], 'c', h[i+2]) AS w))")
+    three = F.expr("transform(sequence(0, size(l) - 3), i -> struct(i AS pos, l[i] AS a, l[i+1] AS b, l[i+2] AS c))")
     windows = (
-        hashed.filter("size(h) >= 3")
+        hashed.filter("size(l) >= 3")
         .select("doc_id", "text_hash", F.explode(three).alias("x"))
-        .filter("x.w.a <> 0 or x.w.b <> 0 or x.w.c <> 0")
-        .select("doc_id", "text_hash", F.col("x.pos").alias("pos"), F.xxhash64("x.w.a", "x.w.b", "x.w.c").alias("w"))
+        .filter("x.a.word or x.b.word or x.c.word")
+        .select("doc_id", "text_hash", F.col("x.pos").alias("pos"), F.xxhash64("x.a.h", "x.b.h", "x.c.h").alias("w"))
     )
     windows = written(windows, "windows")
     here = F.struct("doc_id", "pos", "text_hash")
