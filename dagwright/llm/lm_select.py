@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, words_of, written
+from .common import mix64, sliced, words_of, written
 
 #: The shared vocabulary: the most frequent words of the background, this many at
 #: most; all other words are one token.
@@ -63,19 +63,36 @@ def vocabulary(background: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     return Vocabulary(np.sort(top.view(np.uint64)))
 
 
-def _count(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+def tokenized(documents: DataFrame, targets: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(doc_id, ids, target)``: token ids of every document and whether it is
+    named in ``targets``; written, for the passes to come."""
+    shared = documents.sparkSession.sparkContext.broadcast(vocab.hashes)
+
+    def rows(batches):
+        vocab = Vocabulary(shared.value)
+        for b in sliced(batches):
+            ids = [vocab.ids(tokens(x.as_py())).astype(np.int32) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    ids = documents.select("doc_id", "text").mapInArrow(rows, f"doc_id {dict(documents.dtypes)['doc_id']}, ids array<int>")
+    # Both sides grow with the corpus: a sort-merge join at any size.
+    named = targets.select(F.col("doc_id").alias("t")).distinct().hint("merge")
+    return written(ids.join(named, F.col("doc_id") == F.col("t"), "left").select("doc_id", "ids", F.col("t").isNotNull().alias("target")), "tokens")
+
+
+def _id_lists(batch) -> list[np.ndarray]:
+    col = batch.column("ids")
+    values, offsets = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+    return [values[a:b].astype(np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _count(marked: DataFrame) -> DataFrame:
     """``(side, kind, key, n)``: unigrams (0), contexts (1) and bigrams (2) of the
     background (side 0) and of the target rows (side 1) beside it."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocab.hashes)
 
     def rows(batches):
-        vocab = Vocabulary(shared.value)
         for b in batches:
-            found = []
-            for x, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
-                ids = vocab.ids(tokens(x.as_py()))
-                if len(ids):
-                    found.append((target, ids))
+            found = [(target, ids) for target, ids in zip(b.column("target").to_pylist(), _id_lists(b), strict=True) if len(ids)]
             for side in (0, 1):
                 some = [ids for target, ids in found if target or not side]
                 if not some:
@@ -88,7 +105,7 @@ def _count(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
                         names=["side", "kind", "key", "n"],
                     )
 
-    return texts.select("text", "target").mapInArrow(rows, "side int, kind int, key long, n long").groupBy("side", "kind", "key").agg(F.sum("n").alias("n"))
+    return marked.select("ids", "target").mapInArrow(rows, "side int, kind int, key long, n long").groupBy("side", "kind", "key").agg(F.sum("n").alias("n"))
 
 
 class Models:
@@ -122,50 +139,55 @@ def _own(ids: np.ndarray) -> tuple:
     return tuple(out)
 
 
-def fit(documents: DataFrame, vocab: Vocabulary) -> Models:
-    """Counts both models over all rows of ``documents`` (text, target boolean).
+def fit(marked: DataFrame, vocab: Vocabulary) -> Models:
+    """Counts both models over all rows of ``marked`` (ids, target).
     What comes to the driver is bounded by the tables' sizes."""
-    table = written(_count(documents, vocab), "counts").toPandas()
     size = len(vocab.hashes)
-    sides = []
-    for side in (0, 1):
-        part = table[table["side"] == side]
-        uni, context = np.zeros(size + 2), np.zeros(size + 2)
-        for kind, out in ((0, uni), (1, context)):
-            rows = part[part["kind"] == kind]
-            out[rows["key"].to_numpy()] = rows["n"].to_numpy()
-        pair = np.zeros(1 << BIGRAM_BITS, np.float32)
-        rows = part[part["kind"] == 2]
-        pair[rows["key"].to_numpy()] = rows["n"].to_numpy()
-        sides.append({"uni": uni, "total": uni.sum(), "context": context, "pair": pair})
+    sides = [{"uni": np.zeros(size + 2), "context": np.zeros(size + 2), "pair": np.zeros(1 << BIGRAM_BITS, np.float32)} for _ in range(2)]
+
+    def packed(batches):
+        """Counts of a batch as one row for each side and kind: 12 bytes a key."""
+        for b in batches:
+            side, kind, key, n = (b.column(c).to_numpy() for c in ("side", "kind", "key", "n"))
+            found = [(s, k, at) for s in (0, 1) for k in (0, 1, 2) if len(at := np.flatnonzero((side == s) & (kind == k)))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([key[x[2]].astype(np.int32).tobytes() for x in found], pa.binary()), pa.array([n[x[2]].astype(np.int64).tobytes() for x in found], pa.binary())],
+                names=["side", "kind", "key", "n"],
+            )
+
+    # Partition by partition: the driver holds the tables and one partition's counts.
+    for side, kind, key, n in written(_count(marked), "counts").mapInArrow(packed, "side int, kind int, key binary, n binary").toLocalIterator():
+        sides[side][("uni", "context", "pair")[kind]][np.frombuffer(key, np.int32)] = np.frombuffer(n, np.int64)
+    for s in sides:
+        s["total"] = s["uni"].sum()
     return Models(size, sides)
 
 
-def score(documents: DataFrame, vocab: Vocabulary, models: Models) -> DataFrame:
+def score(marked: DataFrame, models: Models) -> DataFrame:
     """``(doc_id, n_tokens, target_loss, background_loss, score)`` of rows (doc_id,
-    text, target) that the models were counted over: mean bits per token under
-    either model, without the document's own share in it, and the difference target - background: the lower,
-    the more like the target. Null scores without words."""
-    shared = documents.sparkSession.sparkContext.broadcast((vocab.hashes, models.size, models.sides))
-    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, n_tokens long, target_loss double, background_loss double, score double"
+    ids, target) that the models were counted over: mean bits per token under
+    either model, without the document's own share in it, and the difference
+    target - background: the lower, the more like the target. Null without words."""
+    shared = marked.sparkSession.sparkContext.broadcast((models.size, models.sides))
+    kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
 
     def rows(batches):
-        hashes, size, sides = shared.value
-        vocab, models = Vocabulary(hashes), Models(size, sides)
+        models = Models(*shared.value)
         for b in batches:
+            if not b.num_rows:
+                continue
             out = []
-            for x, target in zip(b.column("text"), b.column("target").to_pylist(), strict=True):
-                ids = vocab.ids(tokens(x.as_py()))
+            for ids, target in zip(_id_lists(b), b.column("target").to_pylist(), strict=True):
                 if len(ids):
                     own = _own(ids)
                     near, far = models.losses(1, ids, own if target else None), models.losses(0, ids, own)
                     out.append((len(ids), near.mean(), far.mean(), (near - far).mean()))
                 else:
                     out.append((0, None, None, None))
-            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.float64(), pa.float64(), pa.float64())]
+            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return documents.select("doc_id", "text", "target").mapInArrow(rows, schema)
+    return marked.mapInArrow(rows, f"doc_id {dict(marked.dtypes)['doc_id']}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -182,10 +204,9 @@ def cross_entropy_difference(documents: DataFrame, targets: DataFrame) -> DataFr
     are ignored.
     """
     docs = documents.select("doc_id", "text")
-    named = targets.select(F.col("doc_id").alias("t")).distinct()
-    marked = docs.join(named, F.col("doc_id") == F.col("t"), "left").select("doc_id", "text", F.col("t").isNotNull().alias("target"))
     vocab = vocabulary(docs)
-    return score(marked, vocab, fit(marked, vocab))
+    marked = tokenized(docs, targets, vocab)
+    return score(marked, fit(marked, vocab))
 
 
 def op7_lm_score(spark, sf_dir: str) -> DataFrame:
