@@ -40,10 +40,11 @@ class Network:
     n: int
     nodes: dict[str, NodeFit] = field(default_factory=dict)
 
-    def coefficients(self, spark) -> DataFrame:
-        """``(node, term, state, parent, estimate, stderr)``."""
-        rows = [(n.node, *t) for n in self.nodes.values() for t in n.terms]
-        return spark.createDataFrame(rows, "node string, term string, state string, parent string, estimate double, stderr double")
+    def coefficients(self, spark, pvalues: bool = False) -> DataFrame:
+        """``(node, term, state, parent, estimate, stderr)``, and Wald ``pvalue`` if asked for."""
+        rows = [(n.node, *t, wald(t[3] / t[4]) if t[4] else None) for n in self.nodes.values() for t in n.terms]
+        out = spark.createDataFrame(rows, "node string, term string, state string, parent string, estimate double, stderr double, pvalue double")
+        return out if pvalues else out.drop("pvalue")
 
     def node_scores(self, spark) -> DataFrame:
         """``(node, dist, df, mlik, aic, bic, mdl)``."""

@@ -241,3 +241,17 @@ def score_column(score: str):
     c = F.col(score) if score == "mlik" else -F.col(score)
     bad = F.col(score).isNull() | F.isnan(score) | (F.abs(F.col(score)) == float("inf"))
     return F.when(bad, F.lit(-1.797e308)).otherwise(c)
+
+
+def summary(cache: DataFrame) -> DataFrame:
+    """``(score, n, least, q1, median, q3, greatest, mean)`` of each score's finite
+    values; a cache has as many rows as there are parent sets, so they are sorted
+    as they are."""
+    out = None
+    for s in SCORES:
+        ok = cache.filter(F.col(s).isNotNull() & (F.abs(s) != float("inf"))).select(F.col(s).alias("v"))
+        q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        row = ok.agg(F.count("v").alias("n"), F.min("v").alias("least"), q.alias("q"), F.max("v").alias("greatest"), F.avg("v").alias("mean"))
+        one = row.select(F.lit(s).alias("score"), "n", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "greatest", "mean")
+        out = one if out is None else out.unionByName(one)
+    return out

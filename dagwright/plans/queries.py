@@ -18,7 +18,7 @@ from ..operators.parent_sets import parent_sets
 from ..schema import Schema, one_hot, profile, split_group, standardised, with_levels
 from ..sources import export
 from ..sources.tables import chain_sample, lineitem_nodes, read
-from .cache import build_cache, score_column, tidy
+from .cache import build_cache, score_column, summary, tidy
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -502,6 +502,19 @@ def score_column_signs(spark, sf):
     return gauss_cache(spark, sf).select("child", "mask", F.round(score_column("mlik"), 2).alias("mlik"), F.round(score_column("bic"), 2).alias("bic"))
 
 
+@query(
+    "cache_summary",
+    f"WITH {_cache_sql(1)} "
+    + " UNION ALL ".join(
+        f"SELECT '{s}' AS score, count({s}) AS n, round(min({s}), 2) AS least, round(quantile_cont({s}, 0.25), 2) AS q1, round(quantile_cont({s}, 0.5), 2) AS median, round(quantile_cont({s}, 0.75), 2) AS q3, round(max({s}), 2) AS greatest, round(avg({s}), 2) AS mean FROM cache"
+        for s in ("mlik", "aic", "bic", "mdl")
+    ),
+)
+def cache_summary(spark, sf):
+    t = summary(gauss_cache(spark, sf))
+    return t.select("score", "n", *[F.round(c, 2).alias(c) for c in ("least", "q1", "median", "q3", "greatest", "mean")])
+
+
 @query("hillclimb_consensus")
 def hillclimb_consensus(spark, sf):
     return search.consensus(search.hill_climb(gauss_cache(spark, sf, 2, False), _FIVE, "bic", searches=20), _FIVE)

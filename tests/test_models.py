@@ -310,3 +310,18 @@ def test_texts(spark, sample):
     assert {p["link_function_name"] for p in j["parameters"]} == {"identity", "logit", "log"}
     assert len(j["arcs"]) == 3 and j["scenario_id"] is None
     assert sum(p["source"]["variable_id"] == "e" for p in j["parameters"]) == 4
+
+
+def test_controls(spark, sample):
+    from dagwright.plans.controls import control
+
+    c = control("bayes", fit=True, prec=0.01)
+    assert c.priors().precision == 0.01 and c.tol == 1e-11 and c.seed == 9062019
+    with pytest.raises(ValueError, match="unknown"):
+        control("mle", precision=1)
+    with pytest.warns(UserWarning, match="not read"):
+        control("mle", prec=1.0)
+    s = Schema.of({"b": "gaussian", "c": "binomial"})
+    net = fitting.fit(sample, s, Dag.of("bc", [("b", "c")]))
+    p = {r["term"]: r["pvalue"] for r in net.coefficients(spark, pvalues=True).filter("node = 'c'").collect()}
+    assert p["b"] < 1e-6 and net.family() == {"b": "gaussian", "c": "binomial"} and net.n == 3000
