@@ -12,10 +12,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import sliced
+
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that a worker remembers; memory, not results, depends on it.
-PIECES, PAIRS = 300_000, 400_000
+PIECES, PAIRS = 250_000, 300_000
 #: Longer pieces aren't remembered.
 LONG_PIECE = 64
 
@@ -60,7 +62,9 @@ class Bpe:
                 self.suffixes.add_word(b.decode("latin-1"), (i, len(b)))
         self.suffixes.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, bytes, bytes, bytes]] = {}
+        #: what a piece becomes, by :meth:`packed` or :meth:`digested`
+        self.pieces: dict[str, bytes | tuple[bytes, bytes]] = {}
+        self.kept = None
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves token b after token a as they are.
@@ -112,17 +116,13 @@ class Bpe:
             at -= size[at]
         return ids[::-1]
 
-    def _found(self, ids: list[int]) -> tuple[int, bytes, bytes, bytes]:
-        """(number of ids, the ids in decimal with commas, what they decode to, the ids as int32)"""
-        return len(ids), ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids)), np.array(ids, np.int32).tobytes()
+    def packed(self, ids: list[int]) -> bytes:
+        """Ids as int32."""
+        return np.array(ids, np.int32).tobytes()
 
-    def _piece(self, piece: str) -> tuple[int, bytes, bytes, bytes]:
-        found = self._found(self.encode_piece(piece.encode("utf-8")))
-        if len(piece) <= LONG_PIECE:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
+    def digested(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """(ids in decimal with commas, what they decode to)"""
+        return ",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids))
 
     def _spans(self, text: str) -> Iterator[tuple[bool, str]]:
         if not self.cut or not any(s in text for s in self.special):
@@ -132,18 +132,29 @@ class Bpe:
                 if part:
                     yield bool(i % 2), part
 
-    def parts_of(self, text: str) -> list[tuple[int, bytes, bytes, bytes]]:
+    def parts_of(self, text: str, make) -> list:
+        """What ``make`` (packed or digested) makes of the ids of each pre-token."""
+        if self.kept != make.__name__:
+            self.kept = make.__name__
+            self.pieces.clear()
         out, known = [], self.pieces
         for special, span in self._spans(text):
             if special:
-                out.append(self._found([self.special[span]]))
+                out.append(make([self.special[span]]))
                 continue
             for piece in self.split.findall(span):
-                out.append(known.get(piece) or self._piece(piece))
+                got = known.get(piece)
+                if got is None:
+                    got = make(self.encode_piece(piece.encode("utf-8")))
+                    if len(piece) <= LONG_PIECE:
+                        if len(known) >= PIECES:
+                            known.clear()
+                        known[piece] = got
+                out.append(got)
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([p[3] for p in self.parts_of(text)]), np.int32)
+        return np.frombuffer(b"".join(self.parts_of(text, self.packed)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -179,7 +190,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         bpe = _coder(spec)
-        for b in batches:
+        for b in sliced(batches):
             ids = pa.array([bpe.encode(x.as_py() or "") for x in b.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
 
@@ -193,7 +204,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         bpe = _coder(spec)
-        for b in batches:
+        for b in sliced(batches):
             text = pa.array([bpe.decode(x or []) for x in b.column("ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), text], names=["doc_id", "text"])
 
@@ -207,13 +218,14 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         bpe = _coder(spec)
-        for b in batches:
+        for b in sliced(batches):
             n, ids, text = [], [], []
             for x in b.column("text"):
-                parts = bpe.parts_of(x.as_py() or "")
-                n.append(sum(p[0] for p in parts))
-                ids.append(hashlib.sha256(b",".join([p[1] for p in parts])).hexdigest())
-                decoded = b"".join([p[2] for p in parts]).decode("utf-8", "replace")
+                parts = bpe.parts_of(x.as_py() or "", bpe.digested)
+                decimal = b",".join([p[0] for p in parts])
+                n.append(decimal.count(b",") + 1 if parts else 0)
+                ids.append(hashlib.sha256(decimal).hexdigest())
+                decoded = b"".join([p[1] for p in parts]).decode("utf-8", "replace")
                 text.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -41,6 +41,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
+    # Shuffle files go when the driver collects its garbage: what is written needs none.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +66,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches in pieces of a few rows: what Python holds of them at once stays small."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over a uint64 array."""
     x = x ^ (x >> np.uint64(30))

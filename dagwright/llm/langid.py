@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 
 #: n-grams of one to three characters fall into so many buckets.
 BUCKETS = 1 << 16
@@ -21,7 +21,7 @@ ORDERS = (1, 2, 3)
 #: has BUCKETS float32 for each, 64 MB at the most.
 MAX_LANGUAGES = 256
 #: Characters that are worked on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 UNKNOWN = "und"
 
 _alpha: list[np.ndarray] = []
@@ -44,12 +44,10 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     of = np.repeat(np.arange(len(low)), [len(x) for x in low])
     letter = _letters()[codes]
+    # Of a run of others, the first; a text begins and ends with one.
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first of a run of others
-    keep[:-1] |= letter[1:] & ~letter[:-1] & np.r_[True, ~letter[:-2]]  # and, after a text's start, the last
-    same = np.r_[False, of[1:] == of[:-1]]
-    drop = keep & ~letter & np.r_[False, (keep & ~letter)[:-1]] & same
-    keep &= ~drop
+    keep[1:] |= letter[:-1] | (of[1:] != of[:-1])
+    keep[:1] = True
     c, of, letter = np.where(letter, codes, 32)[keep].astype(np.uint32), of[keep], letter[keep]
     docs, buckets = [], []
     for n in ORDERS:
@@ -121,7 +119,7 @@ class LanguageModel:
 def _counts(batches):
     """(lang, bucket, n) of a task's texts; bucket -1 counts the texts."""
     counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS + 1, np.int64))
-    for batch in batches:
+    for batch in sliced(batches):
         by = defaultdict(list)
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             by[lang].append(text or "")
@@ -164,7 +162,7 @@ def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
     schema = documents.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
 
     def rows(batches):
-        for b in batches:
+        for b in sliced(batches):
             names, scores = shared.value.score(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
