@@ -359,10 +359,14 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
     def off(tag, attrs, inner):
         return f'<{tag}{attrs} {LABEL}="0">{inner}</{tag}>'
 
+    def noise(k=None):
+        """What surrounds main text may be anything, too."""
+        return plain(prose(k))
+
     def people():
         def one():
             tag, name = pick(["div", "div", "li", "li", "p", "article"]), pick(["comment", "reply", "comment-body"])
-            return f"<{tag} class='{name}'>{pick(['', f'<b>{word()}</b> '])}{pick(['<p>', ''])}{prose(r.randint(1, 3))}</{tag}>"
+            return f"<{tag} class='{name}'>{pick(['', f'<b>{word()}</b> '])}{pick(['<p>', ''])}{noise(r.randint(1, 3))}</{tag}>"
 
         head = pick(["", f"<h{r.randint(2, 4)}>{word()} {word()}</h3>"])
         return off(pick(["section", "div", "aside", "ul", "ol"]), pick([' class="comments"', ' id="comments"', ' class="comment-list"', ' id="discussion"', ' class="reader-comments"', ' id="disqus_thread"', ' class="responses replies"']), head + "".join(one() for _ in range(r.randint(1, 6))))
@@ -376,15 +380,15 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
         if kind == 2:
             return off("header", cls("", "site-header", "masthead", "top"), pick(["", f"<h1>{sentence()}</h1>", f"<div>{sentence()}</div>"]) + pick(["", links(), f"<p>{sentence()}</p>"]))
         if kind == 3:
-            return off(pick(["footer", "footer", "div"]), cls("footer", "site-footer", "copyright", "legal", "colophon"), pick([f"&copy; {prose(1)}", f"<p>&copy; {prose(2)}</p>", links() + f"<p>{sentence()}</p>"]))
+            return off(pick(["footer", "footer", "div"]), cls("footer", "site-footer", "copyright", "legal", "colophon"), pick([f"&copy; {noise(1)}", f"<p>&copy; {noise(2)}</p>", links() + f"<p>{sentence()}</p>"]))
         if kind == 4:
-            return off(pick(["aside", "aside", "div"]), cls("sidebar", "side", "widget", "related", "recommended", "right-rail"), f"<h3>{word()}</h3>" + pick([links(), f"<p>{prose()}</p>", "".join(f"<div><a href=/>{sentence()}</a></div>" for _ in range(4))]))
+            return off(pick(["aside", "aside", "div"]), cls("sidebar", "side", "widget", "related", "recommended", "right-rail"), f"<h3>{word()}</h3>" + pick([links(), f"<p>{noise()}</p>", "".join(f"<div><a href=/>{sentence()}</a></div>" for _ in range(4))]))
         if kind == 5:
-            return off(pick(["div", "aside", "section", "p"]), pick([' class="ad"', ' class="ads"', ' id="ad-1"', ' class="advert"', ' class="advertisement"', ' class="sponsored"', ' class="promo-box"', ' class="banner"']), pick([prose(), f"<a href=/>{sentence()}</a>", f"<b>{sentence()}</b> {prose(1)}"]))
+            return off(pick(["div", "aside", "section", "p"]), pick([' class="ad"', ' class="ads"', ' id="ad-1"', ' class="advert"', ' class="advertisement"', ' class="sponsored"', ' class="promo-box"', ' class="banner"']), pick([noise(), f"<a href=/>{sentence()}</a>", f"<b>{sentence()}</b> {noise(1)}"]))
         if kind == 6:
-            return off(pick(["div", "section", "aside", "dialog"]), cls("notice", "cookie", "cookie-notice", "consent", "alert", "popup", "modal", "newsletter", "subscribe", "announcement", "disclaimer"), pick([prose(), f"<p>{prose()}</p><a href=/>{word()}</a>"]))
+            return off(pick(["div", "section", "aside", "dialog"]), cls("notice", "cookie", "cookie-notice", "consent", "alert", "popup", "modal", "newsletter", "subscribe", "announcement", "disclaimer"), pick([noise(), f"<p>{noise()}</p><a href=/>{word()}</a>"]))
         if kind == 7:
-            return off("form", cls("", "search-form", "login", "signup", "contact"), pick(["", f"<label>{sentence()}</label>"]) + f"<p>{prose(1)}</p><input name=q><button>{word()}</button>")
+            return off("form", cls("", "search-form", "login", "signup", "contact"), pick(["", f"<label>{sentence()}</label>"]) + f"<p>{noise(1)}</p><input name=q><button>{word()}</button>")
         if kind == 8:
             return off(pick(["div", "ul"]), cls("share", "social", "tags", "byline", "post-meta", "author", "meta"), pick([links(3), " ".join(f"<a href=/>{word()}</a>" for _ in range(4)), f"{word()} {word()}"]))
         if kind == 9:
