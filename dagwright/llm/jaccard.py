@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, words_of, written
+from .common import mix64, sliced, words_of, written
 from .components import components
 
 #: Two sets link when 100 * intersection >= SIMILARITY * union.
@@ -22,8 +22,13 @@ FREQUENT = 1 << 16
 OFTEN = 8
 #: Rows of one side of a tile; larger tiles are cut into cells.
 TILE = 4096
-#: Rounds of star tiles at most, and the share of sets that a round must merge to be worth another.
-STAR_ROUNDS, WORTH = 4, 0.02
+#: Partners that a cell reports for a set in the first round; tiles with more go
+#: on to a second one, without a limit, when most of them are merged.
+PARTNERS, NO_LIMIT = 4, 1 << 62
+#: Bits of the filter that finds the texts of some sets: 1 MB.
+FILTER = 1 << 23
+#: Later rounds and single comparisons have signatures so many times as wide.
+WIDE = 4
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -47,14 +52,22 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def prefix_sizes(n: int) -> tuple[int, int]:
+    """(probe, index): of two linked sets, the first shingle they share, in the
+    global order, is among the first ``probe`` of the larger and the first
+    ``index`` of the smaller: after it, too few are left for the least overlap."""
+    return n - (-(-SIMILARITY * n // 100)) + 1, n - (-(-2 * SIMILARITY * n // (100 + SIMILARITY))) + 1
+
+
 def least_overlap(a, b):
     """Smallest intersection with which sets of sizes a and b link."""
     return -(-SIMILARITY * (a + b) // (100 + SIMILARITY))
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Bitmap signature, its width a power of two of at least 64 and twice the set's size."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, wide: int = 1) -> bytes:
+    """Bitmap signature, its width a power of two of at least 64 and the set's
+    size, times ``wide``."""
+    bits = wide * max(64, 1 << int(len(s) - 1).bit_length())
     out = np.zeros(bits >> 3, np.uint8)
     at = s & np.uint64(bits - 1)
     np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
@@ -68,7 +81,7 @@ def folded(b: np.ndarray, size: int) -> np.ndarray:
     return b
 
 
-def may_link(na, ba: bytes, nb, bb: bytes) -> bool:
+def may_link(na, ba, nb, bb) -> bool:
     """Upper bound of the overlap by bit counts: every bit set in one signature
     alone is an element that the other set lacks."""
     x, y = np.frombuffer(ba, np.uint8), np.frombuffer(bb, np.uint8)
@@ -108,7 +121,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(doc_id, n, fp, sig, prefix)``: size, set id, signature, and the first
+    """``(doc_id, n, fp, sig, wide, prefix)``: size, set id, signatures, and the first
     shingles in the global order (frequent ones last, else by hash), as many as
     two linked sets must share one of."""
     last = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -116,17 +129,17 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def rows(batches):
         hot = last.value
         for b in batches:
-            n, fp, sig, prefix = [], [], [], []
+            n, fp, sig, wide, prefix = [], [], [], [], []
             seen: dict[int, tuple] = {}
             for x in b.column("text"):
                 s = shingles(x.as_py())
                 n.append(len(s))
                 if not len(s):
-                    fp.append(None), sig.append(None), prefix.append(None)
+                    fp.append(None), sig.append(None), wide.append(None), prefix.append(None)
                     continue
                 i = set_id(s)
                 if i not in seen:
-                    size = len(s) - (-(-SIMILARITY * len(s) // 100)) + 1
+                    size = prefix_sizes(len(s))[0]
                     if len(hot):
                         late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
                         first = s[~late][:size]
@@ -134,30 +147,39 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                             first = np.r_[first, s[late][: size - len(first)]]
                     else:
                         first = s[:size]
-                    seen[i] = bitmap(s), first.view(np.int64)
+                    seen[i] = bitmap(s), bitmap(s, WIDE), first.view(np.int64)
                 fp.append(i)
-                sig.append(seen[i][0])
-                prefix.append(seen[i][1])
+                for out, value in zip((sig, wide, prefix), seen[i], strict=True):
+                    out.append(value)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "fp", "sig", "prefix"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "fp", "sig", "wide", "prefix"],
             )
 
-    return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, fp long, sig binary, prefix array<long>")
+    return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, fp long, sig binary, wide binary, prefix array<long>")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(fp, s)``: the sorted shingles of the sets ``wanted`` (fp, doc_id)."""
+    """``(fp, s)``: the sorted shingles of the sets ``wanted`` (fp, doc_id).
+
+    Texts are not shuffled: a bitmap of the wanted ids' hashes, of FILTER bits
+    whatever their number, lets through what may be wanted, the set id decides.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).cast("int")
+    marked = np.zeros(FILTER, bool)
+    marked[wanted.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
     def rows(batches):
-        for b in batches:
+        marked = np.unpackbits(shared.value).astype(bool)
+        for b in sliced(batches):
+            b = b.filter(pa.array(marked[b.column("bit").to_numpy()]))
             s = [shingles(x.as_py()).view(np.int64) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.int64()), pa.array(s, pa.list_(pa.int64()))], names=["fp", "s"])
 
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    found = texts.mapInArrow(rows, "fp long, s array<long>")
-    # A repeated doc_id may bring a text of another set: the set id decides. One row a set.
-    return found.join(wanted.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("s").alias("s"))
+    found = docs.select("text", bit.alias("bit")).mapInArrow(rows, "fp long, s array<long>")
+    # Copies, and texts under a repeated doc_id, are one row for each set in the end.
+    return found.join(wanted.select("fp").distinct().hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.first("s").alias("s"))
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,7 +191,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = pa.array([may_link(*x) for x in zip(*cols, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(ok)
 
-    side = lambda k: sets.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"sig{k}"))
+    side = lambda k: sets.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"sig{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY
     return both.filter(fit).select("a", "b", "na", "siga", "nb", "sigb").mapInArrow(rows, "a long, b long")
@@ -186,7 +208,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [linked(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = written(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     arrays = written(_arrays(docs, sets.join(nodes, "fp", "left_semi").select("fp", "doc_id")), "arrays")
     both = pairs.join(arrays.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(arrays.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
@@ -206,32 +227,31 @@ def _cells(tiles: DataFrame) -> DataFrame:
     hash of the set, and every two parts meet in one cell.
     """
     banded = tiles.withColumn("band", _band(F.col("n")).cast("int"))
-    both = banded.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("family", F.col("band") + F.col("role"))
+    # A deep row is the larger one of its pairs, never the smaller.
+    roles = F.when(F.col("deep"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    both = banded.withColumn("role", F.explode(roles)).withColumn("family", F.col("band") + F.col("role"))
     parts = both.groupBy("h", "family").agg(
-        F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"), F.min("role").alias("any_own"), F.min("label").alias("l0"), F.max("label").alias("l1")
+        F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"), F.min("role").alias("any_own"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("deep").alias("all_deep")
     )
-    # A family without its own band, or of one label, has nothing to compare.
-    parts = parts.filter("any_own = 0 and l0 <> l1").select("h", "family", "parts")
+    # A family without its own band, of one label, or of deep rows has nothing to compare.
+    parts = parts.filter("any_own = 0 and l0 <> l1 and not all_deep").select("h", "family", "parts")
     dealt = both.join(parts, ["h", "family"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     every = "transform(sequence(0, parts - 1), k -> "
     own = F.expr(f"concat({every} struct(0 AS kind, least(part, k) AS i, greatest(part, k) AS j)), {every} struct(1 AS kind, part AS i, k AS j)))")
     lower = F.expr(f"{every} struct(1 AS kind, k AS i, part AS j))")
     cell = F.explode(F.when(F.col("role") == 0, own).otherwise(lower))
-    return dealt.select("h", "family", "role", "part", "fp", "n", "label", cell.alias("c")).select("h", "family", "c.kind", "c.i", "c.j", "role", "part", "fp", "n", "label")
+    return dealt.select("h", "family", "role", "part", "fp", "n", "deep", "label", cell.alias("c")).select("h", "family", "c.kind", "c.i", "c.j", "role", "part", "fp", "n", "deep", "label")
 
 
 class _Side:
     """Sets of one side of a cell, by size, with their signatures at one width."""
 
-    def __init__(self, rows: list[tuple]):
-        rows = sorted(rows)
-        self.n = np.array([r[0] for r in rows], np.int64)
-        self.fp = np.array([r[1] for r in rows], np.int64)
-        self.label = np.array([r[2] for r in rows], np.int64)
-        self.part = np.array([r[3] for r in rows], np.int64)
-        raw = [np.frombuffer(r[4], np.uint8) for r in rows]
-        self.width = min(map(len, raw), default=8)
-        self.sig = np.stack([folded(x, self.width) for x in raw]).view(np.uint64) if raw else np.zeros((0, 1), np.uint64)
+    def __init__(self, at: np.ndarray, cols: dict, sigs):
+        at = at[np.lexsort((cols["fp"][at], cols["n"][at]))]
+        self.n, self.fp, self.label, self.part, self.deep = (cols[c][at] for c in ("n", "fp", "label", "part", "deep"))
+        raw = [sigs(k) for k in at.tolist()]
+        self.width = min(map(len, raw))
+        self.sig = np.stack([folded(x, self.width) for x in raw]).view(np.uint64)
 
     def at(self, width: int) -> np.ndarray:
         s = self.sig
@@ -241,57 +261,113 @@ class _Side:
         return s
 
 
-def _cell_pairs(own: list[tuple], other: list[tuple] | None, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a cell that signatures allow: within ``own``, or between it and ``other``."""
-    x = _Side(own)
-    y = x if other is None else _Side(other)
-    if not len(x.n) or not len(y.n):
-        return
+def _cell_pairs(x: _Side, y: _Side, within: bool, one_part: bool, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a cell that signatures allow, of different labels, within a side
+    or between two; for each set the ``limit`` most alike at most, and whether
+    that left any out."""
+    out_a, out_b, more = [], [], False
     width = min(x.width, y.width)
     a, b = x.at(width), y.at(width)
+    bits_a, bits_b = np.bitwise_count(a).sum(axis=1, dtype=np.int64), np.bitwise_count(b).sum(axis=1, dtype=np.int64)
     for k in range(len(x.n)):
         n = x.n[k]
-        lo = k + 1 if other is None else int(np.searchsorted(y.n, -(-SIMILARITY * n // 100)))
+        lo = k + 1 if within else int(np.searchsorted(y.n, -(-SIMILARITY * n // 100)))
         hi = int(np.searchsorted(y.n, 100 * n // SIMILARITY, side="right"))
         if hi <= lo:
             continue
-        m, sig = y.n[lo:hi], b[lo:hi]
-        shared = np.bitwise_count(sig & a[k])
-        shared = shared.sum(axis=1, dtype=np.int64)
-        only_x = int(np.bitwise_count(a[k]).sum(dtype=np.int64)) - shared
-        only_y = np.bitwise_count(sig).sum(axis=1, dtype=np.int64) - shared
-        ok = (np.minimum(n - only_x, m - only_y) >= least_overlap(n, m)) & (y.label[lo:hi] != x.label[k])
-        if other is None and i != j:
-            ok &= y.part[lo:hi] != x.part[k]
-        hit = lo + np.flatnonzero(ok)
+        m = y.n[lo:hi]
+        shared = np.bitwise_count(b[lo:hi] & a[k]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(n - (bits_a[k] - shared), m - (bits_b[lo:hi] - shared))
+        room = most - least_overlap(n, m)
+        ok = (room >= 0) & (y.label[lo:hi] != x.label[k])
+        if within:
+            # Sizes ascend: x is the smaller one.
+            ok &= ~(x.deep[k] & ((m > n) | y.deep[lo:hi]))
+            if not one_part:
+                ok &= y.part[lo:hi] != x.part[k]
+        hit = np.flatnonzero(ok)
+        if len(hit) > limit:
+            hit, more = hit[np.argsort(-room[hit], kind="stable")[:limit]], True
         if len(hit):
-            yield np.full(len(hit), x.fp[k]), y.fp[hit]
-
-
-def _tile_pairs(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels that some cell cannot rule out."""
+            out_a.append(np.full(len(hit), x.fp[k]))
+            out_b.append(y.fp[lo + hit])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(out_a), np.concatenate(out_b), more) if out_a else (none, none, more)
+
+
+def _single_pairs(at: np.ndarray, cols: dict, sigs) -> list[int]:
+    """Of cells of two rows, at ``at`` and the next, those whose rows may link."""
+    b = at + 1
+    kind, role, n, label, part, deep = (cols[c] for c in ("kind", "role", "n", "label", "part", "deep"))
+    small, large = np.where(n[at] <= n[b], at, b), np.where(n[at] <= n[b], b, at)
+    ok = (label[at] != label[b]) & (100 * n[small] >= SIMILARITY * n[large])
+    within = ~(deep[small] | deep[large] & (n[small] == n[large])) & ((cols["i"][at] == cols["j"][at]) | (part[at] != part[b]))
+    ok &= np.where(kind[at] == 1, role[at] != role[b], within)
+    out = []
+    for k in at[ok].tolist():
+        if may_link(n[k], sigs(k), n[k + 1], sigs(k + 1)):
+            out.append(k)
+    return out
+
+
+def _tile_pairs(cells: DataFrame, sets: DataFrame, limit: int, signature: str) -> DataFrame:
+    """``(a, b, h)``: pairs of different labels that some cell cannot rule out,
+    h null; and, a and b null, the tiles of cells that had more than the limit."""
     key = ["h", "family", "kind", "i", "j"]
+    names = [*key, "role", "part", "fp", "n", "deep", "label"]
+
+    def found(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray):
+        """Rows of the cells [start, end) of a batch."""
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        sig = batch.column("sig")
+        offsets = np.frombuffer(sig.buffers()[1], np.int32)[sig.offset : sig.offset + len(sig) + 1]
+        data = np.frombuffer(sig.buffers()[2], np.uint8)
+        sigs = lambda k: data[offsets[k] : offsets[k + 1]]
+        size = ends - starts
+        single = np.array(_single_pairs(starts[size == 2], cols, sigs), np.int64)
+        a, b, marks = [cols["fp"][single]], [cols["fp"][single + 1]], []
+        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+            at = np.arange(s, e)
+            own = cols["role"][s:e] == 0
+            if cols["kind"][s] == 1:
+                if own.all() or not own.any():
+                    continue
+                x, y = _Side(at[own], cols, sigs), _Side(at[~own], cols, sigs)
+            else:
+                x = y = _Side(at, cols, sigs)
+            p, q, more = _cell_pairs(x, y, cols["kind"][s] == 0, cols["i"][s] == cols["j"][s], limit)
+            a.append(p)
+            b.append(q)
+            if more:
+                marks.append(cols["h"][s])
+        a, b = np.concatenate(a), np.concatenate(b)
+        n, m = len(a), len(marks)
+        pad, mark = np.zeros(m, np.int64), np.arange(n + m) >= n
+        low, high = np.r_[np.minimum(a, b), pad], np.r_[np.maximum(a, b), pad]
+        h = np.r_[np.zeros(n, np.int64), np.array(marks, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(low, mask=mark), pa.array(high, mask=mark), pa.array(h, mask=~mark)], names=["a", "b", "h"])
 
     def rows(batches):
-        now, own, other = None, [], []
-
-        def flush():
-            if now is None or not own or (now[2] == 1 and not other):
-                return
-            for a, b in _cell_pairs(own, other if now[2] == 1 else None, now[3], now[4]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
+        held = None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in (*key, "role", "n", "fp", "label", "part", "sig")]
-            for h, f, kind, i, j, role, *rest in zip(*cols, strict=True):
-                if now != (h, f, kind, i, j):
-                    yield from flush()
-                    now, own, other = (h, f, kind, i, j), [], []
-                (other if role else own).append(tuple(rest))
-        yield from flush()
-
-    ready = cells.join(sets.select("fp", "sig"), "fp").repartition(*key).sortWithinPartitions(*key)
-    return ready.mapInArrow(rows, "a long, b long").distinct()
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for c in key:
+                v = batch.column(c).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            cuts = np.r_[0, np.flatnonzero(new)]
+            if len(cuts) > 1:
+                yield found(batch, cuts[:-1], cuts[1:])
+            # The last cell may go on in the next batch; a cell is bounded by TILE.
+            held = batch.slice(int(cuts[-1]))
+        if held is not None and held.num_rows > 1:
+            yield found(held, np.array([0]), np.array([held.num_rows]))
+
+    ready = cells.join(sets.select("fp", F.col(signature).alias("sig")), "fp").repartition(*key).sortWithinPartitions(*key)
+    return ready.select(*names, "sig").mapInArrow(rows, "a long, b long, h long").distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -310,53 +386,69 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Exact at every size: two linked sets share a shingle of their prefixes, so
     they meet in that shingle's tile; a tile's size bands and bitmap signatures
     only rule out pairs that cannot link; the rest is verified on sorted arrays.
-    Star rounds come first, so that a group of near copies is merged by about one
-    comparison for each member, and the exhaustive round compares only what is
-    still apart.
+    What is merged already needs no comparison: a star round merges most of a
+    group of near copies by one comparison for each member, and tile rounds
+    report the most alike partners first, until a tile has none left out.
     """
     docs = documents.select("doc_id", "text")
     first = written(_prefixes(docs, _frequent(docs)), "prefixes")
+    # One row for each distinct set, before anything is exploded: copies cost one.
     sets = written(
-        first.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets"
+        first.filter("fp is not null")
+        .groupBy("fp")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")),
+        "sets",
     )
-    rows = first.filter("fp is not null").select("fp", "n", F.explode("prefix").alias("h")).dropDuplicates(["h", "fp"])
-    rows = written(rows, "prefix-rows")
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    tiles = written(rows.join(shared, "h").select("h", "fp", "n", F.col("fp").alias("label")), "tiles")
+    shallow = f"n - cast(ceil({2 * SIMILARITY} * n / {100 + SIMILARITY}) as long) + 1"
+    rows = sets.select("fp", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "fp", F.expr(f"pos >= {shallow}").alias("deep"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("deep").alias("all_deep")).filter("c > 1 and not all_deep").select("h")
+    tiles = rows.join(shared, "h").join(sets.select("fp", "n"), "fp")
+    tiles = written(tiles.select("h", "fp", "n", "deep", F.col("fp").alias("label")), "tiles")
     merged: DataFrame | None = None
-    total = tiles.select("fp").distinct().count()
-    for turn in range(STAR_ROUNDS if total else 0):
-        order = F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "label")
-        centre = tiles.groupBy("h").agg(F.min(order).alias("o")).select("h", F.col("o.fp").alias("a"), F.col("o.label").alias("la"))
-        stars = tiles.join(centre, "h").filter("label <> la").select("a", F.col("fp").alias("b")).distinct()
-        links = _verified(_bounded(stars, sets), docs, sets)
-        found = links.count()
-        if found:
-            links = links if merged is None else links.unionByName(merged.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            merged = written(components(links), "merged")
-            tiles = _relabelled(tiles, merged)
-        if found < WORTH * total:
+
+    def merge(pairs: DataFrame) -> DataFrame:
+        """What is merged once the pairs that link are, too."""
+        pairs = written(pairs, "pairs")
+        links = None if pairs.isEmpty() else _verified(pairs, docs, sets)
+        if links is None or links.isEmpty():
+            return merged
+        if merged is not None:
+            links = links.unionByName(merged.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return written(components(links), "merged")
+
+    # A star round: every set against its tiles' centre, one for a whole group of copies.
+    order = F.struct(F.xxhash64("fp"), "fp")
+    centre = tiles.groupBy("h").agg(F.min(order).alias("o")).select("h", F.col("o.fp").alias("a"))
+    merged = merge(_bounded(tiles.join(centre, "h").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct(), sets))
+    limit = PARTNERS
+    while True:
+        tiles = _relabelled(tiles, merged)
+        found = written(_tile_pairs(_cells(tiles), sets, limit, "sig" if limit == PARTNERS else "wide"), "pairs")
+        merged = merge(found.filter("h is null").select("a", "b"))
+        cut = written(found.filter("h is not null").select("h").distinct(), "cut")
+        if cut.isEmpty():
             break
-    if total:
-        links = _verified(_tile_pairs(_cells(tiles), sets), docs, sets)
-        if not links.isEmpty():
-            links = links if merged is None else links.unionByName(merged.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            merged = written(components(links), "merged")
+        # Only tiles with more partners than the limit go another round: what merged meanwhile is not compared again.
+        tiles = tiles.join(cut, "h", "left_semi")
+        limit = NO_LIMIT
     if merged is None:
         named = sets.select("fp", F.col("doc_id").alias("component_id"))
     else:
         rooted = sets.select("fp", "doc_id").join(merged, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
         least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         named = rooted.join(least, "root").select("fp", "component_id")
-    out = first.select("doc_id", "n", "fp").join(written(named, "classes"), "fp", "left")
+    named = written(named, "classes")
+    out = first.select("doc_id", "n", "fp").join(named, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _relabelled(tiles: DataFrame, merged: DataFrame) -> DataFrame:
+def _relabelled(tiles: DataFrame, merged: DataFrame | None) -> DataFrame:
     """Tiles that still hold more than one label, with the labels of now."""
-    now = tiles.drop("label").join(merged, F.col("fp") == F.col("node"), "left").select("h", "fp", "n", F.coalesce("root", "fp").alias("label"))
-    now = written(now, "tiles")
-    mixed = now.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("h")
+    now = tiles
+    if merged is not None:
+        now = tiles.drop("label").join(merged, F.col("fp") == F.col("node"), "left").select("h", "fp", "n", "deep", F.coalesce("root", "fp").alias("label"))
+        now = written(now, "tiles")
+    mixed = now.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("deep").alias("d")).filter("l0 <> l1 and not d").select("h")
     return written(now.join(mixed, "h", "left_semi"), "tiles")
 
 
