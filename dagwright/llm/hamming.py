@@ -39,7 +39,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
 
     Rows with one code are one entry of the index, with their k smallest ids, so
     a code that many rows share costs what a single one does; equal query codes
-    are searched once. Rows with null codes are neither found nor searched; with
+    are searched once. Rows with a null code or id are neither found nor searched; with
     fewer than k rows in the index, all are returned. Ties go to smaller ids.
     Rows that repeat an id are rows of their own.
     """
@@ -48,7 +48,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     salt = F.pmod(F.hash("id"), F.lit(64))
     thin = Window.partitionBy("code", "salt").orderBy("id")
     ids = (
-        index.filter("code is not null")
+        index.filter("code is not null and id is not null")
         .withColumn("salt", salt)
         .withColumn("n", F.row_number().over(thin))
         .filter(F.col("n") <= k)
@@ -100,7 +100,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
 def top_k_vectors(vectors: DataFrame, k: int = 10, every: int = 100, segments: int = 4) -> DataFrame:
     """Searches all rows of ``vectors`` (vec_id, embedding) for every row whose
     vec_id is divisible by ``every``: ``(query_id, rank, vec_id, distance)``.
-    A query finds itself too. Rows with a null vec_id are found, never asked."""
+    A query finds itself too. Rows with a null vec_id or embedding are left out."""
     codes = written(vectors.select(F.col("vec_id").alias("id"), sign_code().alias("code")), "sign-codes")
     return search(codes, codes.filter(F.col("id") % every == 0), k, segments).withColumnRenamed("id", "vec_id")
 
