@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder and read it back.
 
     A lost executor costs a re-read, never a recomputation of what came before.
@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))

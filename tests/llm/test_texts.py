@@ -264,6 +264,21 @@ def test_lm_tells_quality(spark):
     assert both[both["quality"] == 0]["score"].median() > both[both["quality"] == 1]["score"].median() + 0.5
 
 
+def test_lm_counts_every_word_and_pair(spark):
+    # 44,000 words, more than any cap on the vocabulary would leave: the last ones count like the first.
+    docs = [(i, " ".join(f"w{i * 110 + j}" for j in range(110))) for i in range(400)]
+    docs += [(400, docs[0][1]), (401, docs[399][1])]
+    t = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm_select.cross_entropy_difference(t, spark.createDataFrame([(399,), (0,)], "doc_id long")).collect()}
+    # Without its own share each word of these was seen once, after one word, of 401 * 110 tokens.
+    p = 2 / (401 * 110 + 44_000 + 2)
+    for d in (0, 399, 400, 401):
+        assert abs(got[d]["background_loss"] + (109 * np.log2(0.7 + 0.3 * p) + np.log2(0.7 / 401 + 0.3 * p)) / 110) < 1e-6
+        assert (got[d]["score"] < 0) == (d >= 400)
+    alone = 1 / (401 * 110 + 44_000 + 2)
+    assert abs(got[7]["background_loss"] + (109 * np.log2(alone) + np.log2(0.3 * alone)) / 110) < 1e-6
+
+
 # --- BPE ---
 
 
