@@ -1,8 +1,8 @@
 """Character n-gram model with modified Kneser-Ney smoothing, counted by Spark.
 
 Words are modelled one by one, with a mark before and after each. All tables
-are sorted arrays of hashed n-grams: a key has KEY_BITS bits, so a table has at
-most 2**KEY_BITS entries of 12 bytes, whatever the size of the corpus.
+are sorted arrays of hashed n-grams under keys of 64 bits, 12 bytes for each
+distinct n-gram: they grow with what the corpus has, and n-grams do not collide.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mix64, written
 
 ORDER = 4
-KEY_BITS = 20
-#: More groups (languages) than this are refused: 12 bytes * 2**KEY_BITS * ORDER * 2 each, at the most.
+#: More groups (languages) than this are refused.
 MAX_GROUPS = 32
 START, END = 2, 3
 #: Words that are worked on at once.
@@ -40,12 +39,6 @@ class Grams:
     size: int
 
 
-def _fold(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - KEY_BITS)).astype(np.int32)
-
-
 def grams(words: list[bytes], order: int = ORDER) -> Grams:
     order = max(order, 1)
     marked = [chr(START) + w.decode("utf-8", "replace") + chr(END) for w in words]
@@ -59,13 +52,13 @@ def grams(words: list[bytes], order: int = ORDER) -> Grams:
     for k in range(1, order + 1):
         h = (codes + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
         if k > 1:
-            h[1:] ^= hashes[k - 1][:-1] * np.uint64(0xD6E8FEB86659FD93)
+            h[1:] ^= mix64(hashes[k - 1][:-1])
         hashes.append(h)
-    keys = [np.zeros(len(codes), np.int32), *map(_fold, hashes[1:])]
+    keys = [h.view(np.int64) for h in hashes]
     for k in range(1, order + 1):
         at = np.flatnonzero((offset >= max(k - 1, 1)))
         out.key.append(keys[k][at])
-        out.context.append(keys[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.int32))
+        out.context.append(keys[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.int64))
         out.suffix.append(_suffix(codes, at, k, keys))
         out.start.append(offset[at] == k - 1)
         out.word.append(word[at])
@@ -74,7 +67,7 @@ def grams(words: list[bytes], order: int = ORDER) -> Grams:
 
 
 def _suffix(codes, at, k, keys):
-    return keys[k - 1][at] if k > 1 else np.zeros(len(at), np.int32)
+    return keys[k - 1][at] if k > 1 else np.zeros(len(at), np.int64)
 
 
 def word_counts(words: Counter, order: int = ORDER) -> list[tuple[np.ndarray, ...]]:
@@ -100,7 +93,7 @@ def merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
     return key, cols[1][first], cols[2][first], cols[3][first], np.bincount(where, cols[4], len(key)).astype(np.int64)
 
 
-COUNTS = "grp string, k int, key int, context int, suffix int, start boolean, n long"
+COUNTS = "grp string, k int, key long, context long, suffix long, start boolean, n long"
 
 
 def count_rows(grp: str | None, tables: list[tuple]) -> pa.RecordBatch:
@@ -116,7 +109,7 @@ def fit(rows: DataFrame, order: int = ORDER) -> dict[str, KneserNey]:
     of distinct symbols seen before them (their counts where they start a word);
     three discounts for each order from the counts of counts; interpolated.
     """
-    # Rows of a key are added up before the shuffle; at most 2**KEY_BITS come out for a group and order.
+    # Rows of a key are added up before the shuffle.
     table = written(
         rows.groupBy("grp", "k", "key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.max("start").alias("start"), F.sum("n").alias("n")), "counts"
     )
@@ -145,15 +138,15 @@ def fit(rows: DataFrame, order: int = ORDER) -> dict[str, KneserNey]:
     backs = contexts.select("grp", (F.col("k") + 100).alias("k"), F.col("context").alias("key"), (F.col("off") / F.col("total")).cast("float").alias("p"))
     out: dict[str, KneserNey] = {}
     parts: dict[tuple, list] = {}
-    # Partition by partition, 8 bytes a key: the driver holds the tables, no rows.
+    # Partition by partition, 12 bytes a key: the driver holds the tables, no rows.
     for grp, k, key, p in written(probs.unionByName(backs), "tables").mapInArrow(_packed, "grp string, k int, key binary, p binary").toLocalIterator():
-        parts.setdefault((grp, k), []).append((np.frombuffer(key, np.int32), np.frombuffer(p, np.float32)))
+        parts.setdefault((grp, k), []).append((np.frombuffer(key, np.int64), np.frombuffer(p, np.float32)))
     tables = {}
     for at, found in parts.items():
         key, p = (np.concatenate(c) for c in zip(*found, strict=True))
         ascending = np.argsort(key)
         tables[at] = key[ascending], p[ascending]
-    none = np.zeros(0, np.int32), np.zeros(0, np.float32)
+    none = np.zeros(0, np.int64), np.zeros(0, np.float32)
     for grp in groups:
         symbols = len(tables.get((grp, 1), none)[0])
         out[grp] = KneserNey([tables.get((grp, k), none) for k in range(1, order + 1)], [tables.get((grp, k + 100), none) for k in range(1, order + 1)], 1.0 / (symbols + 1))
@@ -167,7 +160,7 @@ def _packed(batches):
         for i, pair in enumerate(zip(b.column("grp").to_pylist(), b.column("k").to_pylist(), strict=True)):
             at.setdefault(pair, []).append(i)
         key, p = b.column("key").to_numpy(), b.column("p").to_numpy()
-        cols = [[g for g, _ in at], [k for _, k in at], [key[i].astype(np.int32).tobytes() for i in at.values()], [p[i].astype(np.float32).tobytes() for i in at.values()]]
+        cols = [[g for g, _ in at], [k for _, k in at], [key[i].astype(np.int64).tobytes() for i in at.values()], [p[i].astype(np.float32).tobytes() for i in at.values()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["grp", "k", "key", "p"])
 
 

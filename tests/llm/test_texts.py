@@ -216,6 +216,18 @@ def test_kneser_ney_is_a_distribution(spark):
         assert all((x == y).all() for x, y in zip(kneser_ney.merged([a, b]), whole, strict=True))
 
 
+def test_ngrams_keep_keys_of_their_own():
+    # Far more 4-grams than a table of 2**20 slots holds apart.
+    r = random.Random(5)
+    words = {"".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(4)) for _ in range(200_000)}
+    tables = kneser_ney.word_counts(Counter(w.encode() for w in words))
+    marked = ["\x02" + w + "\x03" for w in words]
+    for k in (2, 3, 4):
+        grams = Counter(w[i : i + k] for w in marked for i in range(len(w) - k + 1))
+        assert len(tables[k - 1][0]) == len(grams)
+        assert sorted(tables[k - 1][4]) == sorted(grams.values())
+
+
 # --- LM scoring ---
 
 
