@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 
 @dataclass(frozen=True)
 class Role:
@@ -141,17 +143,18 @@ def format_segments(conversations: DataFrame, template: Template = DEFAULT) -> D
     ``turn_valid`` is the state machine's verdict on the turn (unknown roles are
     marked by the template's general marker and never valid). Concatenating the
     segments of a conversation gives its text. A null conv_id is one
-    conversation. An empty table gives an empty table; other columns are ignored.
+    conversation; conv_id may be of any type. Texts and conversations of any
+    length are read in order, some rows at a time. An empty table gives an empty table; other columns are ignored.
     """
 
-    schema = "conv_id long, turn_no long, segment_no int, text string, loss boolean, turn_valid boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+    schema = f"conv_id {dict(conversations.dtypes)['conv_id']}, turn_no long, segment_no int, text string, loss boolean, turn_valid boolean"
+    names = ["conv_id", "turn_no", "segment_no", "text", "loss", "turn_valid"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
 
     def rows(batches):
         last = seen = None
         n = 0
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for conv_id, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if seen is None or conv_id != seen[0]:
@@ -161,7 +164,7 @@ def format_segments(conversations: DataFrame, template: Template = DEFAULT) -> D
                 out += [(conv_id, n, k, s, loss, role in allowed) for k, (s, loss) in enumerate(segments(role, text or "", template))]
                 last, n = role, n + 1
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [b.schema.field("conv_id").type, *kinds], strict=True)], names=names)
 
     return _sorted(conversations).mapInArrow(rows, schema)
 
@@ -172,17 +175,17 @@ def format_digests(conversations: DataFrame, template: Template = DEFAULT) -> Da
     loss_chars, loss_sha256, formatted_chars, valid)``. Cases as in
     :func:`format_segments`; ``valid`` is the state machine's verdict on the
     whole conversation."""
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    schema = f"conv_id {dict(conversations.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
-    def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+    def batch(out, kind):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate([kind, *kinds])], names=names)
 
     def rows(batches):
-        now = None
-        for b in batches:
-            out = []
+        now = kind = None
+        for b in sliced(batches):
+            out, kind = [], b.schema.field("conv_id").type
             for conv_id, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if now is None or conv_id != now.conv_id:
                     if now is not None:
@@ -190,9 +193,9 @@ def format_digests(conversations: DataFrame, template: Template = DEFAULT) -> Da
                     now = _Conversation(conv_id, template)
                 now.add(role, text)
             if out:
-                yield batch(out)
+                yield batch(out, kind)
         if now is not None:
-            yield batch([now.row()])
+            yield batch([now.row()], kind)
 
     return _sorted(conversations).mapInArrow(rows, schema)
 

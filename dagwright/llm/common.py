@@ -2,58 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import dropped
+from ..storage import stored as written
+
+__all__ = ["SPACES", "WORD", "dropped", "mix64", "n_words", "sliced", "uniform", "words_of", "written"]
+
 #: A word is a maximal run of anything but these six ASCII white-space characters.
 #: ``bytes.split()`` splits at exactly the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session, or, only where that is unset (tests), a folder of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="dagwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it to the shared folder and read it back.
-
-    A lost executor costs a re-read, never a recomputation of what came before.
-    The table is deleted when the driver process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    # Shuffle files go when the driver collects its garbage: what is written needs none.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def n_words(text: Column) -> Column:
     """Number of words (``WORD``) of a text, null text 0: every run becomes one
     character, the white space goes, the length is left."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         # (a, b) has a > b here: the smaller neighbours of a, and a itself, go to the smallest.
         hung = large.join(low, "a")
         small = hung.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
-        now = written(small.filter("a <> b").distinct(), "edges")
+        old, now = now, written(small.filter("a <> b").distinct(), "edges")
+        dropped(old, large)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break

@@ -13,12 +13,14 @@ BITS = 64
 
 def sign_code(vector: str = "embedding") -> Column:
     """64-bit code of a vector: bit i is set where dimension i is above 0. Null
-    and NaN entries and missing dimensions leave a bit at 0, dimensions from 64
-    on are not read. A null vector has a null code."""
-    return F.expr(
+    and NaN entries and missing dimensions leave a bit at 0; a vector of more
+    dimensions than a code has bits is an error. A null vector has a null code."""
+    fits = F.when(F.size(vector) <= BITS, F.lit(True)).otherwise(F.raise_error(F.lit(f"a vector has over {BITS} dimensions")).cast("boolean"))
+    code = F.expr(
         f"aggregate(slice({vector}, 1, {BITS}), named_struct('c', 0L, 'i', 0), "
         "(s, x) -> named_struct('c', s.c | if(coalesce(x > 0 and not isnan(x), false), shiftleft(1L, s.i), 0L), 'i', s.i + 1), s -> s.c)"
     )
+    return F.when(F.col(vector).isNotNull() & fits, code)
 
 
 def _segment(code: str, j: int, width: int) -> str:
@@ -65,7 +67,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     apart = [f"bit_count({_segment(xor, j, width)})" for j in range(segments)]
     for level in range(width + 1):
         masks = F.expr(f"filter(sequence(0, {(1 << width) - 1}), m -> bit_count(m) = {level})")
-        probe = todo.select("q", "bound", F.explode(masks).alias("mask")).select(
+        # Few rows become many: they are dealt out first.
+        probe = todo.repartition(2 * todo.sparkSession.sparkContext.defaultParallelism, "q").select("q", "bound", F.explode(masks).alias("mask")).select(
             "q", "bound", F.explode(F.array(*[F.struct(F.lit(j).alias("part"), (F.expr(_segment("q", j, width)).bitwiseXOR(F.col("mask"))).alias("value")) for j in range(segments)])).alias("p")
         ).select("q", "bound", "p.*")
         # The planner sees the probes' size from before the explode: no broadcast.

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 # --- DOM ------------------------------------------------------------------
 
 #: HTML's element classes.
@@ -42,7 +44,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 #: Attribute of labelled pages: "1" main text, "0" not, inherited where it is missing.
 LABEL = "data-main"
 
@@ -99,13 +101,15 @@ def parse(page: str) -> Dom:
                     return 0
         return 0
 
-    at, end = 0, len(page)
+    # Nothing is a tag after the last ">": it is not sought there again and again.
+    at, end, last = 0, len(page), page.rfind(">") + 1
     while at < end:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
+        m = TOKEN.search(page, at, last) if at < last else None
+        text = page[at : m.start()] if m else page[at:].partition("<!--")[0]
         if text and not stack[-1][3]:
             pieces.append((text, stack[-1][2]))
-        if not m:
+        # What a comment without an end holds goes to the end of the page.
+        if not m or m.end() == last and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
             break
         at = m.end()
         close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -453,14 +457,16 @@ def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     character references are decoded and white space is one space. A null or
     empty page, or one without main text, has an empty text. Repeated rows are
     extracted each; an empty table gives an empty table; other columns are
-    ignored. Without a model, one is trained on :func:`labelled_pages`.
+    ignored. Very long pages, deep nesting and tags or comments without an end take
+    time in proportion to their length. Without a model, one is trained on
+    :func:`labelled_pages`.
     """
     model = model or train(labelled_pages())
     shared = pages.sparkSession.sparkContext.broadcast((model.edge, model.odds))
 
     def rows(batches):
         own = TreeModel(*shared.value)
-        for b in batches:
+        for b in sliced(batches, 64):
             text = [own.text(x.as_py()) for x in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, sliced, words_of, written
+from .common import dropped, mix64, sliced, words_of, written
 from .components import components
 
 #: Two sets link when 100 * intersection >= SIMILARITY * union.
@@ -121,14 +121,14 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(doc_id, n, fp, sig, wide, prefix)``: size, set id, signatures, and the first
+    """``(doc_id, text_hash, n, fp, sig, wide, prefix)``: size, set id, signatures, and the first
     shingles in the global order (frequent ones last, else by hash), as many as
     two linked sets must share one of."""
     last = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches):
         hot = last.value
-        for b in batches:
+        for b in sliced(batches, 4096):
             n, fp, sig, wide, prefix = [], [], [], [], []
             seen: dict[int, tuple] = {}
             for x in b.column("text"):
@@ -152,11 +152,11 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 for out, value in zip((sig, wide, prefix), seen[i], strict=True):
                     out.append(value)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "fp", "sig", "wide", "prefix"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "fp", "sig", "wide", "prefix"],
             )
 
-    return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, fp long, sig binary, wide binary, prefix array<long>")
+    return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, fp long, sig binary, wide binary, prefix array<long>")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -211,7 +211,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     arrays = written(_arrays(docs, sets.join(nodes, "fp", "left_semi").select("fp", "doc_id")), "arrays")
     both = pairs.join(arrays.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(arrays.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long"), "links")
+    links = written(both.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long"), "links")
+    dropped(arrays)
+    return links
 
 
 def _band(n):
@@ -390,7 +392,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     group of near copies by one comparison for each member, and tile rounds
     report the most alike partners first, until a tile has none left out.
     """
-    docs = documents.select("doc_id", "text")
+    return _classes(documents).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, n, root, component_id)`` of each row; root names its
+    class, and is null, like component_id, without shingles."""
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     first = written(_prefixes(docs, _frequent(docs)), "prefixes")
     # One row for each distinct set, before anything is exploded: copies cost one.
     sets = written(
@@ -410,11 +418,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         """What is merged once the pairs that link are, too."""
         pairs = written(pairs, "pairs")
         links = None if pairs.isEmpty() else _verified(pairs, docs, sets)
+        dropped(pairs)
         if links is None or links.isEmpty():
             return merged
+        every = links
         if merged is not None:
-            links = links.unionByName(merged.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        return written(components(links), "merged")
+            every = links.unionByName(merged.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        out = written(components(every), "merged")
+        dropped(links, merged)
+        return out
 
     # A star round: every set against its tiles' centre, one for a whole group of copies.
     order = F.struct(F.xxhash64("fp"), "fp")
@@ -422,43 +434,61 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     merged = merge(_bounded(tiles.join(centre, "h").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct(), sets))
     limit = PARTNERS
     while True:
-        tiles = _relabelled(tiles, merged)
+        before, tiles = tiles, _relabelled(tiles, merged)
+        dropped(before)
         found = written(_tile_pairs(_cells(tiles), sets, limit, "sig" if limit == PARTNERS else "wide"), "pairs")
         merged = merge(found.filter("h is null").select("a", "b"))
         cut = written(found.filter("h is not null").select("h").distinct(), "cut")
+        dropped(found)
         if cut.isEmpty():
+            dropped(tiles)
             break
         # Only tiles with more partners than the limit go another round: what merged meanwhile is not compared again.
         tiles = tiles.join(cut, "h", "left_semi")
         limit = NO_LIMIT
     if merged is None:
-        named = sets.select("fp", F.col("doc_id").alias("component_id"))
+        named = sets.select("fp", F.col("fp").alias("root"), F.col("doc_id").alias("component_id"))
     else:
         rooted = sets.select("fp", "doc_id").join(merged, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
         least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = rooted.join(least, "root").select("fp", "component_id")
+        named = rooted.join(least, "root").select("fp", "root", "component_id")
     named = written(named, "classes")
-    out = first.select("doc_id", "n", "fp").join(named, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return first.select("doc_id", "text_hash", "n", "fp").join(named, "fp", "left").select("doc_id", "text_hash", "n", "root", "component_id")
 
 
 def _relabelled(tiles: DataFrame, merged: DataFrame | None) -> DataFrame:
     """Tiles that still hold more than one label, with the labels of now."""
-    now = tiles
+    now, held = tiles, None
     if merged is not None:
         now = tiles.drop("label").join(merged, F.col("fp") == F.col("node"), "left").select("h", "fp", "n", "deep", F.coalesce("root", "fp").alias("label"))
-        now = written(now, "tiles")
+        now = held = written(now, "tiles")
     mixed = now.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("deep").alias("d")).filter("l0 <> l1 and not d").select("h")
-    return written(now.join(mixed, "h", "left_semi"), "tiles")
+    out = written(now.join(mixed, "h", "left_semi"), "tiles")
+    dropped(held)
+    return out
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """``documents`` with one document of each class, the one of the smallest
-    doc_id; documents without words all stay. Rows that repeat that doc_id and
-    text stay one."""
-    best = near_duplicates(documents).filter("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("k")).distinct()
-    kept = documents.join(best, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
-    return kept
+    """``documents`` with one row of each class: one of the smallest doc_id (nulls
+    last), of the texts that have it the one that hashes lowest, and of rows that
+    repeat both any one. Rows without words all stay. Columns are the input's."""
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(row, F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("k"))
+    found = written(_classes(documents), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    of = found.filter("root is not null").groupBy("root").agg(F.min(key).alias("x"))
+    best = of.select(F.struct("x.doc_id", "x.text_hash").alias("best"))
+    # How often a class's best row is there: mostly once, and then no text is shuffled.
+    times = found.filter("root is not null").groupBy(F.struct("doc_id", "text_hash").alias("best")).agg(F.count(F.lit(1)).alias("times"))
+    best = written(best.join(times, "best"), "best")
+    bare = found.filter("root is null").select(F.struct("doc_id", "text_hash").alias("best"), F.lit(1).cast("long").alias("times"))
+    once = rows.join(best.filter("times = 1").unionByName(bare.distinct()), F.col("k") == F.col("best"), "left_semi")
+    if best.filter("times > 1").isEmpty():
+        return once.select("row.*")
+    again = rows.join(best.filter("times > 1"), F.col("k") == F.col("best"), "left_semi")
+    # A row of its own for each key, whatever the types of the other columns.
+    again = again.groupBy("k").agg(F.first("row").alias("row"))
+    return once.select("row.*").unionByName(again.select("row.*"))
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

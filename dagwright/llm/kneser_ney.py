@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import dropped, mix64, written
 
 ORDER = 5
 #: Marks: no code points.
@@ -158,6 +158,7 @@ def fit(rows: DataFrame, order: int = ORDER) -> DataFrame:
     left = table.filter("k > 1").groupBy("grp", (F.col("k") - 1).alias("k"), F.col("suffix").alias("key")).agg(F.count(F.lit(1)).alias("a"))
     lower = table.filter(F.col("k") < order).join(left, ["grp", "k", "key"]).select("grp", "k", "key", "context", "a")
     seen = written(table.filter(F.col("k") == order).select("grp", "k", "key", "context", F.col("n").alias("a")).unionByName(lower), "adjusted")
+    dropped(table)
     n1, n2, n3, n4 = (F.count_if(F.col("a") == i) for i in range(1, 5))
     # Where a count of counts is 0, no discount can be told: the plain estimates' usual values stand in.
     y = F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(0.5)
@@ -174,7 +175,9 @@ def fit(rows: DataFrame, order: int = ORDER) -> DataFrame:
     # One symbol more than was seen stands for all others.
     flat = seen.filter("k = 1").groupBy("grp").agg((1.0 / (F.count(F.lit(1)) + 1)).cast("float").alias("p"))
     flat = flat.select("grp", F.lit(0).alias("k"), F.lit(0).cast("long").alias("key"), "p", F.lit((1 << 63) - 1).alias("weight"))
-    return written(probs.unionByName(backs).unionByName(flat), "tables")
+    out = written(probs.unionByName(backs).unionByName(flat), "tables")
+    dropped(seen)
+    return out
 
 
 def _packed(batches):
@@ -205,7 +208,9 @@ def hot(tables: DataFrame) -> tuple[dict, bool]:
     """The HOT entries of the greatest weight, and whether these are all."""
     whole = tables.count() <= HOT
     top = tables if whole else tables.orderBy(F.desc("weight"), "grp", "k", "key").limit(HOT)
-    rows = written(top.select("grp", "k", "key", "p").mapInArrow(_packed, "grp string, k int, key binary, p binary"), "hot").toArrow()
+    packed = written(top.select("grp", "k", "key", "p").mapInArrow(_packed, "grp string, k int, key binary, p binary"), "hot")
+    rows = packed.toArrow()
+    dropped(packed)
     cols = [rows.column(c).to_pylist() for c in ("grp", "k", "key", "p")]
     return sorted_tables((g, k, np.frombuffer(key, np.int64).view(np.uint64), np.frombuffer(p, np.float32)) for g, k, key, p in zip(*cols, strict=True)), whole
 

@@ -6,6 +6,7 @@ import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,9 @@ from .common import sliced, written
 #: n-grams of one to three characters fall into so many buckets.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: A language column with more values than this is refused: the broadcast model
-#: has BUCKETS float32 for each, 64 MB at the most.
-MAX_LANGUAGES = 256
+#: Languages whose model is broadcast at once, 4 * BUCKETS bytes each (16 MB);
+#: more are scored one such block after another.
+TOGETHER = 64
 #: Characters that are worked on at once.
 BLOCK = 1 << 18
 UNKNOWN = "und"
@@ -89,13 +90,20 @@ class LanguageModel:
     prior: np.ndarray
     logp: np.ndarray
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Predicted language and its posterior probability for each text."""
-        names, scores = [], []
+    @cached_property
+    def usual(self) -> np.ndarray:
+        """Mean log probability of a language's own n-grams."""
+        return (np.exp(self.logp) * self.logp).sum(axis=0, dtype=np.float64)
+
+    def weigh(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log prior and likelihood of each text under each language, and the number
+        of its n-grams (-1 without a letter)."""
         texts = [x or "" for x in texts]
+        whole, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         for a, b in _blocks(texts):
             docs, buckets, has = _grams(texts[a:b])
             total = np.zeros((b - a, len(self.languages)))
+            n[a:b] = np.where(has, np.bincount(docs, minlength=b - a), -1)
             order = np.argsort(docs, kind="stable")
             docs, buckets = docs[order], buckets[order]
             starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, int)
@@ -104,16 +112,28 @@ class LanguageModel:
                 at = starts[s : s + 256]
                 end = starts[s + 256] if s + 256 < len(starts) else len(docs)
                 total[docs[at]] = np.add.reduceat(self.logp[buckets[at[0] : end]], at - at[0], axis=0, dtype=np.float64)
-            if not self.languages:
-                names += [UNKNOWN] * (b - a)
-                scores += [0.0] * (b - a)
-                continue
-            total += self.prior
-            best = total.argmax(axis=1)
-            p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            names += [self.languages[i] if ok else UNKNOWN for i, ok in zip(best, has, strict=True)]
-            scores += [float(x) if ok else 0.0 for x, ok in zip(p, has, strict=True)]
-        return names, scores
+            whole[a:b] = total + self.prior
+        return whole, n
+
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Predicted language and its posterior probability for each text."""
+        best, name, rest, _, n = self.best(texts)
+        ok = (n >= 0) & np.isfinite(best)
+        p = np.exp(np.where(ok, best - rest, -np.inf))
+        return [str(x) if o else UNKNOWN for x, o in zip(name, ok, strict=True)], p.tolist()
+
+    def best(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Of each text: the greatest weight, its language, ln of the sum of all
+        weights' exponentials, the fit (see :func:`predict`), and the n-grams."""
+        weight, n = self.weigh(texts)
+        if not self.languages:
+            none = np.full(len(texts), -np.inf)
+            return none, np.full(len(texts), UNKNOWN, object), none, none, n
+        at = weight.argmax(axis=1)
+        top = weight[np.arange(len(at)), at]
+        rest = top + np.log(np.exp(weight - top[:, None]).sum(axis=1))
+        fit = (top - self.prior[at]) / np.maximum(n, 1) - self.usual[at]
+        return top, np.array(self.languages, object)[at], rest, fit, n
 
 
 def _counts(batches):
@@ -132,41 +152,90 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
 
-def train(labelled: DataFrame, smoothing: float = 0.1) -> LanguageModel:
+@dataclass(frozen=True)
+class Languages:
+    """What training counted: n-grams by (lang, bucket), and of each language, in
+    order, documents and n-grams."""
+
+    counts: DataFrame
+    names: list[str]
+    docs: np.ndarray
+    grams: np.ndarray
+    smoothing: float
+
+    def models(self) -> Iterator[LanguageModel]:
+        """The model of TOGETHER languages after another."""
+        prior = np.log(self.docs) - np.log(max(self.docs.sum(), 1))
+        for a in range(0, max(len(self.names), 1), TOGETHER):
+            names = self.names[a : a + TOGETHER]
+            n = np.full((BUCKETS, len(names)), self.smoothing, np.float32)
+            if names:
+                # At most BUCKETS rows for a language, however large the corpus.
+                rows = self.counts.filter(F.col("lang").between(names[0], names[-1]) & (F.col("bucket") >= 0))
+                at = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")).cast("int") - 1
+                table = rows.select(at.alias("at"), "bucket", F.col("n").cast("float").alias("n")).toArrow()
+                n[table.column("bucket").to_numpy(), table.column("at").to_numpy()] += table.column("n").to_numpy()
+            whole = np.log(self.grams[a : a + TOGETHER] + self.smoothing * BUCKETS)
+            yield LanguageModel(names, prior[a : a + TOGETHER], (np.log(n) - whole).astype(np.float32))
+
+
+def train(labelled: DataFrame, smoothing: float = 0.1) -> Languages:
     """Fits the model on all rows of ``labelled`` (text, lang) with a non-null
-    lang; null texts count for the prior only. No rows: a model of no language."""
+    lang, of whatever number of languages; null texts count for the prior only.
+    No rows: a model of no language."""
     rows = labelled.filter("lang is not null").select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_counts, "lang string, bucket int, n long")
-    # At most BUCKETS + 1 rows for a language, however large the corpus.
     counts = written(rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
-    languages = sorted(r[0] for r in counts.filter("bucket = -1").select("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = counts.toPandas()
-    n = np.zeros((BUCKETS + 1, len(languages)))
-    n[table["bucket"].to_numpy(), np.searchsorted(languages, table["lang"].to_numpy().astype(str)) if languages else []] = table["n"].to_numpy()
-    docs, n = n[BUCKETS], n[:BUCKETS] + smoothing
-    return LanguageModel(languages, np.log(docs) - np.log(max(docs.sum(), 1)), (np.log(n) - np.log(n.sum(axis=0))).astype(np.float32))
+    by = counts.groupBy("lang").agg(F.sum(F.when(F.col("bucket") < 0, F.col("n")).otherwise(0)).alias("docs"), F.sum(F.when(F.col("bucket") >= 0, F.col("n")).otherwise(0)).alias("grams"))
+    # Languages are told apart, and sorted, by code point, as Spark's between() has it.
+    found = sorted(by.collect(), key=lambda r: r[0].encode("utf-8", "surrogatepass"))
+    return Languages(counts, [r[0] for r in found], np.array([r[1] for r in found], float), np.array([r[2] for r in found], float), smoothing)
+
 
+_STATE = "_best", "_name", "_rest", "_fit", "_n"
 
-def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
+
+def predict(documents: DataFrame, languages: Languages, fit: bool = False) -> DataFrame:
     """``documents`` with ``lang_pred`` (a learned language, ``und`` for a null
     text or one without a letter, or if nothing was learned) and ``score``, the
     prediction's posterior probability (0 for ``und``).
 
-    Ties go to the language that sorts first. Repeated rows get equal
+    With ``fit``, another column of that name: the mean log probability of the
+    text's n-grams under its language, less the mean that the language's own have
+    (null for ``und``): far under 0, the text is of no language that was learned,
+    however sure the choice among these is. Ties go to the language that sorts
+    first. Very long texts are worked on one by one. Repeated rows get equal
     predictions, an empty table stays empty. Other columns pass through; columns
-    named lang_pred or score are replaced.
+    named lang_pred or score (or fit, if asked for) are replaced. Beyond TOGETHER
+    languages a table is written between the blocks of them.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    schema = documents.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
+    added = ["lang_pred", "score", *["fit"] * fit]
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in added]
+    # The state's columns have names that no column has.
+    mark = "_" * max(map(len, documents.columns))
+    state = [mark + c for c in _STATE]
+    now = documents.select(*kept, F.lit(float("-inf")).alias(state[0]), F.lit(UNKNOWN).alias(state[1]), F.lit(float("-inf")).alias(state[2]), F.lit(None).cast("double").alias(state[3]), F.lit(0).cast("long").alias(state[4]))
+    for k, model in enumerate(languages.models()):
+        now = _judged(written(now, "judged") if k else now, model, state)
+    best, name, rest, near, n = (F.col(c) for c in state)
+    ok = (n > 0) & (best > float("-inf"))
+    out = {"lang_pred": F.when(ok, name).otherwise(F.lit(UNKNOWN)), "score": F.when(ok, F.exp(best - rest)).otherwise(F.lit(0.0)), "fit": F.when(ok, near)}
+    return now.select(*kept, *[out[c].alias(c) for c in added])
+
+
+def _judged(now: DataFrame, model: LanguageModel, state: list[str]) -> DataFrame:
+    """The state after one more model: the best language so far, and the sum."""
+    shared = now.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
         for b in sliced(batches):
-            names, scores = shared.value.score(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
-
-    return documents.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(rows, schema)
+            best, name, rest, near, n = shared.value.best(b.column("text").to_pylist())
+            old = [b.column(c).to_numpy(zero_copy_only=False) for c in state]
+            more = best > old[0]
+            cols = [np.where(more, best, old[0]), np.where(more, name, old[1]), np.logaddexp(rest, old[2]), np.where(more, near, old[3].astype(float)), n]
+            others = [b.column(c) for c in b.schema.names if c not in state]
+            yield pa.RecordBatch.from_arrays([*others, *[pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)]], names=b.schema.names)
+
+    return now.mapInArrow(rows, now.schema)
 
 
 def held_out(doc_id: Column) -> Column:

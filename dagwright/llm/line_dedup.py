@@ -8,30 +8,39 @@ from pyspark.sql import functions as F
 from .common import SPACES, written
 
 
+#: A line is known by its length and two independent hashes, a window by those of its lines.
+_HASH = "struct(xxhash64({0}) AS a, hash({0}) AS b, length({0}) AS n)"
+
+
 def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n")
 
 
+def _line(x: Column) -> Column:
+    """Two independent hashes of a line, 128 bits, and whether it has a word."""
+    return F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), (F.length(F.translate(x, SPACES, "")) > 0).alias("word"))
+
+
 def repeated_positions(documents: DataFrame) -> DataFrame:
     """Line positions to remove: ``(doc_id, text_hash, covered)``, one row for
     each document that has any, ``covered`` the merged, distinct positions."""
     hashed = documents.filter(F.col("text").contains("\n")).select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
-        F.transform(_lines("text"), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(F.translate(x, SPACES, "")) > 0).alias("word"))).alias("l"),
+        F.transform(_lines("text"), _line).alias("l"),
     )
     three = F.expr("transform(sequence(0, size(l) - 3), i -> struct(i AS pos, l[i] AS a, l[i+1] AS b, l[i+2] AS c))")
     windows = (
         hashed.filter("size(l) >= 3")
         .select("doc_id", "text_hash", F.explode(three).alias("x"))
         .filter("x.a.word or x.b.word or x.c.word")
-        .select("doc_id", "text_hash", F.col("x.pos").alias("pos"), F.xxhash64("x.a.h", "x.b.h", "x.c.h").alias("w"))
+        .select("doc_id", "text_hash", F.col("x.pos").alias("pos"), F.xxhash64("x.a.h", "x.b.h", "x.c.h").alias("w"), F.xxhash64("x.a.g", "x.b.g", "x.c.g").alias("v"))
     )
     windows = written(windows, "windows")
     here = F.struct("doc_id", "pos", "text_hash")
     # Partial aggregation: a window that a third of the corpus has is one row per task here.
-    firsts = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).filter("n > 1").select("w", "first")
-    later = windows.join(firsts, "w").filter(~here.eqNullSafe(F.col("first")))
+    firsts = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).filter("n > 1").select("w", "v", "first")
+    later = windows.join(firsts, ["w", "v"]).filter(~here.eqNullSafe(F.col("first")))
     return (
         later.groupBy("doc_id", "text_hash")
         .agg(F.collect_set("pos").alias("at"))
@@ -44,7 +53,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     three-line windows cover; adds ``n_lines`` and ``n_removed`` (long).
 
     Lines are what ``\\n`` separates. A window is three consecutive lines with a
-    word in one at least, known by the hashes of its lines. The occurrence with
+    word in one at least, known by 128 bits of hashes of its lines. The occurrence with
     the smallest (doc_id, position) anywhere stays; every other one covers its
     three positions, covered positions are merged, and their lines go. Texts of
     fewer than three lines stay as they are, as do null and empty texts (1 line
@@ -55,7 +64,9 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     replaced.
     """
     extra = [c for c in documents.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in extra]).alias("row")
+    # A struct has one field at least; its name must not be a column's.
+    filler = "_" * (1 + max(map(len, documents.columns)))
+    row = F.struct(F.lit(0).alias(filler), *[F.col(f"`{c}`") for c in extra]).alias("row")
     left = documents.select("doc_id", "text", row, F.xxhash64("text").alias("text_hash"))
     gone = repeated_positions(documents.select("doc_id", "text")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "covered")
     joined = left.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left")

@@ -82,6 +82,17 @@ def test_odd_tables(spark):
     assert kept.columns == t.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 6, 7]
 
 
+def test_one_row_of_a_class_is_kept(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyz")
+    schema = "doc_id long, text string, k string, best int, root int, note map<string,int>"
+    rows_ = [(1, a), (1, a), (1, b), (2, b), (3, a), (None, a), (None, c), (None, c), (4, None), (4, None), (5, ""), (7, c + " more")]
+    t = spark.createDataFrame([(*r, "k", 1, 2, {"m": 1}) for r in rows_], schema)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(t).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (4, None), (4, None), (5, ""), (7, c + " more")], key=str)
+    only = spark.createDataFrame([(None, c), (None, c), (None, c + " d")], "doc_id string, text string")
+    assert jaccard.keep_one(only).count() == 1 and jaccard.keep_one(only.limit(0)).count() == 0
+
+
 def test_query(spark, sf):
     got = jaccard.op2_jaccard(spark, sf).toPandas()
     assert rows(got) == rows(connect(sf).execute(jaccard.OP2_SQL).df())

@@ -55,4 +55,5 @@ def test_odd_tables(spark):
                 docs = out
     kept = cp.identify_language(spark, t, "").select("doc_id").collect()
     assert sorted((r[0] for r in kept), key=str) == sorted([3, 3, None, 6], key=str)
+    assert {r["score"] for r in cp.identify_language(spark, t, "").collect()} == {1}
     assert langid.UNKNOWN == "und"

@@ -56,6 +56,8 @@ def test_line_dedup_is_brute_force(spark, texts):
 
 def test_line_dedup_keeps_columns(spark):
     t = spark.createDataFrame([(None, "a\nb\nc", 1, "x"), (2, "a\nb\nc\nd", 2, None)], "doc_id long, text string, n_lines int, covered string")
+    named = line_dedup.dedup_lines(t.selectExpr("*", "1 as _", "2 as __", "3 as row", "4 as w", "5 as text_hash", "6 as g_id"))
+    assert sorted(x["text"] for x in named.select("text", "_", "__", "row", "w", "text_hash", "g_id").collect()) == ["a\nb\nc", "d"]
     got = line_dedup.dedup_lines(t)
     assert got.columns == ["doc_id", "text", "covered", "n_lines", "n_removed"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, "a\nb\nc", "x", 3, 0), (2, "d", None, 4, 3)], key=str)
@@ -139,10 +141,32 @@ def test_language_cases(spark):
     assert langid.predict(t.limit(0), langid.train(t.limit(0))).count() == 0
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    r = random.Random(2)
+    texts = [(i, "".join(r.choice(f"{chr(0x3B1 + i % 20)}{chr(97 + i % 13)}xy ") for _ in range(60)), f"lang{i % 300}") for i in range(600)]
+    t = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    whole = {x["doc_id"]: x for x in langid.predict(t, langid.train(t), fit=True).collect()}
+    assert len({x["lang_pred"] for x in whole.values()}) > 200
+    monkeypatch.setattr(langid, "TOGETHER", 1000)
+    model = langid.train(t)
+    names, scores = next(model.models()).score([x for _, x, _ in texts])
+    for (i, _, _), name, score in zip(texts, names, scores, strict=True):
+        assert whole[i]["lang_pred"] == name and abs(whole[i]["score"] - score) < 1e-6
+
+
+def test_fit_tells_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    other = "Tämä on suomenkielinen teksti joka kertoo metsästä ja järvistä jossa kalat uivat vapaana ja linnut laulavat aamusta iltaan"
+    t = docs.unionByName(spark.createDataFrame([(-1, other, None)], docs.schema))
+    got = {x["doc_id"]: x for x in langid.predict(t, langid.train(docs), fit=True).collect()}
+    assert got[-1]["score"] > 0.99 and got.pop(-1)["fit"] < -3.5
+    assert sum(x["fit"] > -3.5 for x in got.values()) == len(got)
+
+
 def test_language_scores_are_brute_force():
     r = random.Random(0)
     texts = ["".join(r.choice("ab cé1") for _ in range(r.randrange(30))) for _ in range(50)]
-    model = langid.LanguageModel(["x", "y"], np.log([0.3, 0.7]), np.random.default_rng(0).normal(size=(langid.BUCKETS, 2)).astype(np.float32))
+    model = langid.LanguageModel(["x", "y"], np.log([0.3, 0.7]), np.random.default_rng(0).normal(-11, 1, size=(langid.BUCKETS, 2)).astype(np.float32))
     together = model.score(texts)
     alone = [model.score([t]) for t in texts]
     assert together[0] == [a[0][0] for a in alone] and np.allclose(together[1], [a[1][0] for a in alone])
@@ -451,6 +475,9 @@ def test_chat_cases(spark):
         mine.sort(key=lambda s: (s["turn_no"], s["segment_no"]))
         assert sum(len(s["text"]) for s in mine) == r["formatted_chars"]
         assert sum(len(chat.unescaped(s["text"])) for s in mine if s["loss"]) == r["loss_chars"]
+    named = t.selectExpr("concat('c', conv_id) as conv_id", "turn", "role", "text")
+    assert {x["conv_id"]: x["turns_sha256"] for x in chat.format_digests(named).collect()} == {None if k is None else f"c{k}": x["turns_sha256"] for k, x in got.items()}
+    assert chat.format_segments(named).count() == segments.count()
     assert chat.format_digests(t.limit(0)).count() == 0 and chat.format_segments(t.limit(0)).count() == 0
 
 
@@ -516,6 +543,23 @@ def test_html_pages(spark, tree):
     assert html_text.extract(t.limit(0), tree).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<p>a <b " * 60_000, "<p>a " + "<b \"" * 60_000, "<p>a <b '\" " * 60_000, "<p>a " + "<!x " * 80_000, "<p " + "a" * 400_000 + ">x", "<p " + "a " * 200_000 + ">x", "<div>" * 100_000 + "x", "<p>a<!-- b > " * 50_000])
+def test_html_takes_time_by_length(tree, page):
+    import time
+
+    began = time.process_time()
+    tree.text(page)
+    assert time.process_time() - began < 20
+
+
+def test_html_odd_markup(tree):
+    text = lambda x: html_text.parse(x).run[-1][0]
+    assert text("<p>a <b>c</b> < d") == "a c < d" and text("<p>a <!-- b > c") == "a" and text("<p>a <!-- b > c --> d") == "a d"
+    assert text("<p>a <!-- b") == "a" and text("a < b <") == "a < b <" and text("<p>a <b c") == "a <b c" and text("<p>x > y <!-- z") == "x > y"
+    dom = html_text.parse("<div class = 'a b' id=c data-main=\"1\"hidden>x</div>")
+    assert html_text.ATTRIBUTE.findall(dom.element[1][1]) == [("class", "", "a b", ""), ("id", "", "", "c"), ("data-main", "1", "", "")]
+
+
 def test_html_query(spark, sf):
     import html as h
     import re
