@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 from dagwright.llm import bpe, jaccard, langid, line_dedup, mixing
 from dagwright.llm.common import written
 
-#: A document whose language is less probable than this is rejected.
-MIN_LANGUAGE_SCORE = 0.5
+#: A document whose language is less probable than this among the learned ones is
+#: rejected, and one whose n-grams fit it so many nats worse than its own do.
+MIN_LANGUAGE_SCORE, MIN_FIT = 0.5, -3.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language that the labelled ones teach; ``lang``
     becomes the predicted language."""
-    model = langid.train(docs)
-    known = langid.predict(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return known.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    # Columns that are named like a prediction's step aside.
+    aside = {c: "_" * max(map(len, docs.columns)) + c for c in docs.columns if c in ("lang_pred", "score", "fit")}
+    known = langid.predict(docs.withColumnsRenamed(aside), langid.train(docs), fit=True)
+    known = known.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE) & (F.col("fit") >= MIN_FIT))
+    return known.select(*[F.col(f"`{aside.get(c, 'lang_pred' if c == 'lang' else c)}`").alias(c) for c in docs.columns])
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
