@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import dropped, mix64, written
 
-ORDER = 5
+ORDER = 4
 #: Marks: no code points.
 START, END = 0x110000, 0x110001
 #: Symbols that are worked on at once, slots for n-grams of a group that were met
 #: before, groups that have some, and rows of counts that a group holds before it
 #: sends them on: memory and time, not results, depend on them.
 PIECE, SLOTS, GROUPS, HELD = 1 << 16, 1 << 18, 16, 1 << 19
-#: Entries of the tables that are broadcast, 12 bytes each and a few more in transit.
-HOT = 1 << 21
+#: Entries of the tables that are broadcast, 12 bytes each (48 MB) and a few more in transit.
+HOT = 1 << 22
 #: Back-off weights have the context's order and this as their kind.
 BACK = 100
 

@@ -203,9 +203,11 @@ def test_quality(spark):
     fine = got.merge(labels, on="doc_id")
     fine = fine[~fine["base_failed"]]
     assert fine[fine["quality"] == 1]["kept"].mean() > 0.975
-    # The corpus has many of its bad documents' kinds, so its models know them: no more than this is told.
+    # The corpus has many of each kind of bad documents, so the models know them: no more than this is told.
     bad = fine[fine["quality"] == 0]
-    assert bad["kept"].mean() < 0.75 and (bad["leaned"] > bad["upper"]).mean() > 0.1 and (bad["leaned"] < bad["lower"]).mean() > 0.1
+    assert bad["kept"].mean() < 0.75 and (bad["leaned"] > bad["upper"]).mean() > 0.1
+    # What is under the lower band here fails the base rules for its repeats as well.
+    assert (got["leaned"] < got["lower"]).sum() > 100
     assert not (got["base_failed"] & got["kept"]).any()
 
 
@@ -322,16 +324,16 @@ def test_kneser_ney_is_brute_force(spark, monkeypatch, order):
 
 
 def test_ngrams_keep_keys_of_their_own():
-    # Far more 5-grams than a table of 2**18 slots holds apart.
+    # Far more 4-grams than a table of 2**18 slots holds apart.
     r = random.Random(5)
     words = [["".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(4)).encode()] for _ in range(200_000)]
     found = list(kneser_ney.count([("x", words[:100_000]), ("x", words[100_000:])]))
     counted = Counter()
     for b in found:
-        if b.column("k")[0].as_py() == 5:
+        if b.column("k")[0].as_py() == kneser_ney.ORDER:
             counted.update(dict(zip(b.column("key").to_pylist(), b.column("n").to_pylist(), strict=True)))
-    marked = ["^^^^" + w[0].decode() + "$" for w in words]
-    grams = Counter(w[i : i + 5] for w in marked for i in range(len(w) - 4))
+    marked = ["^^^" + w[0].decode() + "$" for w in words]
+    grams = Counter(w[i : i + 4] for w in marked for i in range(len(w) - 3))
     assert sorted(counted.values()) == sorted(grams.values())
 
 
