@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Dag
 from ..plans import fitting as P
+from ..plans.controls import FitControl
 from ..schema import Dist, Schema, standardised, validate, with_levels
 from . import models as M
 from .moments import Design, moments
@@ -61,10 +62,34 @@ class Network:
         """Sum of the nodes' scores; missing ones count nothing."""
         return sum(v for f in self.nodes.values() if (v := f.scores.get(score)) is not None and math.isfinite(v))
 
+    def log_lik(self) -> float:
+        """Sum of the nodes' log likelihoods."""
+        return self.total("mlik")
+
+    def aic(self) -> float:
+        return self.total("aic")
+
+    def bic(self) -> float:
+        return self.total("bic")
+
+    def nobs(self) -> int:
+        return self.n
+
+    def __str__(self) -> str:
+        lines = [f"{self.method} fit of {len(self.nodes)} nodes, {len(self.dag.arcs)} arcs, {self.n} rows"]
+        for f in self.nodes.values():
+            lines.append(f"{f.node} ({f.dist.value}): " + ", ".join(f"{t[0]} {t[3]:.4g} ({t[4]:.3g})" for t in f.terms))
+        sums = [f"{k} {self.total(k):.6g}" for k in ("mlik", "aic", "bic", "mdl") if any(k in f.scores for f in self.nodes.values())]
+        return "\n".join([*lines, ", ".join(sums)])
+
     def family(self) -> dict[str, str]:
         return {n: f.dist.value for n, f in self.nodes.items()}
 
 
+#: Steps of a grid's side that are asked for at once.
+STEPS = 8
+
+
 def wald(z: float) -> float:
     """Two-sided p value."""
     return math.erfc(abs(z) / math.sqrt(2))
@@ -82,15 +107,17 @@ def _terms(design: Design, model: M.Model, node: str, beta, se, states) -> list[
     return out
 
 
-def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bool = True, priors: M.Priors | None = None, reml: bool = True, check: bool = True) -> Network:
+def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bool = True, priors: M.Priors | None = None, reml: bool = True, check: bool = True, control: FitControl | None = None) -> Network:
     """Fits every node's regression on its parents.
 
     ``mle``: maximum likelihood; logistic nodes that separate get the
     bias-reduced estimate. ``bayes``: posterior modes and their standard
     deviations, mlik the log marginal likelihood. A schema with a group column
     adds random intercepts. Gaussian nodes come from one scan's cross-products,
-    all others share their scans.
+    all others share their scans. ``control`` has the priors, unless given, and
+    the solvers' tolerance and most steps.
     """
+    control = control or FitControl()
     if method not in ("mle", "bayes"):
         raise ValueError("method is 'mle' or 'bayes'")
     if tuple(dag.nodes) != tuple(schema.nodes):
@@ -106,7 +133,7 @@ def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bo
         m = m.standardised([design.of[i][0] for i in gaussians])
         df = standardised(df, schema)
     n_vars = len(schema.nodes)
-    prior = (priors or M.Priors()) if method == "bayes" else None
+    prior = (priors or control.priors()) if method == "bayes" else None
     out = Network(dag, schema, method, int(m.n))
     at = {n: i for i, n in enumerate(schema.nodes)}
     built = {c: P.build_model(i, design, i, [at[p] for p in dag.parents(c)], None, prior) for c, i in at.items()}
@@ -146,12 +173,12 @@ def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bo
         if schema.group:
             fits = P.solve(rows, jobs, lambda job: P.glmm_solver(job[0], job[1], prior), P.glmm_call)
         else:
-            fits = P.solve(rows, jobs, lambda job: P.glm_solver(job[0], job[1]), P.glm_call)
+            fits = P.solve(rows, jobs, lambda job: P.glm_solver(job[0], job[1], control.tol, control.max_iters), P.glm_call)
             again = [i for i, (model, _) in enumerate(jobs) if model.dist is Dist.BINOMIAL and not prior and (fits[i] is None or not fits[i].ok or np.abs(fits[i].beta).max(initial=0) > 15)]
             if again:
                 for i in again:
                     built[other[i]].shrink = len(built[other[i]].cols) / m.n
-                more = P.solve(rows, [jobs[i] for i in again], lambda job: P.glm_solver(job[0], job[1]), P.glm_call)
+                more = P.solve(rows, [jobs[i] for i in again], lambda job: P.glm_solver(job[0], job[1], control.tol, control.max_iters), P.glm_call)
                 for k, i in enumerate(again):
                     fits[i] = more[k]
         for i, c in enumerate(other):
@@ -183,102 +210,169 @@ def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bo
     return out
 
 
+def log_factorial(y):
+    """ln Gamma(y + 1) of a column, y >= 0: Stirling's series of y + 8, brought down."""
+    z = y + F.lit(8.0)
+    low = F.lit(1.0)
+    for k in range(1, 8):
+        low = low * (y + F.lit(float(k)))
+    i = 1 / z
+    i2 = i * i
+    series = i * (1 / 12 - i2 * (1 / 360 - i2 * (1 / 1260 - i2 / 1680)))
+    return (z - 0.5) * F.ln(z) - z + 0.5 * M.LN2PI + series - F.ln(low)
+
+
 def score_contributions(df: DataFrame, network: Network, keys: Sequence[str] = ()) -> DataFrame:
     """Per row and node ``(keys..., node, mlik, aic, bic, mdl, hat)``: what each
-    observation adds to each score, and its leverage. A projection of ``df`` (with
-    the network's scale of gaussian columns): no shuffle. Nodes: gaussian,
-    binomial, poisson."""
+    observation adds to each score, and its leverage (null for multinomial nodes).
+    ``df`` has the network's scale of gaussian columns. One scan sums what the
+    leverages need of all nodes; the rest is a projection: no shuffle of rows."""
     schema, n = network.schema, network.n
     design = Design.build(schema)
-    exprs = {}
-    for i, (c, d) in enumerate(schema.dists.items()):
-        if d is Dist.MULTINOMIAL:
-            for k, lv in zip(design.of[i], schema.levels[c], strict=True):
-                exprs[f"x{k}"] = F.when(F.col(c) == F.lit(lv), 1.0).otherwise(0.0)
-        elif d is Dist.BINOMIAL:
-            exprs[f"x{design.of[i][0]}"] = F.when(F.col(c) == F.lit(schema.levels[c][-1]), 1.0).otherwise(0.0)
-        else:
-            exprs[f"x{design.of[i][0]}"] = F.col(c).cast("double")
-    wide = df.select(*[F.col(k) for k in keys], *[e.alias(a) for a, e in exprs.items()])
-    m = moments(df, design)
+    wide = design.frame(df, keep=keys)
     at = {c: i for i, c in enumerate(schema.nodes)}
-    rows = []
+    plan, sums = {}, []
     for c, f in network.nodes.items():
-        if f.dist is Dist.MULTINOMIAL:
-            continue
-        parents = network.dag.parents(c)
-        cols = design.columns([at[p] for p in parents])
+        cols = design.columns([at[p] for p in network.dag.parents(c)])
         terms = [F.lit(1.0) if k == 0 else F.col(f"x{k}") for k in cols]
-        eta = F.lit(0.0)
-        for t, term in zip(f.terms, terms, strict=True):
-            eta = eta + F.lit(t[3]) * term
         y = F.col(f"x{design.of[at[c]][0]}")
+        etas = []
+        for b in range(len(design.of[at[c]]) - 1 if f.dist is Dist.MULTINOMIAL else 1):
+            eta = F.lit(0.0)
+            for t, term in zip(f.terms[b * len(cols) : (b + 1) * len(cols)], terms, strict=True):
+                eta = eta + F.lit(t[3]) * term
+            etas.append(eta)
+        (eta, *_), weight, k = etas, None, len(cols) * len(etas)
         if f.dist is Dist.GAUSSIAN:
             ll = F.lit(-0.5 * math.log(2 * math.pi * f.sigma**2)) - (y - eta) * (y - eta) / F.lit(2 * f.sigma**2)
-            k, weight, xx = len(cols) + 1, F.lit(1.0), m.raw(cols)
+            k, weight = k + 1, F.lit(1.0)
+        elif f.dist is Dist.BINOMIAL:
+            ll = y * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))
+            mu = 1 / (1 + F.exp(-eta))
+            weight = mu * (1 - mu)
+        elif f.dist is Dist.POISSON:
+            ll, weight = y * eta - F.exp(eta) - log_factorial(y), F.exp(eta)
         else:
-            k = len(cols)
-            if f.dist is Dist.BINOMIAL:
-                ll = y * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))
-                mu = 1 / (1 + F.exp(-eta))
-                weight = mu * (1 - mu)
-            else:
-                fact = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), y.cast("int"))), F.lit(0.0), lambda a, v: a + F.ln(v.cast("double")))
-                ll = y * eta - F.exp(eta) - fact
-                weight = F.exp(eta)
-            s = wide.agg(*[F.sum(weight * a * b).alias(f"{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if j >= i]).first()
-            xx = np.array([[s[f"{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))])
-        inv = np.linalg.pinv(xx, hermitian=True)
-        hat = F.lit(0.0)
-        for i, a in enumerate(terms):
-            for j, b in enumerate(terms):
-                hat = hat + F.lit(float(inv[i, j])) * a * b
+            high = F.greatest(F.lit(0.0), *etas)
+            total = F.exp(-high)
+            ll = -high
+            for e, j in zip(etas, design.of[at[c]][1:], strict=True):
+                total = total + F.exp(e - high)
+                ll = ll + F.col(f"x{j}") * e
+            ll = ll - F.ln(total)
+        plan[c] = ll, weight, k, terms
+        if weight is not None:
+            sums += [F.sum(weight * a * b).alias(f"{at[c]}_{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if j >= i]
+    s = wide.agg(F.count(F.lit(1)), *sums).first()
+    rows = []
+    for c, (ll, weight, k, terms) in plan.items():
+        hat = F.lit(None).cast("double")
+        if weight is not None:
+            xx = np.array([[s[f"{at[c]}_{min(i, j)}_{max(i, j)}"] for j in range(len(terms))] for i in range(len(terms))])
+            inv = np.linalg.pinv(xx, hermitian=True)
+            hat = F.lit(0.0)
+            for i, a in enumerate(terms):
+                for j, b in enumerate(terms):
+                    hat = hat + F.lit(float(inv[i, j])) * a * b
+            hat = weight * hat
         bic = -2 * ll + F.lit(k / n * math.log(n))
-        rows.append(
-            F.struct(F.lit(c).alias("node"), ll.alias("mlik"), (-2 * ll + F.lit(2 * k / n)).alias("aic"), bic.alias("bic"), (bic + F.lit((1 + len(parents)) / n * math.log(n))).alias("mdl"), (weight * hat).alias("hat"))
-        )
+        mdl = bic + F.lit((1 + len(network.dag.parents(c))) / n * math.log(n))
+        rows.append(F.struct(F.lit(c).alias("node"), ll.alias("mlik"), (-2 * ll + F.lit(2 * k / n)).alias("aic"), bic.alias("bic"), mdl.alias("mdl"), hat.alias("hat")))
     return wide.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
 
 
 # --- Posterior marginals --------------------------------------------------
 
 
-def marginals(df: DataFrame, schema: Schema, dag: Dag, network: Network | None = None, nodes: Iterable[str] | None = None, points: int = 51, spread: float = 5.0, centre: bool = True, priors: M.Priors | None = None) -> DataFrame:
-    """``(node, param, x, f)``: posterior density of each parameter over a grid of
-    mode +- spread standard deviations, by Laplace's method over the others. The
-    points of all parameters are solved together."""
-    network = network or fit(df, schema, dag, "bayes", centre, priors)
+def marginals(
+    df: DataFrame, schema: Schema, dag: Dag, network: Network | None = None, nodes: Iterable[str] | None = None, points: int | None = None, spread: float = 5.0, centre: bool = True, priors: M.Priors | None = None, control: FitControl | None = None
+) -> DataFrame:
+    """``(node, param, x, f)``: posterior density of each coefficient and precision,
+    by Laplace's method over the others; with random intercepts, too.
+
+    The grid of a parameter goes from its mode in steps of half a standard
+    deviation, either way, until the density is under ``control.min_pdf`` or
+    ``control.max_grid_iter`` steps are made; a precision's stays above 0. With
+    ``points``, it is that many of them over mode +- spread standard deviations.
+    The points that all parameters ask for are solved together, some rounds of them.
+    """
+    control = control or FitControl()
+    network = network or fit(df, schema, dag, "bayes", centre, priors, control=control)
     schema = network.schema
-    design, prior = Design.build(schema), priors or M.Priors()
+    design, prior = Design.build(schema), priors or control.priors()
     df = P.only_needed(df, schema)
     gaussians = [design.of[i][0] for i, d in enumerate(schema.dists.values()) if d is Dist.GAUSSIAN]
     m = moments(df, design)
     if centre:
         m, df = m.standardised(gaussians), standardised(df, schema)
     at = {c: i for i, c in enumerate(schema.nodes)}
+    built = {c: P.build_model(at[c], design, at[c], [at[p] for p in dag.parents(c)], None, prior) for c in nodes or schema.nodes}
+    held: list[P.Rows] = []
+
+    def densities(asked: list[tuple[str, int, float]]) -> list[float]:
+        """Density of each (node, number of the term, value)."""
+        out, jobs, where = [0.0] * len(asked), [], []
+        for i, (c, k, x) in enumerate(asked):
+            f, model = network.nodes[c], built[c]
+            if f.dist is Dist.GAUSSIAN and not schema.group:
+                out[i] = float(np.exp(M.gaussian_laplace(m, model, (k, x))[0] - f.scores["mlik"]))
+            else:
+                jobs.append((M.Model(len(jobs), model.dist, model.y, model.cols, model.n_parents, 0.0, prior, (k, x)), float(m.mean[model.y[0]])))
+                where.append(i)
+        if jobs and not held:
+            held.append(P.Rows(df, design, group=bool(schema.group)))
+        by = lambda d: [i for i, j in enumerate(jobs) if (j[0].dist is Dist.GAUSSIAN) == d]
+        for normal in (True, False):
+            if not (own := by(normal)):
+                continue
+            mine = [jobs[i] for i in own]
+            if not schema.group:
+                values = {i: M.laplace(v) if v else -math.inf for i, v in P.solve(held[0], mine, lambda job: P.glm_solver(job[0], job[1], control.tol, control.max_iters), P.glm_call).items()}
+            else:
+                from ..plans.cache import _bayes_group, lmm_bayes_call, lmm_bayes_solver
+
+                make, call = (lambda job: lmm_bayes_solver(job[0], m, prior), lmm_bayes_call) if normal else (lambda job: P.glmm_solver(job[0], job[1], prior), P.glmm_call)
+                values = {i: _bayes_group(v, 0)[0] for i, v in P.solve(held[0], mine, make, call).items()}
+            for i, k in enumerate(own):
+                out[where[k]] = float(np.exp(values[i] - network.nodes[asked[where[k]][0]].scores["mlik"]))
+        return out
+
+    terms = [(c, k, t) for c in built for k, t in enumerate(network.nodes[c].terms)]
     rows: list[tuple] = []
-    jobs, where = [], []
-    for c in nodes or schema.nodes:
-        f = network.nodes[c]
-        model = P.build_model(at[c], design, at[c], [at[p] for p in dag.parents(c)], None, prior)
-        whole = f.scores["mlik"]
-        for k, term in enumerate(f.terms):
-            grid = term[3] + np.linspace(-spread, spread, points) * max(term[4], 1e-12)
-            if term[0].endswith("|precision"):
-                grid = grid[grid > 0]
-            for x in grid:
-                if f.dist is Dist.GAUSSIAN:
-                    rows.append((c, term[0], float(x), float(np.exp(M.gaussian_laplace(m, model, (k, float(x)))[0] - whole))))
-                else:
-                    jobs.append((M.Model(len(jobs), model.dist, model.y, model.cols, model.n_parents, 0.0, prior, (k, float(x))), float(m.mean[model.y[0]])))
-                    where.append((c, term[0], float(x), whole))
-    if jobs:
-        fits = P.solve(P.Rows(df, design), jobs, lambda job: P.glm_solver(job[0], job[1]), P.glm_call)
-        for i, (c, name, x, whole) in enumerate(where):
-            rows.append((c, name, x, float(np.exp(M.laplace(fits[i]) - whole)) if fits[i] else 0.0))
+    if points:
+        grid = [(c, k, t, float(x)) for c, k, t in terms for x in t[3] + np.linspace(-spread, spread, points) * max(t[4], 1e-12) if x > 0 or not t[0].endswith("|precision")]
+        for (c, _, t, x), f in zip(grid, densities([(c, k, x) for c, k, _, x in grid]), strict=True):
+            rows.append((c, t[0], x, f))
+    else:
+        # (term, side) -> steps made; a side that has come under min_pdf goes no further.
+        sides = {(i, s): 0 for i in range(len(terms)) for s in (1, -1)}
+        asked = [(i, 0, 0) for i in range(len(terms))]
+        while asked or sides:
+            for (i, s), done in sides.items():
+                asked += [(i, s, n) for n in range(done + 1, min(done + STEPS, control.max_grid_iter) + 1)]
+            places = [(i, s, n, terms[i][2][3] + s * n * 0.5 * max(terms[i][2][4], 1e-12)) for i, s, n in asked]
+            places = [x for x in places if x[3] > 0 or not terms[x[0]][2][0].endswith("|precision")]
+            found = densities([(terms[i][0], terms[i][1], x) for i, _, _, x in places])
+            rows += [(terms[i][0], terms[i][2][0], float(x), f) for (i, _, _, x), f in zip(places, found, strict=True)]
+            last = {(i, s): (n, f) for (i, s, n, _), f in zip(places, found, strict=True)}
+            sides = {k: last[k][0] for k in sides if k in last and last[k][1] > control.min_pdf and sides[k] + STEPS <= last[k][0] < control.max_grid_iter}
+            asked = []
     return df.sparkSession.createDataFrame(rows, "node string, param string, x double, f double")
 
 
+def posterior(df: DataFrame, schema: Schema, dag: Dag, control: FitControl | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """What a Bayesian fit's user looks at: :func:`marginals` on ``control.n_grid``
+    equal steps, of unit area if ``control.std_area``, and their
+    ``control.quantiles``."""
+    control = control or FitControl()
+    density = marginals(df, schema, dag, control=control, **how)
+    if control.n_grid:
+        density = regrid(density, control.n_grid)
+    if control.std_area:
+        density = unit_area(density)
+    return density, density_quantiles(density, control.quantiles)
+
+
 def _steps(density: DataFrame, keys: Sequence[str]) -> tuple:
     by = Window.partitionBy(*keys)
     return by, by.orderBy("x")
@@ -341,10 +435,16 @@ def mse_from_modes(coefficients: DataFrame) -> DataFrame:
     return coefficients.filter(F.col("term").endswith("|precision")).select("node", (1 / F.col("estimate")).alias("mse"))
 
 
+def mode_of(density: DataFrame, keys: Sequence[str] = ("node", "param"), points: int = 10_000) -> DataFrame:
+    """``(keys..., mode)``: where the spline through each density is highest."""
+    top = Window.partitionBy(*keys).orderBy(F.desc("f"), "x")
+    return regrid(density, points, keys).withColumn("r", F.row_number().over(top)).filter("r = 1").select(*keys, F.col("x").alias("mode"))
+
+
 def modes_to_coefficients(coefficients: DataFrame) -> DataFrame:
     """``(node, name, estimate)``: modes without the precisions, intercepts as
     ``node|intercept``, slopes under the parent's name."""
     return coefficients.filter(~F.col("term").endswith("|precision")).select("node", F.regexp_replace("term", r"^[^|]*\|(?!intercept)", "").alias("name"), "estimate")
 
 
-__all__ = ["Network", "NodeFit", "density_quantiles", "fit", "marginals", "modes_to_coefficients", "mse_from_modes", "regrid", "score_contributions", "spline", "unit_area", "wald"]
+__all__ = ["Network", "NodeFit", "density_quantiles", "fit", "log_factorial", "marginals", "mode_of", "modes_to_coefficients", "mse_from_modes", "posterior", "regrid", "score_contributions", "spline", "unit_area", "wald"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Dist, Schema, with_levels
@@ -26,36 +26,59 @@ def quantiles(df: DataFrame, column: str, at: Sequence[float], small: int = 1_00
     the interval that holds it, until that holds ``small`` rows at most; these are
     then sorted. Each step is one scan with a bounded aggregation.
     """
-    x = F.col(column).cast("double")
-    n, lo, hi = df.agg(F.count(x), F.min(x), F.max(x)).first()
-    if not n:
-        return [float("nan")] * len(at)
-
-    def order_statistic(k: int) -> float:
-        a, b, below, left = lo, hi, 0, n
-        part = df.select(x.alias("x")).filter("x is not null")
-        while left > small and a < b:
-            step = (b - a) / 1024
-            if step <= 0 or a + step == a:
-                break
-            cell = F.least(F.lit(1023), F.floor((F.col("x") - F.lit(a)) / F.lit(step))).cast("int")
-            rows = part.filter(F.col("x").between(a, b)).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("c").collect()
-            for r in rows:
-                if below + r["n"] > k:
-                    a, b, left = r["lo"], r["hi"], r["n"]
-                    break
-                below += r["n"]
-        if a == b:
-            return a
-        near = part.filter(F.col("x").between(a, b)).orderBy("x").offset(k - below).limit(1)
-        return near.first()[0]
-
-    out = []
-    for q in at:
-        h = (n - 1) * q
-        k = math.floor(h)
-        v = order_statistic(k)
-        out.append(v if h == k else v + (h - k) * (order_statistic(k + 1) - v))
+    return column_quantiles(df, [column], at, small)[column]
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], small: int = 1_000_000) -> dict[str, list[float]]:
+    """Exact quantiles of some columns: all order statistics of all columns close in
+    together, one scan a step."""
+    x = {c: F.col(c).cast("double") for c in columns}
+    first = df.agg(*[f for c in columns for f in (F.count(x[c]).alias(f"n {c}"), F.min(x[c]).alias(f"lo {c}"), F.max(x[c]).alias(f"hi {c}"))]).first()
+    # (column, rank) -> interval [a, b] that holds it, rows below a, rows within
+    open_: dict[tuple[str, int], tuple] = {}
+    for c in columns:
+        n = first[f"n {c}"]
+        for q in at if n else ():
+            k = math.floor((n - 1) * q)
+            for r in {k, min(k + 1, n - 1)}:
+                open_[c, r] = first[f"lo {c}"], first[f"hi {c}"], 0, n
+    found = {at_: v[0] for at_, v in open_.items() if v[0] == v[1]}
+    while todo := {k: v for k, v in open_.items() if k not in found}:
+        # What is small enough is sorted; all else is counted in equal intervals.
+        spans = sorted({(c, a, b, below, left) for (c, _), (a, b, below, left) in todo.items()})
+        last = {s for s in spans if s[4] <= small or (s[2] - s[1]) / 1024 <= 0 or s[1] + (s[2] - s[1]) / 1024 == s[1]}
+        cells = []
+        for i, (c, a, b, below, _) in enumerate(spans):
+            v = x[c]
+            if spans[i] in last:
+                # As many values as a span has rows at most, each with its number.
+                cell = F.when(v.between(a, b), F.struct(F.lit(i).alias("i"), F.lit(0).alias("c"), v.alias("x")))
+            else:
+                step = (b - a) / 1024
+                cell = F.when(v.between(a, b), F.struct(F.lit(i).alias("i"), F.least(F.lit(1023), F.floor((v - F.lit(a)) / F.lit(step))).cast("int").alias("c"), F.lit(None).cast("double").alias("x")))
+            cells.append(cell)
+        rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("s"), F.array(*[x[c] for c in columns]).alias("v"))
+        value = F.element_at("v", F.element_at(F.array(*[F.lit(columns.index(s[0]) + 1) for s in spans]), F.col("s.i") + 1))
+        counted = rows.select("s", value.alias("y")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+        # Running counts within each span: a window over its few cells or values.
+        order = Window.partitionBy("s.i").orderBy("s.c", "s.x").rowsBetween(Window.unboundedPreceding, -1)
+        run = counted.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+        want = [(i, k - s[3]) for i, s in enumerate(spans) for (c, k), v in todo.items() if (c, *v) == s]
+        asked = df.sparkSession.createDataFrame(want, "i int, k long")
+        hits = run.join(F.broadcast(asked), (F.col("s.i") == F.col("i")) & (F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("n"))).select("i", "k", "lo", "hi", "before", "n").collect()
+        for h in hits:
+            c, _, _, below, _ = spans[h["i"]]
+            rank = h["k"] + below
+            open_[c, rank] = h["lo"], h["hi"], below + h["before"], h["n"]
+            if h["lo"] == h["hi"]:
+                found[c, rank] = h["lo"]
+    out = {}
+    for c in columns:
+        n, out[c] = first[f"n {c}"], []
+        for q in at:
+            h = (n - 1) * q
+            k = math.floor(h)
+            out[c].append(float("nan") if not n else found[c, k] if h == k else found[c, k] + (h - k) * (found[c, k + 1] - found[c, k]))
     return out
 
 
@@ -73,6 +96,8 @@ def bin_counts(df: DataFrame, schema: Schema, method: str | int = "sturges") ->
         raise ValueError(f"method is a number of bins or one of {METHODS}")
     x = {c: F.col(c).cast("double") for c in cols}
     s = df.agg(*[f for c in cols for f in (F.count(x[c]).alias(f"n {c}"), F.min(x[c]).alias(f"lo {c}"), F.max(x[c]).alias(f"hi {c}"), F.stddev_samp(x[c]).alias(f"sd {c}"), F.skewness(x[c]).alias(f"g {c}"))]).first()
+    rule = isinstance(method, str) and method.startswith("fd")
+    quarters = column_quantiles(df, cols, (0.25, 0.75)) if rule else {}
     out = {}
     for c in cols:
         n, lo, hi, sd, g = (s[f"{k} {c}"] for k in ("n", "lo", "hi", "sd", "g"))
@@ -95,7 +120,7 @@ def bin_counts(df: DataFrame, schema: Schema, method: str | int = "sturges") ->
             if method.startswith("scott"):
                 width = 3.5 * sd / n ** (1 / 3)
             else:
-                q1, q3 = quantiles(df, c, (0.25, 0.75))
+                q1, q3 = quarters[c]
                 width = 2 * (q3 - q1) / n ** (1 / 3)
             cuts = ((hi - lo) if method.endswith("_range") else 1.0) / width + 1 if width > 0 else 2
         # Rounded first: a whole number must not fall either way by the last bit.
@@ -192,13 +217,18 @@ def link_strength(df: DataFrame, schema: Schema, arcs: Iterable[tuple[str, str]]
     used = [c for c in schema.nodes if any(c in a for a in arcs)]
     binned = discretise(df, schema.only(used), bins)
     parents = {c: [p for p, x in arcs if x == c] for _, c in arcs}
+
+    def sets(p, c):
+        others = [x for x in parents[c] if x != p]
+        return {"x": {p}, "y": {c}, "xy": {p, c}, "z": set(others), "xz": {p, *others}, "yz": {c, *others}, "xyz": {p, c, *others}}
+
+    # One scan counts every set of columns that some arc asks for; equal sets count once.
+    wanted = {tuple(u for u in used if u in s) for p, c in arcs for s in sets(p, c).values()}
+    known = set_entropies(binned, sorted(wanted))
     out = None
     for p, c in arcs:
-        others = [x for x in parents[c] if x != p]
-        counts = contingency(binned, [p, c, *others])
-        h = entropies(counts, {"x": [p], "y": [c], "xy": [p, c], "z": others, "xz": [p, *others], "yz": [c, *others], "xyz": [p, c, *others]})
-        row = h.agg(*[F.max(F.when(F.col("name") == k, F.col("h"))).alias(k) for k in ("x", "y", "xy", "z", "xz", "yz", "xyz")])
-        x, y, xy, z, xz, yz, xyz = (F.col(k) for k in ("x", "y", "xy", "z", "xz", "yz", "xyz"))
+        x, y, xy, z, xz, yz, xyz = (F.col(_set_name(tuple(u for u in used if u in s))) for s in sets(p, c).values())
+        row = known
         mi = x + y - xy
         ls = xz + yz - xyz - z
         value = {
@@ -216,9 +246,34 @@ def link_strength(df: DataFrame, schema: Schema, arcs: Iterable[tuple[str, str]]
     return out
 
 
+def _set_name(columns: Sequence[str]) -> str:
+    return "h_" + "_".join(columns)
+
+
+def set_entropies(binned: DataFrame, sets: Sequence[Sequence[str]], base: float = 2.0) -> DataFrame:
+    """One row with the entropy of each set of columns (``h_<a>_<b>``), by grouping
+    sets over one scan; the empty set has entropy 0."""
+    columns = [c for c in binned.columns if any(c in s for s in sets)]
+    full = [s for s in sets if s]
+    counts = binned.groupingSets([[F.col(c) for c in s] for s in full], *[F.col(c) for c in columns]).agg(F.grouping_id().alias("id"), F.count(F.lit(1)).alias("n"))
+    h = F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")
+    by = counts.groupBy("id").agg((h / math.log(base)).alias("h"))
+    # Bit i of the id, from the last column on, is set where the column is not in the set.
+    ids = {_set_name(s): sum(1 << i for i, c in enumerate(reversed(columns)) if c not in s) for s in full}
+    row = by.agg(*[F.max(F.when(F.col("id") == k, F.col("h"))).alias(name) for name, k in ids.items()])
+    return row.withColumn(_set_name(()), F.lit(0.0))
+
+
 def odds_ratio(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``(odds_ratio)`` of two 0/1 columns: n00 * n11 / (n01 * n10), an
-    off-diagonal 0 counting as one half."""
+    off-diagonal 0 counting as one half. Any other value is an error."""
+    other = df.filter(~(F.col(x).isin(0, 1) & F.col(y).isin(0, 1)) | F.col(x).isNull() | F.col(y).isNull())
+    if not other.isEmpty():
+        raise ValueError(f"{x} and {y} are no 0/1 columns")
+    return odds_ratio_of_counts(df.select(x, y), x, y)
+
+
+def odds_ratio_of_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     n = lambda a, b: F.count_if((F.col(x) == a) & (F.col(y) == b)).cast("double")
     half = lambda v: F.when(v == 0, 0.5).otherwise(v)
     return df.agg(n(0, 0).alias("a"), n(0, 1).alias("b"), n(1, 0).alias("c"), n(1, 1).alias("d")).select((F.col("a") * F.col("d") / (half(F.col("b")) * half(F.col("c")))).alias("odds_ratio"))

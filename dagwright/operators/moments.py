@@ -13,6 +13,8 @@ from ..schema import Dist, Schema
 
 #: Up to so many columns, cross-products are Spark aggregates; beyond, matrix products by Arrow batch.
 WIDE = 8
+#: Tasks that merge what the scan's tasks found.
+MERGERS = 16
 
 
 @dataclass(frozen=True)
@@ -34,9 +36,9 @@ class Design:
             names += cols
         return cls(schema, tuple(names), tuple(of))
 
-    def frame(self, df: DataFrame, group: bool = False) -> DataFrame:
-        """``x1, x2, ...`` as doubles (and the group as ``g``)."""
-        out = []
+    def frame(self, df: DataFrame, group: bool = False, keep=()) -> DataFrame:
+        """``x1, x2, ...`` as doubles (and the group as ``g``), after columns to keep."""
+        out = [F.col(k) for k in keep]
         for i, (c, d) in enumerate(self.schema.dists.items()):
             if d is Dist.MULTINOMIAL:
                 out += [F.when(F.col(c) == F.lit(x), 1.0).otherwise(0.0).alias(f"x{k}") for k, x in zip(self.of[i], self.schema.levels[c], strict=True)]
@@ -98,31 +100,46 @@ def moments(df: DataFrame, design: Design) -> Moments:
                 cross[i, j] = cross[j, i] = row[f"c{i}_{j}"] * n
         return Moments(float(n), mean, cross)
 
-    def partial(batches):
-        n, m, c = 0, np.zeros(p - 1), np.zeros((p - 1, p - 1))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            a = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p - 1)])
-            k, mk = len(a), a.mean(axis=0)
+    def merged(parts):
+        """Chan's formula: number, means and centred products of parts taken together."""
+        n, m, c = 0.0, np.zeros(p - 1), np.zeros((p - 1, p - 1))
+        for k, mk, ck in parts:
             d = mk - m
-            c += (a - mk).T @ (a - mk) + np.outer(d, d) * (n * k / (n + k))
+            c += ck + np.outer(d, d) * (n * k / (n + k))
             m, n = m + d * k / (n + k), n + k
+        return n, m, c
+
+    def row(n, m, c):
+        return pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([m.tolist()]), pa.array([c.ravel().tolist()])], names=["n", "m", "c"])
+
+    def partial(batches):
+        def parts():
+            for b in batches:
+                if b.num_rows:
+                    a = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(p - 1)])
+                    mk = a.mean(axis=0)
+                    yield len(a), mk, (a - mk).T @ (a - mk)
+
+        n, m, c = merged(parts())
+        if n:
+            yield row(n, m, c)
+
+    def each(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                yield r["n"], np.array(r["m"]), np.array(r["c"]).reshape(p - 1, p - 1)
+
+    def together(batches):
+        n, m, c = merged(each(batches))
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([m.tolist()]), pa.array([c.ravel().tolist()])], names=["n", "m", "c"])
-
-    total = None
-    # One row of p * p numbers for each task; merged pairwise as they come, never held together.
-    for r in x.mapInArrow(partial, "n double, m array<double>, c array<double>").toLocalIterator():
-        n, m, c = r["n"], np.array(r["m"]), np.array(r["c"]).reshape(p - 1, p - 1)
-        if total is None:
-            total = [n, m, c]
-        else:
-            d = m - total[1]
-            total[2] = total[2] + c + np.outer(d, d) * (total[0] * n / (total[0] + n))
-            total[1] = total[1] + d * n / (total[0] + n)
-            total[0] += n
-    if total is None:
+            yield row(n, m, c)
+
+    # One job: a row of p * p numbers for each task, these merged in MERGERS tasks, as
+    # they come, and what is left in the driver.
+    kind = "n double, m array<double>, c array<double>"
+    rows = x.mapInArrow(partial, kind).repartition(MERGERS).mapInArrow(together, kind).collect()
+    n, m, c = merged((r["n"], np.array(r["m"]), np.array(r["c"]).reshape(p - 1, p - 1)) for r in rows)
+    if not n:
         raise ValueError("the table is empty")
-    mean[1:], cross[1:, 1:] = total[1], total[2]
-    return Moments(total[0], mean, cross)
+    mean[1:], cross[1:, 1:] = m, c
+    return Moments(n, mean, cross)

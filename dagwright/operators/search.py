@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from ..graph import Dag
 from ..plans.cache import score_column
+from ..storage import stored
 
 #: 2**n subsets and as many numbers for each node are held in one task.
 MAX_EXACT = 20
 WORST = -1.797e308
+#: Parent sets that every search holds: some 300 MB.
+MAX_SHARED = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -144,7 +147,9 @@ def dag_score(cache: DataFrame, dag: Dag, score: str = "bic") -> DataFrame:
     spark = cache.sparkSession
     want = spark.createDataFrame(list(dag.masks().items()), "name string, set long")
     have = cache.select("child_name", "mask", "row_id", F.col(score).alias("score"))
-    return F.broadcast(want).join(have, (F.col("name") == F.col("child_name")) & (F.col("set") == F.col("mask")), "left").select(F.col("name").alias("child_name"), "row_id", "score")
+    # One row for each node goes to the cache; what it doesn't meet is added after.
+    hits = have.join(F.broadcast(want), (F.col("name") == F.col("child_name")) & (F.col("set") == F.col("mask"))).select("name", "row_id", "score")
+    return want.join(F.broadcast(hits.withColumnRenamed("name", "child_name")), F.col("name") == F.col("child_name"), "left").select(F.col("name").alias("child_name"), "row_id", "score")
 
 
 def best_by_limit(cache: DataFrame, nodes: Sequence[str], limits: Sequence[int], score: str = "bic") -> list[tuple[int, float]]:
@@ -169,6 +174,8 @@ class _Cache:
         for r in pdf.sort_values("row_id").itertuples():
             self.sets[r.child].setdefault(int(r.mask), float(r.score))
         self.list = [list(s.items()) for s in self.sets]
+        #: what every cached set of a node has: retained parents
+        self.kept = [int(np.bitwise_and.reduce([m for m, _ in x])) if x else 0 for x in self.list]
 
     def total(self, masks) -> float:
         return sum(self.sets[i].get(int(m), WORST) for i, m in enumerate(masks))
@@ -199,12 +206,21 @@ def _cycle_with(masks, child: int, mask: int) -> bool:
 
 
 def _random_masks(cache: _Cache, rng) -> list[int]:
-    """A random cached set for each node, kept where it closes no cycle, else the
-    first set that closes none."""
-    masks = [0] * cache.n
-    for i in rng.permutation(cache.n):
-        options = [cache.list[i][k][0] for k in rng.permutation(len(cache.list[i]))]
-        masks[i] = next((m for m in options if not _cycle_with(masks, int(i), m)), 0)
+    """For each node a random cached set of nodes that come before it in a random
+    order, which the retained arcs agree with: the network has no cycle, and every
+    set is cached."""
+    masks, done, left = [0] * cache.n, 0, list(rng.permutation(cache.n))
+    while left:
+        # The next node is the first in the random order that has a set within the nodes so far.
+        for i in left:
+            options = [m for m, _ in cache.list[i] if not m & ~done]
+            if options:
+                break
+        else:
+            raise ValueError("some node has no parent set that fits; is a retained or user set missing?")
+        masks[i] = options[int(rng.integers(len(options)))]
+        done |= 1 << int(i)
+        left.remove(i)
     return masks
 
 
@@ -245,7 +261,7 @@ def _walk(cache: _Cache, masks: list[int], rng, algo: str, steps: int, memory: i
                 continue
             gain = cache.sets[i][m] - cache.sets[i].get(masks[i], WORST)
             room = heat * first[i] / n if algo == "sa" and first[i] < -WORST else 0.0
-            if gain > 0 or (algo == "sa" and -gain < room * 0.01):
+            if gain > 0 or (algo == "sa" and -gain < room):
                 masks[i], moved = m, True
                 if algo == "tabu":
                     tabu = [*tabu, (i, p)][-memory:]
@@ -262,7 +278,10 @@ def _walk(cache: _Cache, masks: list[int], rng, algo: str, steps: int, memory: i
 def _searches(cache: DataFrame, nodes: Sequence[str], score: str, n: int, seed: int, one) -> DataFrame:
     spark = cache.sparkSession
     # The cache's rows are what a search looks up all the time; they are a few dozen bytes each.
-    shared = spark.sparkContext.broadcast(_prepared(cache, score).toPandas())
+    table = stored(_prepared(cache, score), "cache")
+    if (sets := table.count()) > MAX_SHARED:
+        raise ValueError(f"a search holds {MAX_SHARED} parent sets at most, not {sets}; lower the parent limit or ban arcs")
+    shared = spark.sparkContext.broadcast(table.toPandas())
     size = len(nodes)
 
     def kernel(batches):
@@ -282,7 +301,16 @@ def hill_climb(cache: DataFrame, nodes: Sequence[str], score: str = "mlik", sear
     """``(search_id, score, masks, path)``: steepest ascent from random networks,
     or from a given one; the searches run in parallel."""
     first = list(start.masks()[n] for n in nodes) if start else None
-    return _searches(cache, nodes, score, searches, seed, lambda c, rng: _climb(c, list(first) if first else _random_masks(c, rng)))
+    return _searches(cache, nodes, score, searches, seed, lambda c, rng: _climb(c, _started(c, first, rng)))
+
+
+def _started(cache: _Cache, first: list[int] | None, rng) -> list[int]:
+    """The network a search begins with; one that lacks retained arcs is an error."""
+    if first is None:
+        return _random_masks(cache, rng)
+    if any(k & ~m for k, m in zip(cache.kept, first, strict=True)):
+        raise ValueError("the first network lacks arcs that all cached sets retain")
+    return list(first)
 
 
 def heuristic(cache: DataFrame, nodes: Sequence[str], algo: str = "hc", score: str = "mlik", searches: int = 1, seed: int = 42, start: Dag | None = None, steps: int = 100, memory: int = 10, temperature: float = 0.9) -> DataFrame:
@@ -290,7 +318,7 @@ def heuristic(cache: DataFrame, nodes: Sequence[str], algo: str = "hc", score: s
     if algo not in ("hc", "tabu", "sa"):
         raise ValueError("algo is 'hc', 'tabu' or 'sa'")
     first = list(start.masks()[n] for n in nodes) if start else None
-    return _searches(cache, nodes, score, searches, seed, lambda c, rng: _walk(c, list(first) if first else _random_masks(c, rng), rng, algo, steps, memory, temperature))
+    return _searches(cache, nodes, score, searches, seed, lambda c, rng: _walk(c, _started(c, first, rng), rng, algo, steps, memory, temperature))
 
 
 def support(searches: DataFrame, nodes: Sequence[str]) -> DataFrame:

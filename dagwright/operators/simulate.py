@@ -28,7 +28,7 @@ def random_dag(nodes: Sequence[str], density: float = 0.5, seed: int = 0) -> Dag
 def _poisson(rate: pd.Series, u: pd.Series) -> pd.Series:
     """The u quantile of a Poisson variable: fixed by its arguments."""
     rate, u = rate.to_numpy(dtype=float), u.to_numpy(dtype=float)
-    rate = np.minimum(np.maximum(rate, 0.0), 1e6)
+    rate = np.maximum(rate, 0.0)
     out = np.zeros(len(rate))
     big = rate > 500
     p = np.exp(-np.where(big, 0, rate))
@@ -92,7 +92,9 @@ def simulate(spark: SparkSession, network: Network, rows: int = 1000, seed: int
         elif f.dist is Dist.BINOMIAL:
             value = F.when(_uniform(F.col("id"), seed, k) < 1 / (1 + F.exp(-etas[0])), F.lit(schema.levels[c][-1])).otherwise(F.lit(schema.levels[c][0]))
         elif f.dist is Dist.POISSON:
-            value = _poisson(F.exp(F.least(etas[0], F.lit(13.8))), _uniform(F.col("id"), seed, k)).cast("long")
+            # e^43 is the last rate whose counts are longs: beyond it there is no right draw.
+            rate = F.when(etas[0] <= 43, F.exp(etas[0])).otherwise(F.raise_error(F.lit(f"{c}: a rate of over e^43")).cast("double"))
+            value = _poisson(rate, _uniform(F.col("id"), seed, k)).cast("long")
         else:
             out = out.withColumn("u", _uniform(F.col("id"), seed, k))
             weights = [F.lit(1.0), *[F.exp(F.least(e, F.lit(700.0))) for e in etas]]

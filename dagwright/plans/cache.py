@@ -15,6 +15,7 @@ from ..operators.moments import Design, Moments, moments
 from ..operators.parent_sets import parent_sets, user_sets
 from ..schema import Dist, Schema, standardised, validate, with_levels
 from ..storage import stored
+from .controls import BuildControl
 from .fitting import Rows, build_model, glm_call, glm_solver, glmm_call, glmm_solver, lmm_fits, only_needed, solve
 
 SCORES = ("mlik", "aic", "bic", "mdl")
@@ -35,6 +36,7 @@ def build_cache(
     reml: bool = True,
     dry_run: bool = False,
     check: bool = True,
+    control: BuildControl | None = None,
 ) -> DataFrame:
     """``(row_id, child, child_name, parents, mask, n_parents, mlik, aic, bic,
     mdl, error_code)``.
@@ -45,8 +47,10 @@ def build_cache(
     nodes need one scan for all parent sets (cross-products); other nodes are
     fitted in the tasks if the table, equal rows merged, is small, else over
     scans that all models share. A fit that fails scores minus infinity
-    (error_code 2).
+    (error_code 2). ``control`` has the priors, unless given, and the solvers'
+    tolerance and most steps.
     """
+    control = control or BuildControl()
     if method not in ("mle", "bayes"):
         raise ValueError("method is 'mle' or 'bayes'")
     spark = df.sparkSession
@@ -61,7 +65,7 @@ def build_cache(
     df = only_needed(df, schema)
     gaussians = [i for i, d in enumerate(schema.dists.values()) if d is Dist.GAUSSIAN]
     design = Design.build(schema)
-    prior = (priors or M.Priors()) if method == "bayes" else None
+    prior = (priors or control.priors()) if method == "bayes" else None
     children = [r[0] for r in made.select("child").distinct().collect()]
     out = []
     m: Moments | None = None
@@ -75,7 +79,7 @@ def build_cache(
     if not schema.group and any(c in gaussians for c in children):
         out.append(_from_moments(made.filter(F.col("child").isin([c for c in children if c in gaussians])), design, m, prior))
     if rest:
-        out.append(_fitted(df, made.filter(F.col("child").isin(rest)), design, m, prior, reml))
+        out.append(_fitted(df, made.filter(F.col("child").isin(rest)), design, m, prior, reml, control))
     scored = out[0]
     for x in out[1:]:
         scored = scored.unionByName(x)
@@ -109,12 +113,12 @@ def _from_moments(made: DataFrame, design: Design, m: Moments, prior: M.Priors |
     return made.mapInPandas(score, _columns(made))
 
 
-def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, prior: M.Priors | None, reml: bool) -> DataFrame:
+def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, prior: M.Priors | None, reml: bool, control: BuildControl) -> DataFrame:
     """Scores that need a likelihood of the rows."""
     spark, schema = made.sparkSession, design.schema
     made = stored(made, "sets")
     # What the driver holds of a parent set is a few numbers; the search needs no less.
-    todo = [(int(r["row_id"]), int(r["child"]), [int(p) for p in r["parents"]]) for r in made.select("row_id", "child", "parents").toLocalIterator()]
+    todo = [(int(r["row_id"]), int(r["child"]), [int(p) for p in r["parents"]]) for r in made.select("row_id", "child", "parents").collect()]
     x = design.frame(df)
     stats = x.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(1, len(design.names))]).first()
     n, n_vars = float(stats["n"]), len(schema.dists)
@@ -139,7 +143,7 @@ def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, p
         if schema.group:
             fits = solve(rows, other, lambda job: glmm_solver(job[0], job[1], prior), glmm_call)
         else:
-            fits = solve(rows, other, lambda job: glm_solver(job[0], job[1]), glm_call)
+            fits = solve(rows, other, lambda job: glm_solver(job[0], job[1], control.tol, control.max_iters), glm_call)
         for i, (model, _) in enumerate(other):
             fit = fits[i]
             if fit is None or not np.isfinite(fit.loglik):
@@ -201,14 +205,25 @@ def lmm_bayes_solver(model: M.Model, m: Moments, prior: M.Priors):
             out += prior.shape * np.log(prior.inv_scale) - np.log(M.math.gamma(prior.shape)) + (prior.shape - 1) * np.log(tau) - prior.inv_scale * tau
         return float(out)
 
-    outer = M.maximise(np.r_[beta, sd, sd - 1.0])
+    first, free = np.r_[beta, sd, sd - 1.0], np.ones(p + 2, bool)
+    if model.fixed:
+        free[model.fixed[0]], first[model.fixed[0]] = False, model.fixed[1]
+
+    def whole(v):
+        x = first.copy()
+        x[free] = v
+        return x
+
+    outer = M.maximise(first[free])
     points = next(outer)
     while True:
-        got = yield points
+        full = [whole(v) for v in points]
+        got = yield full
         try:
-            points = outer.send([rest(x, v) for x, v in zip(points, got, strict=True)])
+            points = outer.send([rest(x, v) for x, v in zip(full, got, strict=True)])
         except StopIteration as end:
-            x, value, info = end.value
+            v, value, info = end.value
+            x = whole(v)
             return M.Fit(x[:p], value, info, bool(np.isfinite(value)), {"log_sd": x[p:], "goal": value})
 
 

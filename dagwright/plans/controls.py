@@ -18,12 +18,7 @@ class BuildControl:
     loggam_shape: float = 1.0
     loggam_inv_scale: float = 5e-05
     max_iters: int = 100
-    epsabs: float = 1e-7
     tol: float = 1e-8
-    max_hessian_error: float = 0.5
-    max_mode_error: float = 10.0
-    n_grid: int = 250
-    ncores: int = 1
     seed: int = 9062019
 
     def priors(self) -> Priors:
@@ -32,10 +27,10 @@ class BuildControl:
 
 @dataclass(frozen=True)
 class FitControl(BuildControl):
-    """Defaults of a fit: finer tolerances, and the grids of the marginals."""
+    """Defaults of a fit: a finer tolerance, and the grids of the marginals."""
 
     tol: float = 1e-11
-    max_hessian_error: float = 1e-4
+    n_grid: int = 250
     min_pdf: float = 0.001
     std_area: bool = True
     quantiles: tuple[float, ...] = (0.025, 0.25, 0.5, 0.75, 0.975)
@@ -43,16 +38,22 @@ class FitControl(BuildControl):
 
 
 #: Options that only Bayesian fits read.
-BAYES = frozenset("mean prec loggam_shape loggam_inv_scale max_iters epsabs max_hessian_error max_mode_error n_grid min_pdf std_area quantiles max_grid_iter".split())
+BAYES = frozenset("mean prec loggam_shape loggam_inv_scale n_grid min_pdf std_area quantiles max_grid_iter".split())
+#: Options of other engines that nothing here could read: derivatives are exact or
+#: central differences, integrals are Laplace's, tasks are Spark's.
+ELSEWHERE = frozenset("ncores cluster_type max_mode_error epsabs epsabs_inner max_hessian_error max_iters_inner max_iters_hessian finite_step_size hessian_params factor_brent maxiters_hessian_brent num_intervals_brent trace error_verbose".split())
 
 
 def control(method: str = "bayes", fit: bool = False, **options) -> BuildControl:
-    """Options over the defaults. An unknown name is an error; one that the method
-    doesn't read, a warning. Integration is always internal, so max_mode_error has
-    no effect, and tasks are Spark's, so ncores has none."""
+    """Options over the defaults, for ``build_cache(control=...)``, ``fit(control=...)``
+    and ``marginals(control=...)``. An unknown name is an error; one that the
+    method doesn't read, or no engine here (ELSEWHERE), a warning."""
     if method not in ("mle", "bayes"):
         raise ValueError("method is 'mle' or 'bayes'")
     kind = FitControl if fit else BuildControl
+    if none := ELSEWHERE & set(options):
+        warnings.warn(f"read by no engine here: {sorted(none)}", stacklevel=2)
+        options = {k: v for k, v in options.items() if k not in none}
     if unknown := set(options) - {f.name for f in fields(kind)}:
         raise ValueError(f"unknown options: {sorted(unknown)}")
     if method == "mle" and (idle := BAYES & set(options)):

@@ -18,17 +18,23 @@ from ..storage import stored
 #: A table of at most so many numbers (32 MB) is sent to the tasks, which then
 #: share the models out; over a larger one, all models advance together, by scan.
 LOCAL = 4_000_000
+#: A column with more values than this, and than a tenth of the rows, tells rows apart.
+MANY = 1_000
 #: Models that advance together; what they keep in the driver is a few MB.
 TOGETHER = 2_000
 
 
 def compressed(df: DataFrame, design: Design, group: bool = False) -> DataFrame:
-    """Design columns with a weight ``w``; where every column is discrete or a
-    count, equal rows are one row."""
+    """Design columns with a weight ``w``; equal rows are one row, unless columns
+    have so many values that few rows can be equal: measured, not told from the
+    distributions."""
     x = design.frame(df, group)
-    if all(d is not Dist.GAUSSIAN for d in design.schema.dists.values()):
-        return x.groupBy(*x.columns).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return x.withColumn("w", F.lit(1.0))
+    kinds = [c for d, cols in zip(design.schema.dists.values(), design.of, strict=True) if d not in (Dist.BINOMIAL, Dist.MULTINOMIAL) for c in cols]
+    if kinds:
+        seen = x.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(f"x{i}").alias(f"d{i}") for i in kinds]).first()
+        if max(seen[f"d{i}"] for i in kinds) > max(MANY, seen["n"] // 10):
+            return x.withColumn("w", F.lit(1.0))
+    return x.groupBy(*x.columns).agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
 class Rows:
@@ -85,8 +91,9 @@ def solve(rows: Rows, jobs: list, make: Callable, call: Callable) -> dict:
         import pickle
 
         parts = max(1, min(len(jobs), rows.spark.sparkContext.defaultParallelism * 2))
-        out = rows.spark.range(0, len(jobs), 1, parts).mapInArrow(each, "id long, fit binary")
-        return {i: pickle.loads(f) for i, f in out.toLocalIterator()}
+        # All tasks at once; a result is the size of its job, which the driver holds as well.
+        out = rows.spark.range(0, len(jobs), 1, parts).mapInArrow(each, "id long, fit binary").toArrow()
+        return {i: pickle.loads(f) for i, f in zip(out.column("id").to_pylist(), out.column("fit").to_pylist(), strict=True)}
     found: dict = {}
     for s in range(0, len(jobs), TOGETHER):
         found |= _lockstep(rows, jobs, range(s, min(s + TOGETHER, len(jobs))), make, call)
@@ -120,7 +127,7 @@ def _lockstep(rows: Rows, jobs: list, ids: Iterable[int], make, call) -> dict:
                 )
 
         sums: dict[int, list] = {}
-        for i, k, v in rows.frame.mapInArrow(part, "id long, k long, v double").groupBy("id", "k").agg(F.sum("v").alias("v")).toLocalIterator():
+        for i, k, v in rows.frame.mapInArrow(part, "id long, k long, v double").groupBy("id", "k").agg(F.sum("v").alias("v")).collect():
             sums.setdefault(i, []).append((k, v))
         following = {}
         for i in asks:
@@ -165,8 +172,13 @@ def glm_call(job, ask, a, w, g) -> np.ndarray:
     return pack(job[0], ask, a, w)
 
 
+#: Standard deviations of the groups that a search begins with, one after another.
+SPREADS = (0.3, 1.0, 0.05)
+
+
 def glmm_solver(model: M.Model, mean_y: float, priors: M.Priors | None = None):
-    """Fits without groups first, then the coefficients and spreads together."""
+    """Fits without groups first, then the coefficients and spreads together; a
+    fixed coefficient stays where it is."""
     plain = M.Model(model.key, model.dist, model.y, model.cols, model.n_parents)
     inner = M.newton(plain, M.start(plain, mean_y))
     ask = next(inner)
@@ -178,7 +190,6 @@ def glmm_solver(model: M.Model, mean_y: float, priors: M.Priors | None = None):
             fit = end.value
             break
     p, k = model.size, model.blocks
-    first = np.r_[fit.beta, np.full(k, math.log(0.3))]
 
     def prior(x):
         if priors is None:
@@ -187,15 +198,36 @@ def glmm_solver(model: M.Model, mean_y: float, priors: M.Priors | None = None):
         out = 0.5 * p * (math.log(priors.precision) - M.LN2PI) - 0.5 * priors.precision * (d @ d)
         return out + float((priors.shape * math.log(priors.inv_scale) - math.lgamma(priors.shape) + (priors.shape - 1) * np.log(tau) - priors.inv_scale * tau).sum())
 
-    outer = M.maximise(first)
-    points = next(outer)
-    while True:
-        got = yield ("glmm", points)
-        try:
-            points = outer.send([float(v) + prior(x) for v, x in zip(got, points, strict=True)])
-        except StopIteration as end:
-            x, value, info = end.value
-            return M.Fit(x[:p], value - prior(x), info, bool(np.isfinite(value)), {"log_sd": x[p:], "goal": value})
+    free = np.ones(p + k, bool)
+    best = None
+    # A search that ends at no maximum is tried again from other spreads.
+    for spread in SPREADS:
+        first = np.r_[fit.beta, np.full(k, math.log(spread))]
+        if model.fixed:
+            free[model.fixed[0]], first[model.fixed[0]] = False, model.fixed[1]
+
+        def whole(v, first=first):
+            x = first.copy()
+            x[free] = v
+            return x
+
+        outer = M.maximise(first[free])
+        points = next(outer)
+        while True:
+            full = [whole(v) for v in points]
+            got = yield ("glmm", full)
+            try:
+                points = outer.send([float(v) + prior(x) for v, x in zip(got, full, strict=True)])
+            except StopIteration as end:
+                v, value, info = end.value
+                break
+        x = whole(v)
+        top = bool(np.isfinite(value)) and np.linalg.slogdet(info)[0] > 0
+        if best is None or (top, value) > best[:2]:
+            best = top, value, M.Fit(x[:p], value - prior(x), info, bool(np.isfinite(value)), {"log_sd": x[p:], "goal": value})
+        if top:
+            break
+    return best[2]
 
 
 def glmm_call(job, ask, a, w, g) -> np.ndarray:
@@ -239,7 +271,7 @@ def lmm_terms(sums: DataFrame, width: int, ratios: np.ndarray) -> tuple[np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(inner.size + logs.size)), pa.array(np.r_[inner.ravel(), logs])], names=["k", "v"])
 
     out = np.zeros(len(ratios) * (width * width + 1))
-    for k, v in sums.mapInArrow(part, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toLocalIterator():
+    for k, v in sums.mapInArrow(part, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[k] = v
     cut = len(ratios) * width * width
     return out[:cut].reshape(len(ratios), width, width), out[cut:]

@@ -6,9 +6,11 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 class Dist(str, Enum):
     BINOMIAL = "binomial"
@@ -122,10 +124,12 @@ def split_group(df: DataFrame, schema: Schema) -> DataFrame:
     if not schema.group:
         raise ValueError("the schema has no group column")
     # Ids come from the distinct values; the rows are joined to them.
-    values = df.select(F.col(schema.group).alias("g")).distinct()
-    from pyspark.sql import Window
-
-    ids = values.select("g", F.dense_rank().over(Window.orderBy("g")).alias("group_id"))
+    # They are sorted in ranges, and numbered within each; what comes before a range is one count.
+    values = stored(df.select(F.col(schema.group).alias("g")).distinct().repartitionByRange("g").withColumn("part", F.spark_partition_id()), "groups")
+    parts = values.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    before = parts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = values.join(F.broadcast(before), "part")
+    ids = numbered.select("g", (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("g"))).cast("int").alias("group_id"))
     return df.join(ids, df[schema.group] == ids["g"]).select(*schema.nodes, "group_id")
 
 
