@@ -128,11 +128,12 @@ def _term(schema: Schema, child: str, name: str, state: str | None, parent: str
 
 def bootstrap_support(spark: SparkSession, network: Network, replicates: int, rows: int, limit: int, score: str = "bic", seed: int = 42) -> DataFrame:
     """``(parent, child, n, share)``: how often each arc is found again in networks
-    learned from rows drawn from the network. Gaussian networks: a replicate is a
-    row, drawn and searched within its task."""
+    learned from rows drawn from the network. Gaussian networks without groups: a
+    replicate is a row, drawn and searched within its task. Any other: a replicate
+    is a table, simulated, scored and searched by Spark, one after another."""
     schema, dag = network.schema, network.dag
-    if any(d is not Dist.GAUSSIAN for d in schema.dists.values()):
-        raise ValueError("the parallel bootstrap draws gaussian networks; simulate() and build_cache() do any other, one by one")
+    if schema.group or any(d is not Dist.GAUSSIAN for d in schema.dists.values()):
+        return _table_bootstrap(spark, network, replicates, rows, limit, score, seed)
     nodes, order = schema.nodes, dag.order()
     plan = [(nodes.index(c), [(nodes.index(t[2]), t[3]) for t in network.nodes[c].terms if t[2]], next((t[3] for t in network.nodes[c].terms if not t[2]), 0.0), network.nodes[c].sigma) for c in order]
     n = len(nodes)
@@ -182,3 +183,21 @@ def bootstrap_support(spark: SparkSession, network: Network, replicates: int, ro
     return support(runs, nodes)
 
 
+
+
+def _table_bootstrap(spark: SparkSession, network: Network, replicates: int, rows: int, limit: int, score: str, seed: int) -> DataFrame:
+    from ..plans.cache import build_cache
+    from ..storage import dropped, stored
+    from .search import best_rows, support
+
+    nodes = network.schema.nodes
+    schema = Schema(network.schema.dists, "group_id" if any(f.sigma_alpha for f in network.nodes.values()) else None, network.schema.levels)
+    found = []
+    for r in range(replicates):
+        drawn = stored(simulate(spark, network, rows, seed + 7919 * r), "drawn")
+        # A level that wasn't drawn is no error here.
+        cache = build_cache(drawn, schema, "mle", limit, check=False)
+        masks = {x["child"]: x["mask"] for x in best_rows(cache, len(nodes), score).collect()}
+        found.append((r, 0.0, [masks[i] for i in range(len(nodes))], []))
+        dropped(drawn)
+    return support(spark.createDataFrame(found, "search_id long, score double, masks array<long>, path array<double>"), nodes)

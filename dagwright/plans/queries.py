@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +12,12 @@ from ..functions import expit, link_name, logit, odds, split_names
 from ..graph import Dag
 from ..operators import fit as fitting
 from ..operators import infotheo as info
-from ..operators import search, simulate
-from ..operators.models import Priors
+from ..operators import search
 from ..operators.parent_sets import parent_sets
 from ..schema import Schema, one_hot, profile, split_group, standardised, with_levels
 from ..sources import export
-from ..sources.tables import chain_sample, lineitem_nodes, read
-from .cache import build_cache, score_column, summary, tidy
+from ..sources.tables import lineitem_nodes, read
+from .cache import build_cache, score_column, summary
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -417,21 +416,6 @@ def multi_scores_by_multi(spark, sf):
 _MIXED = {"l_linestatus": "binomial", "l_linenumber": "poisson", "l_returnflag": "multinomial", "l_quantity": "gaussian"}
 
 
-@query("mixed_scores")
-def mixed_scores(spark, sf):
-    return tidy(build_cache(lineitem_nodes(spark, sf), Schema.of(_MIXED), "mle", 1)).drop("parents")
-
-
-@query("laplace_scores")
-def laplace_scores(spark, sf):
-    return build_cache(lineitem_nodes(spark, sf), Schema.of(_MIXED | {"l_returnflag": "multinomial"}).only(["l_linestatus", "l_linenumber", "l_quantity"]), "bayes", 1, priors=Priors()).drop("parents")
-
-
-@query("lmm_scores")
-def lmm_scores(spark, sf):
-    return build_cache(lineitem_nodes(spark, sf), Schema.of({c: "gaussian" for c in ("l_quantity", "l_extendedprice", "net")}, group="l_suppkey"), "mle", 1).drop("parents")
-
-
 @query("glmm_scores")
 def glmm_scores(spark, sf):
     t = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "source"), "doc_id").select("quality", "toxic", "source")
@@ -441,13 +425,17 @@ def glmm_scores(spark, sf):
 # --- Search ---------------------------------------------------------------
 
 
-def _dp_sql(tail: str) -> str:
+def _dp_sql(tail: str, limit: int = 1, prior: int = 1, keep: tuple[int, int] | None = None) -> str:
+    """The exact search over scores of up to ``limit`` parents; with prior 2, sets are
+    uniform over their sizes; ``keep`` (child, parent) is in all sets of the child."""
     n, full = len(_FIVE), (1 << len(_FIVE)) - 1
+    worth = "-bic" if prior == 1 else f"(-bic - ln(CASE n_parents {' '.join(f'WHEN {k} THEN {math.comb(n - 1, k)}' for k in range(limit + 1))} END))"
+    kept = f" AND (child <> {keep[0]} OR mask & {1 << keep[1]} <> 0)" if keep else ""
     parts = [
-        f"WITH {_cache_sql(1)}",
+        f"WITH {_cache_sql(limit)}",
         f"subsets AS (SELECT unnest(range(0, {full + 1}))::BIGINT AS s)",
         f"kids AS (SELECT unnest(range(0, {n}))::INTEGER AS i)",
-        "alpha AS (SELECT child, s AS subset, max(-bic) AS best, arg_max(mask, -bic) AS mask FROM cache, subsets WHERE mask & s = mask AND (s >> child) & 1 = 0 GROUP BY child, s)",
+        f"alpha AS (SELECT child, s AS subset, max({worth}) AS best, arg_max(mask, {worth}) AS mask, arg_max(bic, {worth}) AS bic FROM cache, subsets WHERE mask & s = mask AND (s >> child) & 1 = 0{kept} GROUP BY child, s)",
         "g0 AS (SELECT 0::BIGINT AS subset, 0.0::DOUBLE AS best, -1 AS last)",
     ]
     for k in range(1, n + 1):
@@ -455,13 +443,14 @@ def _dp_sql(tail: str) -> str:
     return ", ".join(parts) + tail
 
 
-def _trace_sql() -> str:
+def _trace_sql(before: str = " ") -> str:
+    """The parent sets of the best network; ``before`` stands before the last SELECT."""
     n, full = len(_FIVE), (1 << len(_FIVE)) - 1
     out = f", t{n} AS (SELECT last, subset ^ (1::BIGINT << last) AS rest FROM g{n} WHERE subset = {full})".replace("subset ^ ", "xor(subset, ").replace("<< last) AS", "<< last)) AS")
     for k in range(n - 1, 0, -1):
         out += f", t{k} AS (SELECT g.last, xor(g.subset, 1::BIGINT << g.last) AS rest FROM g{k} g JOIN t{k + 1} t ON g.subset = t.rest)"
     rows = " UNION ALL ".join(f"SELECT last AS child, rest FROM t{k}" for k in range(n, 0, -1))
-    return out + f", picked AS ({rows}) SELECT p.child, a.mask, round(a.best, 2) AS score FROM picked p JOIN alpha a ON a.child = p.child AND a.subset = p.rest"
+    return out + f", picked AS ({rows}){before}SELECT p.child, a.mask, round(-a.bic, 2) AS score FROM picked p JOIN alpha a ON a.child = p.child AND a.subset = p.rest"
 
 
 @query("best_dag_gauss", _dp_sql(_trace_sql()))
@@ -515,19 +504,6 @@ def cache_summary(spark, sf):
     return t.select("score", "n", *[F.round(c, 2).alias(c) for c in ("least", "q1", "median", "q3", "greatest", "mean")])
 
 
-@query("hillclimb_consensus")
-def hillclimb_consensus(spark, sf):
-    return search.consensus(search.hill_climb(gauss_cache(spark, sf, 2, False), _FIVE, "bic", searches=20), _FIVE)
-
-
-def _heuristic(algo):
-    return lambda spark, sf: search.top(search.heuristic(gauss_cache(spark, sf, 2, False), _FIVE, algo, "bic", searches=10)).drop("path")
-
-
-for _a in ("hc", "tabu", "sa"):
-    query(f"heuristic_{_a}")(_heuristic(_a))
-
-
 # --- Fits -----------------------------------------------------------------
 
 
@@ -544,31 +520,6 @@ def fit_gauss_1parent(spark, sf):
     return c.select("node", "term", (F.round("estimate", 6) + F.lit(0.0)).alias("estimate"), F.round("stderr", 8).alias("stderr"))
 
 
-def _sample_network(spark, method="mle"):
-    t = chain_sample(spark)
-    schema = Schema.of({"a": "gaussian", "b": "gaussian", "c": "binomial", "d": "poisson", "e": "multinomial"})
-    if method == "bayes":
-        schema = schema.only(["a", "b", "c", "d"])
-    dag = Dag.of(schema.nodes, [x for x in (("a", "b"), ("b", "c"), ("a", "d"), ("b", "e")) if x[1] in schema.nodes])
-    return t, schema, dag, fitting.fit(t, schema, dag, method)
-
-
-@query("fit_nodes")
-def fit_nodes(spark, sf):
-    return _sample_network(spark)[3].coefficients(spark)
-
-
-@query("node_scores")
-def node_scores(spark, sf):
-    return _sample_network(spark)[3].node_scores(spark)
-
-
-@query("marginal_grid")
-def marginal_grid(spark, sf):
-    t, schema, dag, net = _sample_network(spark, "bayes")
-    return fitting.unit_area(fitting.marginals(t, schema, dag, net, ["b", "c"], points=31))
-
-
 @query(
     "score_contribution_gauss",
     """WITH r AS (SELECT count(*)::DOUBLE AS n, avg(p_size) AS mx, avg(p_retailprice) AS my, regr_slope(p_retailprice, p_size) AS b, regr_sxx(p_retailprice, p_size) AS sxx,
@@ -606,11 +557,6 @@ def density_quantiles(spark, sf):
     return fitting.density_quantiles(_grid(spark)).select("node", "param", "p", F.round("x", 6).alias("x"))
 
 
-@query("density_regrid")
-def density_regrid(spark, sf):
-    return fitting.regrid(_grid(spark), 101)
-
-
 # --- Graphs ---------------------------------------------------------------
 
 _NODES = ("a", "b", "c", "d", "e", "f")
@@ -728,33 +674,4 @@ def plot_edges(spark, sf):
     return export.plot_attributes(_dist_frame(spark), _G1.edges(spark), s)[1]
 
 
-@query("export_json")
-def export_json(spark, sf):
-    return export.to_json_frame(spark, _sample_network(spark)[3], "s1", "sample")
-
-
-@query("bugs_text")
-def bugs_text(spark, sf):
-    text = export.to_bugs(_sample_network(spark)[3])
-    return spark.createDataFrame(list(enumerate(text.splitlines())), "line_no int, line string")
-
-
-# --- Simulation -----------------------------------------------------------
-
-
-@query("simulate_dag")
-def simulate_dag(spark, sf):
-    return simulate.random_dag(_NODES, 0.5, 7).edges(spark)
-
-
-@query("simulate_rows")
-def simulate_rows(spark, sf):
-    return simulate.simulate(spark, _sample_network(spark)[3], 10_000)
-
-
-@query("bootstrap_support")
-def bootstrap_support(spark, sf):
-    net = fitting.fit(lineitem_nodes(spark, sf).select(*_FIVE), _five(), Dag.of(_FIVE, [("l_extendedprice", "net"), ("l_discount", "net")]))
-    return simulate.bootstrap_support(spark, net, 50, 2_000, 2)
-
-
+from . import model_queries  # noqa: E402, F401  registers its queries
