@@ -29,6 +29,8 @@ class NodeFit:
     #: residual standard deviation of a gaussian node; group standard deviations
     sigma: float | None = None
     sigma_alpha: list[float] | None = None
+    #: covariance of the group intercepts of a multinomial node's categories
+    covariance: list[list[float]] | None = None
 
 
 @dataclass
@@ -190,7 +192,9 @@ def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bo
             se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(f.info)), 0))
             terms = _terms(design, model, c, f.beta, se[: model.size], states)
             if schema.group:
-                k = model.size + model.blocks
+                k = model.size + len(f.extra["log_sd"])
+                half = M.cholesky(f.extra["log_sd"], model.blocks)
+                between = half @ half.T
                 if prior:
                     from ..plans.cache import _bayes_group
 
@@ -198,7 +202,7 @@ def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bo
                 else:
                     s = M.scores(f.loglik, k, m.n, 0, n_vars)
                     s["mdl"] = s["bic"] + (k - 1) * math.log(n_vars)
-                found[c] = NodeFit(c, model.dist, terms, s, k, None, [float(v) for v in np.exp(f.extra["log_sd"])])
+                found[c] = NodeFit(c, model.dist, terms, s, k, None, [float(v) for v in np.sqrt(np.diag(between))], between.tolist() if model.blocks > 1 else None)
             elif prior:
                 found[c] = NodeFit(c, model.dist, terms, {"mlik": M.laplace(f)}, model.size)
             else:

@@ -289,9 +289,12 @@ def gaussian_laplace(m, model: Model, fixed: tuple[int, float] | None = None) ->
 
 def group_laplace(model: Model, beta: np.ndarray, log_sd: np.ndarray, a: np.ndarray, w: np.ndarray, g: np.ndarray, n_groups: int) -> float:
     """Sum over groups of ln of the integral over the group's random intercepts
-    (one, or one for each block), by Laplace's method; ``g`` numbers the groups."""
+    (one, or one for each block), by Laplace's method; ``g`` numbers the groups.
+    ``log_sd`` are the logarithms of the diagonal of the covariance's Cholesky
+    factor, row by row what stands left of it after them."""
     x, k = a[:, model.cols], model.blocks
-    var = np.exp(2 * log_sd)
+    half = cholesky(log_sd, k)
+    inverse = np.linalg.inv(half @ half.T)
     base = x @ beta.reshape(k, -1).T
     u = np.zeros((n_groups, k))
     y = a[:, model.y] if model.dist is Dist.MULTINOMIAL else a[:, model.y[0]]
@@ -315,12 +318,12 @@ def group_laplace(model: Model, beta: np.ndarray, log_sd: np.ndarray, a: np.ndar
             e = np.minimum(eta[:, 0], 700)
             mu = np.exp(e)
             ll, r, h = y * e - mu - log_factorial(y), (y - mu)[:, None], mu[:, None, None]
-        total = np.bincount(g, w * ll, n_groups) - 0.5 * (u * u / var).sum(axis=1)
-        grad = np.column_stack([np.bincount(g, w * r[:, i], n_groups) for i in range(k)]) - u / var
+        total = np.bincount(g, w * ll, n_groups) - 0.5 * ((u @ inverse) * u).sum(axis=1)
+        grad = np.column_stack([np.bincount(g, w * r[:, i], n_groups) for i in range(k)]) - u @ inverse
         hess = np.empty((n_groups, k, k))
         for i in range(k):
             for j in range(k):
-                hess[:, i, j] = np.bincount(g, w * h[:, i, j], n_groups) + (i == j) / var[i]
+                hess[:, i, j] = np.bincount(g, w * h[:, i, j], n_groups) + inverse[i, j]
         return total, grad, hess
 
     total, grad, hess = at(u)
@@ -337,7 +340,16 @@ def group_laplace(model: Model, beta: np.ndarray, log_sd: np.ndarray, a: np.ndar
         u, (total, grad, hess) = to, got
         if np.abs(step).max(initial=0) < 1e-9:
             break
-    return float((total - 0.5 * np.linalg.slogdet(hess)[1]).sum() - n_groups * log_sd.sum())
+    return float((total - 0.5 * np.linalg.slogdet(hess)[1]).sum() - n_groups * log_sd[:k].sum())
+
+
+def cholesky(spread: np.ndarray, k: int) -> np.ndarray:
+    """Lower factor of a covariance from the logarithms of its diagonal and, where
+    they are given, the numbers left of it."""
+    out = np.diag(np.exp(spread[:k]))
+    if len(spread) > k:
+        out[np.tril_indices(k, -1)] = spread[k:]
+    return out
 
 
 def maximise(start: np.ndarray, most: int = 200, tol: float = 1e-7) -> Generator[list[np.ndarray], list[float], tuple[np.ndarray, float, np.ndarray]]:

@@ -84,7 +84,10 @@ def simulate(spark: SparkSession, network: Network, rows: int = 1000, seed: int
                 if name.endswith("|precision"):
                     continue
                 eta = eta + F.lit(value) * _term(schema, c, name, state, parent)
-            if f.sigma_alpha:
+            if f.covariance:
+                for j, x in enumerate(np.linalg.cholesky(np.array(f.covariance) + 1e-12 * np.eye(len(f.covariance)))[b, : b + 1]):
+                    eta = eta + F.lit(float(x)) * _normal(F.col("group_id"), seed, k, j, 7)
+            elif f.sigma_alpha:
                 eta = eta + F.lit(f.sigma_alpha[min(b, len(f.sigma_alpha) - 1)]) * _normal(F.col("group_id"), seed, k, b, 7)
             etas.append(eta)
         if f.dist is Dist.GAUSSIAN:

@@ -152,7 +152,7 @@ def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, p
                 value = M.laplace(fit) if not schema.group else None
                 result[model.key] = (value, None, None, None, 0 if np.isfinite(value) else 2) if not schema.group else _bayes_group(fit, model.size + model.blocks)
             elif schema.group:
-                df_ = model.size + model.blocks
+                df_ = model.size + len(fit.extra["log_sd"])
                 s = M.scores(fit.loglik, df_, n, 0, n_vars)
                 s["mdl"] = s["bic"] + (df_ - 1) * np.log(n_vars)
                 result[model.key] = (*(float(s[k]) for k in SCORES), 0)

@@ -194,15 +194,16 @@ def glmm_solver(model: M.Model, mean_y: float, priors: M.Priors | None = None):
     def prior(x):
         if priors is None:
             return 0.0
-        d, tau = x[:p] - priors.mean, np.exp(-2 * x[p:])
+        d, tau = x[:p] - priors.mean, np.exp(-2 * x[p : p + k])
         out = 0.5 * p * (math.log(priors.precision) - M.LN2PI) - 0.5 * priors.precision * (d @ d)
         return out + float((priors.shape * math.log(priors.inv_scale) - math.lgamma(priors.shape) + (priors.shape - 1) * np.log(tau) - priors.inv_scale * tau).sum())
 
-    free = np.ones(p + k, bool)
+    # Intercepts of several categories vary together: their covariance is free.
+    free = np.ones(p + k + k * (k - 1) // 2, bool)
     best = None
     # A search that ends at no maximum is tried again from other spreads.
     for spread in SPREADS:
-        first = np.r_[fit.beta, np.full(k, math.log(spread))]
+        first = np.r_[fit.beta, np.full(k, math.log(spread)), np.zeros(k * (k - 1) // 2)]
         if model.fixed:
             free[model.fixed[0]], first[model.fixed[0]] = False, model.fixed[1]
 
@@ -235,9 +236,13 @@ def glmm_call(job, ask, a, w, g) -> np.ndarray:
     kind, what = ask
     if kind == "glm":
         return pack(M.Model(model.key, model.dist, model.y, model.cols, model.n_parents), what, a, w)
-    n, p = int(g.max()) + 1, model.size
-    # A spread past e^6 or under e^-9 is off the map.
-    return np.array([M.group_laplace(model, x[:p], np.clip(x[p:], -9, 6), a, w, g, n) - 1e3 * float((np.abs(x[p:] - np.clip(x[p:], -9, 6))).sum()) for x in what])
+    n, p, k = int(g.max()) + 1, model.size, model.blocks
+    out = []
+    for x in what:
+        # A spread past e^6 or under e^-9 is off the map.
+        spread = np.r_[np.clip(x[p : p + k], -9, 6), x[p + k :]]
+        out.append(M.group_laplace(model, x[:p], spread, a, w, g, n) - 1e3 * float(np.abs(x[p:] - spread).sum()))
+    return np.array(out)
 
 
 def build_model(key: int, design: Design, child: int, parents: Iterable[int], n: float | None = None, priors: M.Priors | None = None) -> M.Model:

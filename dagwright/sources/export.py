@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
@@ -144,7 +145,7 @@ def to_bugs(network: Network) -> str:
                 row += [(v, t[2]) for v in (softmaxed(mine) if schema.dists[t[2]] is Dist.MULTINOMIAL else mine)]
             slopes.append(row)
         if f.sigma_alpha:
-            alpha = [[v * v if i == j else 0.0 for j in range(len(f.sigma_alpha))] for i, v in enumerate(f.sigma_alpha)] if f.dist is Dist.MULTINOMIAL else f.sigma_alpha[0]
+            alpha = (f.covariance or [[v * v if i == j else 0.0 for j in range(len(f.sigma_alpha))] for i, v in enumerate(f.sigma_alpha)]) if f.dist is Dist.MULTINOMIAL else f.sigma_alpha[0]
             out += bugs_group_node(c, f.dist, intercepts, slopes, f.sigma, alpha)
         else:
             out += bugs_node(c, f.dist, intercepts, slopes, f.sigma or 0.0)
@@ -178,14 +179,16 @@ def to_json_frame(spark: SparkSession, network: Network, scenario_id: str | None
     """One row ``(json)``. Bayesian fits export empty arrays, as established."""
     schema = network.schema
     v, p, a = [], [], []
-    if network.method == "mle":
+    if network.method != "mle":
+        warnings.warn("a Bayesian fit is exported without variables, parameters and arcs", stacklevel=2)
+    else:
         for c, f in network.nodes.items():
             states = [(str(i + 1), str(x), i == 0) for i, x in enumerate(schema.levels[c])] if f.dist is Dist.MULTINOMIAL else None
             v.append((c, c, f.dist.value, states))
 
-            def add(name, state, value, se, kind, conditions=(), c=c, f=f):
+            def add(name, state, value, se, kind, conditions=(), link=None, c=c, f=f):
                 se = None if network.schema.group or se is None or not math.isfinite(se) else float(se)
-                p.append((str(len(p) + 1), name, f.dist.link, (c, state), [(float(value), se, kind, list(conditions))]))
+                p.append((str(len(p) + 1), name, link or f.dist.link, (c, state), [(float(value), se, kind, list(conditions))]))
 
             for name, state, parent, value, se in f.terms:
                 key = None if state is None else str([str(x) for x in schema.levels[c]].index(state) + 1)
@@ -196,8 +199,14 @@ def to_json_frame(spark: SparkSession, network: Network, scenario_id: str | None
                     add(name, key, value, se, "linear_term", [(parent, level)])
             if f.dist is Dist.GAUSSIAN and f.sigma is not None and f.sigma_alpha:
                 add("sigma", None, f.sigma, None, "variance")
-            for x in f.sigma_alpha or ():
+            for x in () if f.covariance else f.sigma_alpha or ():
                 add("sigma_alpha", None, x, None, "random_variance")
+            # A covariance matrix, by its upper triangle, under the categories' names.
+            names = [str(x) for x in schema.levels[c]][1:] if f.covariance else []
+            for i, one in enumerate(names):
+                for j in range(i, len(names)):
+                    both = one if i == j else f"{one}_{names[j]}"
+                    add(f"sigma_alpha_{both}", both, f.covariance[i][j], None, "random_variance" if i == j else "random_covariance", link="identity")
         a = [(x, y) for x in network.dag.nodes for y in network.dag.nodes if (x, y) in network.dag.arcs]
     row = spark.createDataFrame([(scenario_id, label, v, p, a)], f"scenario_id string, label string, variables {_VARIABLE}, parameters {_PARAM}, arcs {_ARC}")
     return row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
