@@ -13,6 +13,19 @@ from .common import n_words, uniform, written
 BROADCAST_SOURCES = 20_000
 
 
+def _running(df: DataFrame, order: list, **sums) -> DataFrame:
+    """``df`` with the sum of each of ``sums`` over the rows before a row in an
+    order: rows are sorted in ranges and added up within each; what comes before a
+    range is one row for each range."""
+    at = written(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    whole = at.groupBy("range").agg(*[F.sum(v).alias(f"{k}_range") for k, v in sums.items()])
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("range", *[F.coalesce(F.sum(f"{k}_range").over(before), F.lit(0)).alias(f"{k}_range") for k in sums])
+    here = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = at.join(F.broadcast(whole), "range")
+    return joined.select(*df.columns, *[(F.col(f"{k}_range") + F.coalesce(F.sum(v).over(here), F.lit(0))).cast("long").alias(k) for k, v in sums.items()])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
     """Target size of each source: ``(source, source_size, target)``.
 
@@ -25,25 +38,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     source is full. A source of size 0 gets 0.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row per source: the windows below order source names, not documents.
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    fill = Window.orderBy(F.col("source_size") / F.col("w"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
     up, down = share
-    ranked = per.withColumn("rank", F.row_number().over(order) - 1).withColumn(
-        "w", F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
-    )
+    # There may be as many sources as hosts: both orders are made in ranges, not in one task.
+    ranked = _running(per, [F.col("source").isNull(), F.col("source")], rank=F.lit(1).cast("long"))
+    ranked = ranked.withColumn("w", F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
+    filled = _running(ranked, [F.col("source_size") / F.col("w"), F.col("rank")], full=F.col("source_size"), before_w=F.col("w"))
+    every = filled.agg(F.sum("source_size").alias("total"), F.sum("w").alias("all_w"))
     level = (
-        ranked.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("all_w", F.sum("w").over(every))
-        .withColumn("full", F.coalesce(F.sum("source_size").over(fill), F.lit(0)))
-        .withColumn("rest_w", F.col("all_w") - F.coalesce(F.sum("w").over(fill), F.lit(0)))
+        filled.join(F.broadcast(every), F.lit(True))
+        .withColumn("rest_w", F.col("all_w") - F.col("before_w"))
         # level if this source and all after it are not full, times down
         .withColumn("num", F.lit(up) * F.col("total") - F.lit(down * cap) * F.col("full"))
         .withColumn("open", F.col("num") <= F.lit(down * cap) * F.col("rest_w") * (F.col("source_size") / F.col("w")))
     )
-    # The first open source in fill order fixes the level.
-    fixed = level.withColumn("at", F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("w"), F.col("rank"), F.col("num"), F.col("rest_w")))).over(every))
+    # The first open source in fill order fixes the level: one row, as the sums above.
+    first = level.agg(F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("w"), F.col("rank"), F.col("num"), F.col("rest_w")))).alias("at"))
+    fixed = filled.join(F.broadcast(first), F.lit(True))
     share_of = F.col("at.num") / (F.lit(down) * F.col("at.rest_w")) * F.col("w")
     return fixed.select(
         "source",
