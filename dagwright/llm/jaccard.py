@@ -182,14 +182,34 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("fp").distinct().hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.first("s").alias("s"))
 
 
+def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Data and offsets of an array of bytes."""
+    return np.frombuffer(col.buffers()[2], np.uint8), np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+
+
+def _narrow(sigs: np.ndarray, width: int) -> np.ndarray:
+    """Signatures, one a row, at a narrower width."""
+    while sigs.shape[1] > width:
+        half = sigs.shape[1] >> 1
+        sigs = sigs[:, :half] | sigs[:, half:]
+    return sigs
+
+
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow a link."""
 
     def rows(batches):
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("na", "siga", "nb", "sigb")]
-            ok = pa.array([may_link(*x) for x in zip(*cols, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(ok)
+        for b in sliced(batches, 1024):
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            (x, ox), (y, oy) = _bytes(b.column("siga")), _bytes(b.column("sigb"))
+            width, ok = np.stack([np.diff(ox), np.diff(oy)]), np.zeros(len(na), bool)
+            # Signatures of equal widths together.
+            for wa, wb in np.unique(width, axis=1).T.tolist():
+                at = np.flatnonzero((width[0] == wa) & (width[1] == wb))
+                one, other = (_narrow(d[o[at][:, None] + np.arange(w)], min(wa, wb)) for d, o, w in ((x, ox, wa), (y, oy, wb)))
+                only_a, only_b = (np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((one, other), (other, one)))
+                ok[at] = np.minimum(na[at] - only_a, nb[at] - only_b) >= least_overlap(na[at], nb[at])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     side = lambda k: sets.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"sig{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -385,7 +405,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     smallest unless the whole class has none. An empty table gives an empty one;
     other columns are ignored.
 
-    Exact at every size: two linked sets share a shingle of their prefixes, so
+    Exact but for the shingles' keys, hashes of 64 bits (two shingles of one pair
+    of documents meet in one with a chance of about n * m / 2**64): two linked sets share a shingle of their prefixes, so
     they meet in that shingle's tile; a tile's size bands and bitmap signatures
     only rule out pairs that cannot link; the rest is verified on sorted arrays.
     What is merged already needs no comparison: a star round merges most of a
