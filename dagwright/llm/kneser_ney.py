@@ -28,6 +28,8 @@ START, END = 0x110000, 0x110001
 PIECE, SLOTS, GROUPS, HELD = 1 << 16, 1 << 18, 16, 1 << 19
 #: Entries of the tables that are broadcast, 12 bytes each (48 MB) and a few more in transit.
 HOT = 1 << 22
+#: Rows of discounts that are broadcast, some 60 bytes each; more are joined by shuffle.
+FEW = 200_000
 #: Back-off weights have the context's order and this as their kind.
 BACK = 100
 
@@ -166,7 +168,9 @@ def fit(rows: DataFrame, order: int = ORDER) -> DataFrame:
     def discount(i, hi, lo):
         return F.greatest(F.lit(0.05), F.least(F.lit(float(i)), F.when((hi > 0) & (lo > 0), i - (i + 1) * y * hi / lo).otherwise(0.5 * i)))
 
-    discounts = seen.groupBy("grp", "k").agg(discount(1, n2, n1).alias("d1"), discount(2, n3, n2).alias("d2"), discount(3, n4, n3).alias("d3"))
+    discounts = written(seen.groupBy("grp", "k").agg(discount(1, n2, n1).alias("d1"), discount(2, n3, n2).alias("d2"), discount(3, n4, n3).alias("d3")), "discounts")
+    # One row for each group and order: by shuffle, all n-grams of a language would meet in one task.
+    discounts = F.broadcast(discounts) if discounts.count() <= FEW else discounts
     d = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
     off = seen.join(discounts, ["grp", "k"]).withColumn("d", d)
     contexts = off.groupBy("grp", "k", "context").agg(F.sum("a").alias("total"), F.sum("d").alias("off"))
