@@ -54,14 +54,14 @@ def _erfinv(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.sqrt(np.sqrt(t * t - ln / a) - t)
 
 
-def _uniform(key: Column, *salt: int) -> Column:
+def uniform(key: Column, *salt: int) -> Column:
     """A number in (0, 1) fixed by the key: the same whichever task draws it."""
     bits = 48
     return (F.pmod(F.xxhash64(key, *[F.lit(s) for s in salt]), F.lit(1 << bits)) + 0.5) / float(1 << bits)
 
 
-def _normal(key: Column, *salt: int) -> Column:
-    return F.sqrt(-2 * F.ln(_uniform(key, *salt, 0))) * F.cos(2 * F.pi() * _uniform(key, *salt, 1))
+def normal(key: Column, *salt: int) -> Column:
+    return F.sqrt(-2 * F.ln(uniform(key, *salt, 0))) * F.cos(2 * F.pi() * uniform(key, *salt, 1))
 
 
 def simulate(spark: SparkSession, network: Network, rows: int = 1000, seed: int = 42, groups: int | None = None) -> DataFrame:
@@ -86,20 +86,20 @@ def simulate(spark: SparkSession, network: Network, rows: int = 1000, seed: int
                 eta = eta + F.lit(value) * _term(schema, c, name, state, parent)
             if f.covariance:
                 for j, x in enumerate(np.linalg.cholesky(np.array(f.covariance) + 1e-12 * np.eye(len(f.covariance)))[b, : b + 1]):
-                    eta = eta + F.lit(float(x)) * _normal(F.col("group_id"), seed, k, j, 7)
+                    eta = eta + F.lit(float(x)) * normal(F.col("group_id"), seed, k, j, 7)
             elif f.sigma_alpha:
-                eta = eta + F.lit(f.sigma_alpha[min(b, len(f.sigma_alpha) - 1)]) * _normal(F.col("group_id"), seed, k, b, 7)
+                eta = eta + F.lit(f.sigma_alpha[min(b, len(f.sigma_alpha) - 1)]) * normal(F.col("group_id"), seed, k, b, 7)
             etas.append(eta)
         if f.dist is Dist.GAUSSIAN:
-            value = etas[0] + F.lit(f.sigma or 0.0) * _normal(F.col("id"), seed, k)
+            value = etas[0] + F.lit(f.sigma or 0.0) * normal(F.col("id"), seed, k)
         elif f.dist is Dist.BINOMIAL:
-            value = F.when(_uniform(F.col("id"), seed, k) < 1 / (1 + F.exp(-etas[0])), F.lit(schema.levels[c][-1])).otherwise(F.lit(schema.levels[c][0]))
+            value = F.when(uniform(F.col("id"), seed, k) < 1 / (1 + F.exp(-etas[0])), F.lit(schema.levels[c][-1])).otherwise(F.lit(schema.levels[c][0]))
         elif f.dist is Dist.POISSON:
             # e^43 is the last rate whose counts are longs: beyond it there is no right draw.
             rate = F.when(etas[0] <= 43, F.exp(etas[0])).otherwise(F.raise_error(F.lit(f"{c}: a rate of over e^43")).cast("double"))
-            value = _poisson(rate, _uniform(F.col("id"), seed, k)).cast("long")
+            value = _poisson(rate, uniform(F.col("id"), seed, k)).cast("long")
         else:
-            out = out.withColumn("u", _uniform(F.col("id"), seed, k))
+            out = out.withColumn("u", uniform(F.col("id"), seed, k))
             weights = [F.lit(1.0), *[F.exp(F.least(e, F.lit(700.0))) for e in etas]]
             total = weights[0]
             for w in weights[1:]:

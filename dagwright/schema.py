@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 
+#: Values of a discrete column: each is a column of a design.
+MAX_LEVELS = 10_000
+
+
 class Dist(str, Enum):
     BINOMIAL = "binomial"
     GAUSSIAN = "gaussian"
@@ -134,10 +138,14 @@ def split_group(df: DataFrame, schema: Schema) -> DataFrame:
 
 
 def with_levels(df: DataFrame, schema: Schema) -> Schema:
-    """The schema with the sorted levels of its discrete columns (categorical: few)."""
+    """The schema with the sorted levels of its discrete columns, MAX_LEVELS at most:
+    a column of ids that is declared discrete must not fill the driver."""
     discrete = [c for c, d in schema.dists.items() if d.discrete]
     if not discrete:
         return schema
+    about = df.agg(*[F.approx_count_distinct(c).alias(c) for c in discrete]).first()
+    if many := [c for c in discrete if about[c] > MAX_LEVELS]:
+        raise ValueError(f"{many} have over {MAX_LEVELS} values: not discrete")
     row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in discrete]).first()
     return Schema(schema.dists, schema.group, {c: tuple(row[c]) for c in discrete})
 

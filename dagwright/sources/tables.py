@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import simulate
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of a folder; columns and filters reach the scan."""
@@ -20,9 +22,12 @@ def lineitem_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_sample(spark: SparkSession, rows: int = 10_000, seed: int = 1) -> DataFrame:
-    """a ~ N(0, 1); b = 1 + 2 a + N; c binary on b; d counts on a; e of three classes on b."""
-    t = spark.range(rows).select("id", F.randn(seed).alias("a")).withColumn("b", 1 + 2 * F.col("a") + F.randn(seed + 1))
-    t = t.withColumn("c", F.when(F.rand(seed + 2) < 1 / (1 + F.exp(-(F.col("b") - 1))), "yes").otherwise("no"))
-    t = t.withColumn("d", F.floor(-F.ln(1 - F.rand(seed + 3)) * F.exp(0.4 * F.col("a")) * 2))
-    u = F.rand(seed + 4) * 3 + F.col("b") / 2
+    """a ~ N(0, 1); b = 1 + 2 a + N; c binary on b; d counts on a; e of three classes
+    on b; g one of 50 groups. Draws are hashes of (seed, row): the same however the
+    table is cut into partitions."""
+    normal, uniform = ((lambda k, f=f: f(F.col("id"), seed, k)) for f in (simulate.normal, simulate.uniform))
+    t = spark.range(rows).select("id", normal(0).alias("a")).withColumn("b", 1 + 2 * F.col("a") + normal(1))
+    t = t.withColumn("c", F.when(uniform(2) < 1 / (1 + F.exp(-(F.col("b") - 1))), "yes").otherwise("no"))
+    t = t.withColumn("d", F.floor(-F.ln(1 - uniform(3)) * F.exp(0.4 * F.col("a")) * 2))
+    u = uniform(4) * 3 + F.col("b") / 2
     return t.withColumn("e", F.when(u < 1, "x").when(u < 2.2, "y").otherwise("z")).withColumn("g", F.col("id") % 50)
