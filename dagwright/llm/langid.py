@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import sliced, written
 
@@ -235,7 +236,7 @@ def _judged(now: DataFrame, model: LanguageModel, state: list[str]) -> DataFrame
             others = [b.column(c) for c in b.schema.names if c not in state]
             yield pa.RecordBatch.from_arrays([*others, *[pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)]], names=b.schema.names)
 
-    return now.mapInArrow(rows, now.schema)
+    return now.mapInArrow(rows, StructType([StructField(f.name, f.dataType) for f in now.schema]))
 
 
 def held_out(doc_id: Column) -> Column:
