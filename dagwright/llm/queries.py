@@ -11,6 +11,9 @@ from .langid import op6_language
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .lm_select import op7_lm_score
 from .mixing import OP5_SQL, op5_source_mix
+from .phrases import OP11_SQL, op11_phrases
+from .piece_bpe import op13_piece_bpe
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op3_quality
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_bpe": op9_bpe,
     "op10_chat_format": op10_chat_format,
+    "op11_phrases": op11_phrases,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_piece_bpe": op13_piece_bpe,
 }
 
 ORACLE_SQL = {
@@ -32,4 +38,6 @@ ORACLE_SQL = {
     "op4_line_dedup": OP4_SQL,
     "op5_source_mix": OP5_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_phrases": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
