@@ -151,7 +151,7 @@ def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bo
     elif normal and schema.group:
         from ..plans.cache import _bayes_group, lmm_bayes_call, lmm_bayes_solver
 
-        rows = P.Rows(df, design, group=True)
+        rows = P.Rows.of_groups(df, design)
         fits = P.solve(rows, [(built[c], 0.0) for c in normal], lambda job: lmm_bayes_solver(job[0], m, prior), lmm_bayes_call)
         for i, c in enumerate(normal):
             f = fits[i]
@@ -173,7 +173,7 @@ def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bo
         rows = P.Rows(df, design, group=bool(schema.group))
         jobs = [(built[c], float(m.mean[design.of[at[c]][0]])) for c in other]
         if schema.group:
-            fits = P.solve(rows, jobs, lambda job: P.glmm_solver(job[0], job[1], prior), P.glmm_call)
+            fits = P.solve(rows, jobs, lambda job: P.glmm_solver(job[0], job[1], prior, control.tol, control.max_iters), P.glmm_call)
         else:
             fits = P.solve(rows, jobs, lambda job: P.glm_solver(job[0], job[1], control.tol, control.max_iters), P.glm_call)
             again = [i for i, (model, _) in enumerate(jobs) if model.dist is Dist.BINOMIAL and not prior and (fits[i] is None or not fits[i].ok or np.abs(fits[i].beta).max(initial=0) > 15)]
@@ -311,7 +311,13 @@ def marginals(
         m, df = m.standardised(gaussians), standardised(df, schema)
     at = {c: i for i, c in enumerate(schema.nodes)}
     built = {c: P.build_model(at[c], design, at[c], [at[p] for p in dag.parents(c)], None, prior) for c in nodes or schema.nodes}
-    held: list[P.Rows] = []
+    held: dict[bool, P.Rows] = {}
+
+    def table(normal: bool) -> P.Rows:
+        """What nodes need: the groups' sums for gaussian ones with groups, else the rows."""
+        if normal not in held:
+            held[normal] = P.Rows.of_groups(df, design) if normal else P.Rows(df, design, group=bool(schema.group))
+        return held[normal]
 
     def densities(asked: list[tuple[str, int, float]]) -> list[float]:
         """Density of each (node, number of the term, value)."""
@@ -323,20 +329,18 @@ def marginals(
             else:
                 jobs.append((M.Model(len(jobs), model.dist, model.y, model.cols, model.n_parents, 0.0, prior, (k, x)), float(m.mean[model.y[0]])))
                 where.append(i)
-        if jobs and not held:
-            held.append(P.Rows(df, design, group=bool(schema.group)))
         by = lambda d: [i for i, j in enumerate(jobs) if (j[0].dist is Dist.GAUSSIAN) == d]
         for normal in (True, False):
             if not (own := by(normal)):
                 continue
             mine = [jobs[i] for i in own]
             if not schema.group:
-                values = {i: M.laplace(v) if v else -math.inf for i, v in P.solve(held[0], mine, lambda job: P.glm_solver(job[0], job[1], control.tol, control.max_iters), P.glm_call).items()}
+                values = {i: M.laplace(v) if v else -math.inf for i, v in P.solve(table(False), mine, lambda job: P.glm_solver(job[0], job[1], control.tol, control.max_iters), P.glm_call).items()}
             else:
                 from ..plans.cache import _bayes_group, lmm_bayes_call, lmm_bayes_solver
 
-                make, call = (lambda job: lmm_bayes_solver(job[0], m, prior), lmm_bayes_call) if normal else (lambda job: P.glmm_solver(job[0], job[1], prior), P.glmm_call)
-                values = {i: _bayes_group(v, 0)[0] for i, v in P.solve(held[0], mine, make, call).items()}
+                make, call = (lambda job: lmm_bayes_solver(job[0], m, prior), lmm_bayes_call) if normal else (lambda job: P.glmm_solver(job[0], job[1], prior, control.tol, control.max_iters), P.glmm_call)
+                values = {i: _bayes_group(v, 0)[0] for i, v in P.solve(table(normal), mine, make, call).items()}
             for i, k in enumerate(own):
                 out[where[k]] = float(np.exp(values[i] - network.nodes[asked[where[k]][0]].scores["mlik"]))
         return out

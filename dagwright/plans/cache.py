@@ -128,7 +128,7 @@ def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, p
     result: dict[int, tuple] = {}
     if gaussian:
         if prior:
-            rows = Rows(df, design, group=True)
+            rows = Rows.of_groups(df, design)
             fits = solve(rows, gaussian, lambda job: lmm_bayes_solver(job[0], m, prior), lmm_bayes_call)
             for i, (model, _) in enumerate(gaussian):
                 result[model.key] = _bayes_group(fits[i], model.size + 2)
@@ -141,7 +141,7 @@ def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, p
     if other:
         rows = Rows(df, design, group=bool(schema.group))
         if schema.group:
-            fits = solve(rows, other, lambda job: glmm_solver(job[0], job[1], prior), glmm_call)
+            fits = solve(rows, other, lambda job: glmm_solver(job[0], job[1], prior, control.tol, control.max_iters), glmm_call)
         else:
             fits = solve(rows, other, lambda job: glm_solver(job[0], job[1], control.tol, control.max_iters), glm_call)
         for i, (model, _) in enumerate(other):
@@ -228,18 +228,15 @@ def lmm_bayes_solver(model: M.Model, m: Moments, prior: M.Priors):
 
 
 def lmm_bayes_call(job, ask, a, w, g) -> np.ndarray:
+    """The groups' share at each point: rows are groups, columns their sums, ``w`` their sizes."""
     model = job[0]
-    x, y = a[:, model.cols], a[:, model.y[0]]
-    n_groups = int(g.max()) + 1
-    n = np.bincount(g, w, n_groups)
-    t = np.bincount(g, w * y, n_groups)
-    s = np.column_stack([np.bincount(g, w * x[:, i], n_groups) for i in range(x.shape[1])])
+    p = len(model.cols)
+    s = np.column_stack([w if c == 0 else a[:, c] for c in model.cols]) if p else np.zeros((len(w), 0))
     out = []
     for q in ask:
-        p = len(model.cols)
         te, r = np.exp(-2 * q[p]), np.exp(2 * (q[p + 1] - q[p]))
-        u = t - s @ q[:p]
-        out.append(float((0.5 * te * (r / (1 + r * n)) * u * u - 0.5 * np.log1p(r * n)).sum()))
+        u = a[:, model.y[0]] - s @ q[:p]
+        out.append(float((0.5 * te * (r / (1 + r * w)) * u * u - 0.5 * np.log1p(r * w)).sum()))
     return np.array(out)
 
 

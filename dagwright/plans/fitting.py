@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import mixed as X
 from ..operators import models as M
 from ..operators.moments import Design
 from ..schema import Dist, Schema
 from ..storage import stored
+from .grouped import Groups
 
 #: A table of at most so many numbers (32 MB) is sent to the tasks, which then
 #: share the models out; over a larger one, all models advance together, by scan.
@@ -42,15 +44,21 @@ class Rows:
 
     def __init__(self, df: DataFrame, design: Design, group: bool = False):
         self.design, self.width, self.group = design, len(design.names), group
-        rows = compressed(df, design, group)
-        if group:
-            # All rows of a group lie in one partition.
-            rows = rows.repartition("g")
-        self.frame = stored(rows, "design")
-        self.spark = df.sparkSession
-        self.count = self.frame.count()
+        self._hold(stored(compressed(df, design, group), "design"))
+
+    def _hold(self, frame: DataFrame) -> None:
+        self.frame, self.spark = frame, frame.sparkSession
+        self.count = frame.count()
         self.local = self.count * (self.width + 1) <= LOCAL
 
+    @classmethod
+    def of_groups(cls, df: DataFrame, design: Design) -> Rows:
+        """One row for each group: sums of its columns, its number of rows as the weight."""
+        rows = cls.__new__(cls)
+        rows.design, rows.width, rows.group = design, len(design.names), False
+        rows._hold(group_sums(df, design).withColumnRenamed("n", "w"))
+        return rows
+
     def matrix(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         t = self.frame.toArrow()
         return arrays(t, self.width, self.group)
@@ -96,53 +104,65 @@ def solve(rows: Rows, jobs: list, make: Callable, call: Callable) -> dict:
         return {i: pickle.loads(f) for i, f in zip(out.column("id").to_pylist(), out.column("fit").to_pylist(), strict=True)}
     found: dict = {}
     for s in range(0, len(jobs), TOGETHER):
-        found |= _lockstep(rows, jobs, range(s, min(s + TOGETHER, len(jobs))), make, call)
+        groups = Groups(rows.frame, rows.width) if rows.group else None
+        found |= _lockstep(rows, groups, jobs, range(s, min(s + TOGETHER, len(jobs))), make, call)
+        if groups:
+            groups.close()
     return found
 
 
-def _lockstep(rows: Rows, jobs: list, ids: Iterable[int], make, call) -> dict:
+def _lockstep(rows: Rows, groups: Groups | None, jobs: list, ids: Iterable[int], make, call) -> dict:
     solvers = {i: make(jobs[i]) for i in ids}
     asks, found = {}, {}
     for i, s in solvers.items():
         asks[i] = next(s)
-    width, group = rows.width, rows.group
     while asks:
-        sent = rows.spark.sparkContext.broadcast([(i, jobs[i], a) for i, a in asks.items()])
-
-        def part(batches, sent=sent):
-            total: dict[int, np.ndarray] = {}
-            # A group's rows count together, so a grouped partition is one block; else batch by batch.
-            whole = [pa.Table.from_batches(list(batches))] if group else batches
-            for t in whole:
-                if not t.num_rows:
-                    continue
-                a, w, g = arrays(t, width, group)
-                for i, job, ask in sent.value:
-                    v = call(job, ask, a, w, g)
-                    total[i] = total[i] + v if i in total else v
-            if total:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(list(total), [len(v) for v in total.values()])), pa.array(np.concatenate([np.arange(len(v)) for v in total.values()])), pa.array(np.concatenate(list(total.values())))],
-                    names=["id", "k", "v"],
-                )
-
-        sums: dict[int, list] = {}
-        for i, k, v in rows.frame.mapInArrow(part, "id long, k long, v double").groupBy("id", "k").agg(F.sum("v").alias("v")).collect():
-            sums.setdefault(i, []).append((k, v))
+        # What needs each group's intercepts goes over the groups' state, all else over the rows.
+        whole = {i: a for i, a in asks.items() if isinstance(a, tuple) and a[0] == "groups"}
+        got = _row_sums(rows, jobs, {i: a for i, a in asks.items() if i not in whole}, call)
+        if whole:
+            got |= {i: np.concatenate(v) for i, v in groups.terms([(i, jobs[i][0], a[1]) for i, a in whole.items()]).items()}
         following = {}
         for i in asks:
-            got = np.array([v for _, v in sorted(sums[i])])
             try:
-                following[i] = solvers[i].send(got)
+                following[i] = solvers[i].send(got[i])
             except StopIteration as end:
                 found[i] = end.value
             except (np.linalg.LinAlgError, FloatingPointError, ValueError):
                 found[i] = None
         asks = following
-        sent.unpersist()
     return found
 
 
+def _row_sums(rows: Rows, jobs: list, asks: dict, call) -> dict[int, np.ndarray]:
+    """What ``call`` gives for each ask, added up over all rows in one scan."""
+    if not asks:
+        return {}
+    width = rows.width
+    sent = rows.spark.sparkContext.broadcast([(i, jobs[i], a) for i, a in asks.items()])
+
+    def part(batches):
+        total: dict[int, np.ndarray] = {}
+        for t in batches:
+            if not t.num_rows:
+                continue
+            a, w, g = arrays(t, width, False)
+            for i, job, ask in sent.value:
+                v = call(job, ask, a, w, g)
+                total[i] = total[i] + v if i in total else v
+        if total:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(list(total), [len(v) for v in total.values()])), pa.array(np.concatenate([np.arange(len(v)) for v in total.values()])), pa.array(np.concatenate(list(total.values())))],
+                names=["id", "k", "v"],
+            )
+
+    sums: dict[int, list] = {}
+    for i, k, v in rows.frame.mapInArrow(part, "id long, k long, v double").groupBy("id", "k").agg(F.sum("v").alias("v")).collect():
+        sums.setdefault(i, []).append((k, v))
+    sent.unpersist()
+    return {i: np.array([v for _, v in sorted(sums[i])]) for i in asks}
+
+
 # --- Jobs -----------------------------------------------------------------
 
 
@@ -176,34 +196,40 @@ def glm_call(job, ask, a, w, g) -> np.ndarray:
 SPREADS = (0.3, 1.0, 0.05)
 
 
-def glmm_solver(model: M.Model, mean_y: float, priors: M.Priors | None = None):
+def glmm_solver(model: M.Model, mean_y: float, priors: M.Priors | None = None, tol: float = 1e-8, most: int = 100):
     """Fits without groups first, then the coefficients and spreads together; a
     fixed coefficient stays where it is."""
     plain = M.Model(model.key, model.dist, model.y, model.cols, model.n_parents)
-    inner = M.newton(plain, M.start(plain, mean_y))
+    inner = M.newton(plain, M.start(plain, mean_y), tol, most)
     ask = next(inner)
     while True:
-        got = yield ("glm", ask)
+        got = yield ("rows", ask)
         try:
             ask = inner.send(unpack(plain, got))
         except StopIteration as end:
             fit = end.value
             break
-    p, k = model.size, model.blocks
+    p, k, size = model.size, model.blocks, X.dimension(model)
 
     def prior(x):
+        """(log density, slope) of coefficients and precisions"""
+        slope = np.zeros(size)
         if priors is None:
-            return 0.0
+            return 0.0, slope
         d, tau = x[:p] - priors.mean, np.exp(-2 * x[p : p + k])
         out = 0.5 * p * (math.log(priors.precision) - M.LN2PI) - 0.5 * priors.precision * (d @ d)
-        return out + float((priors.shape * math.log(priors.inv_scale) - math.lgamma(priors.shape) + (priors.shape - 1) * np.log(tau) - priors.inv_scale * tau).sum())
+        slope[:p] = -priors.precision * d
+        slope[p : p + k] = -2 * (priors.shape - 1) + 2 * priors.inv_scale * tau
+        return out + float((priors.shape * math.log(priors.inv_scale) - math.lgamma(priors.shape) + (priors.shape - 1) * np.log(tau) - priors.inv_scale * tau).sum()), slope
 
     # Intercepts of several categories vary together: their covariance is free.
-    free = np.ones(p + k + k * (k - 1) // 2, bool)
+    free = np.ones(size, bool)
+    guess = np.eye(size) * 0.05
+    guess[:p, :p] = np.linalg.pinv(fit.info, hermitian=True) if len(fit.info) == p else guess[:p, :p]
     best = None
     # A search that ends at no maximum is tried again from other spreads.
     for spread in SPREADS:
-        first = np.r_[fit.beta, np.full(k, math.log(spread)), np.zeros(k * (k - 1) // 2)]
+        first = np.r_[fit.beta, np.full(k, math.log(spread)), np.zeros(size - p - k)]
         if model.fixed:
             free[model.fixed[0]], first[model.fixed[0]] = False, model.fixed[1]
 
@@ -212,37 +238,37 @@ def glmm_solver(model: M.Model, mean_y: float, priors: M.Priors | None = None):
             x[free] = v
             return x
 
-        outer = M.maximise(first[free])
+        outer = X.ascend(first[free], guess[np.ix_(free, free)], tol, most)
         points = next(outer)
         while True:
             full = [whole(v) for v in points]
-            got = yield ("glmm", full)
+            got = np.asarray((yield ("groups", full))).reshape(len(full), 1 + size)
+            answers = []
+            for x, row in zip(full, got, strict=True):
+                more = prior(x), X.penalty(model, x)
+                answers.append((row[0] + sum(v for v, _ in more), (row[1:] + sum(s for _, s in more))[free]))
             try:
-                points = outer.send([float(v) + prior(x) for v, x in zip(got, full, strict=True)])
+                points = outer.send(answers)
             except StopIteration as end:
                 v, value, info = end.value
                 break
         x = whole(v)
         top = bool(np.isfinite(value)) and np.linalg.slogdet(info)[0] > 0
         if best is None or (top, value) > best[:2]:
-            best = top, value, M.Fit(x[:p], value - prior(x), info, bool(np.isfinite(value)), {"log_sd": x[p:], "goal": value})
+            best = top, value, M.Fit(x[:p], value - prior(x)[0], info, bool(np.isfinite(value)), {"log_sd": x[p:], "goal": value})
         if top:
             break
     return best[2]
 
 
 def glmm_call(job, ask, a, w, g) -> np.ndarray:
+    """Answers of :func:`glmm_solver` where all rows are at hand, or sums over some rows of its first phase."""
     model = job[0]
     kind, what = ask
-    if kind == "glm":
+    if kind == "rows":
         return pack(M.Model(model.key, model.dist, model.y, model.cols, model.n_parents), what, a, w)
-    n, p, k = int(g.max()) + 1, model.size, model.blocks
-    out = []
-    for x in what:
-        # A spread past e^6 or under e^-9 is off the map.
-        spread = np.r_[np.clip(x[p : p + k], -9, 6), x[p + k :]]
-        out.append(M.group_laplace(model, x[:p], spread, a, w, g, n) - 1e3 * float(np.abs(x[p:] - spread).sum()))
-    return np.array(out)
+    n = int(g.max()) + 1
+    return np.concatenate([X.local_terms(model, x, a, w, g, n) for x in what])
 
 
 def build_model(key: int, design: Design, child: int, parents: Iterable[int], n: float | None = None, priors: M.Priors | None = None) -> M.Model:
