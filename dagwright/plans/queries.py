@@ -416,12 +416,6 @@ def multi_scores_by_multi(spark, sf):
 _MIXED = {"l_linestatus": "binomial", "l_linenumber": "poisson", "l_returnflag": "multinomial", "l_quantity": "gaussian"}
 
 
-@query("glmm_scores")
-def glmm_scores(spark, sf):
-    t = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "source"), "doc_id").select("quality", "toxic", "source")
-    return build_cache(t, Schema.of({"quality": "binomial", "toxic": "binomial"}, group="source"), "mle", 1).drop("parents")
-
-
 # --- Search ---------------------------------------------------------------
 
 
@@ -674,4 +668,4 @@ def plot_edges(spark, sf):
     return export.plot_attributes(_dist_frame(spark), _G1.edges(spark), s)[1]
 
 
-from . import model_queries  # noqa: E402, F401  registers its queries
+from . import grouped_queries, model_queries  # noqa: E402, F401  register their queries
