@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from ..graph import Dag
 from ..plans.cache import score_column
 from ..storage import stored
+from . import exact
 
-#: 2**n subsets and as many numbers for each node are held in one task.
-MAX_EXACT = 20
 WORST = -1.797e308
 #: Parent sets that every search holds: some 300 MB.
 MAX_SHARED = 4_000_000
@@ -79,59 +78,32 @@ def _chain(best: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return g, last
 
 
-def _size(n: int) -> None:
-    if n > MAX_EXACT:
-        raise ValueError(f"exact search takes {MAX_EXACT} nodes at most, not {n}")
+def _valued(cache: DataFrame, n: int, score: str, prior: int) -> DataFrame:
+    """The cache's sets with ``value``, the score and the structural prior."""
+    return _prepared(cache, score).withColumn("value", F.col("score") + exact.prior_column(n, prior))
 
 
 def alpha_table(cache: DataFrame, n: int, score: str = "bic", prior: int = 1) -> DataFrame:
     """``(child, subset, best, row_id)``: for every child and every subset of the
-    other nodes, the best cached parent set within it."""
-    _size(n)
-
-    def kernel(pdf):
-        best, row = _node_tables(pdf, n, prior)
-        c, s = np.nonzero(np.isfinite(best))
-        own = (s >> c & 1) == 0
-        return pd.DataFrame({"child": c[own].astype("int32"), "subset": s[own], "best": best[c, s][own], "row_id": row[c, s][own]})
-
-    return _prepared(cache, score).groupBy().applyInPandas(kernel, "child int, subset long, best double, row_id long")
+    other nodes, the best cached parent set within it; block by block of the lattice."""
+    return exact.subset_best(_valued(cache, n, score, prior), n)
 
 
 def chain_table(cache: DataFrame, n: int, score: str = "bic", prior: int = 1) -> DataFrame:
     """``(subset, best, last)``: the best score of a network over each subset of
     the nodes, and the node that comes last in it."""
-    _size(n)
-
-    def kernel(pdf):
-        g, last = _chain(_node_tables(pdf, n, prior)[0], n)
-        ok = np.isfinite(g)
-        return pd.DataFrame({"subset": np.flatnonzero(ok), "best": g[ok], "last": last[ok]})
-
-    return _prepared(cache, score).groupBy().applyInPandas(kernel, "subset long, best double, last int")
+    found = stored(exact.entries(_valued(cache, n, score, prior), n), "entries")
+    return exact.subset_networks(exact.layers(found, n), n)
 
 
 def best_rows(cache: DataFrame, n: int, score: str = "bic", prior: int = 1) -> DataFrame:
     """``(child, row_id, mask, score)``: the parent set of each node in the most
-    probable network. The cache of up to 20 nodes goes to one task: the dynamic
-    program's tables are of size 2**n there, whatever the data's size."""
-    _size(n)
-
-    def kernel(pdf):
-        best, row = _node_tables(pdf, n, prior)
-        _, last = _chain(best, n)
-        scores, masks = dict(zip(pdf["row_id"], pdf["score"], strict=True)), dict(zip(pdf["row_id"], pdf["mask"], strict=True))
-        out, s = [], (1 << n) - 1
-        while s:
-            i = int(last[s])
-            if i < 0:
-                raise ValueError("some node has no parent set that fits; is a retained or user set missing?")
-            s ^= 1 << i
-            r = int(row[i, s])
-            out.append((i, r, masks[r], scores[r]))
-        return pd.DataFrame(sorted(out), columns=["child", "row_id", "mask", "score"]).astype({"child": "int32"})
-
-    return _prepared(cache, score).groupBy().applyInPandas(kernel, "child int, row_id long, mask long, score double")
+    probable network. The work doubles with every node, as the lattice of node
+    sets does; it lies in blocks, a layer of them at a time (``operators/exact``)."""
+    out = exact.best_sets(_valued(cache, n, score, prior), n)
+    if out.filter("row_id IS NULL").count() or out.count() < n:
+        raise ValueError("some node has no parent set that fits; is a retained or user set missing?")
+    return out
 
 
 def most_probable(cache: DataFrame, nodes: Sequence[str], score: str = "bic", prior: int = 1) -> Found:
