@@ -143,7 +143,9 @@ def fit(df: DataFrame, schema: Schema, dag: Dag, method: str = "mle", centre: bo
     other = [c for c in schema.nodes if schema.dists[c] is not Dist.GAUSSIAN]
     found: dict[str, NodeFit] = {}
     if normal and schema.group and not prior:
-        for c, (ll, _, beta, se, var, between) in zip(normal, P.lmm_fits(df, design, m, [built[c] for c in normal], reml), strict=True):
+        fits = P.solve(P.Rows.of_groups(df, design), [(built[c], 0.0) for c in normal], lambda job: P.lmm_solver(job[0], m, reml), P.lmm_call)
+        for i, c in enumerate(normal):
+            ll, _, beta, se, var, between = fits[i]
             k = len(built[c].cols) + 2
             s = M.scores(ll, k, m.n, 0, n_vars)
             s["mdl"] = s["bic"] + (k - 1) * math.log(n_vars)

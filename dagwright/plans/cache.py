@@ -16,7 +16,7 @@ from ..operators.parent_sets import parent_sets, user_sets
 from ..schema import Dist, Schema, standardised, validate, with_levels
 from ..storage import stored
 from .controls import BuildControl
-from .fitting import Rows, build_model, glm_call, glm_solver, glmm_call, glmm_solver, lmm_fits, only_needed, solve
+from .fitting import Rows, build_model, fit_sets, glm_call, glm_solver, glmm_call, glmm_solver, lmm_call, lmm_solver, only_needed
 
 SCORES = ("mlik", "aic", "bic", "mdl")
 
@@ -113,57 +113,61 @@ def _from_moments(made: DataFrame, design: Design, m: Moments, prior: M.Priors |
     return made.mapInPandas(score, _columns(made))
 
 
+_SCORE_COLUMNS = "mlik double, aic double, bic double, mdl double, error_code int"
+
+
 def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, prior: M.Priors | None, reml: bool, control: BuildControl) -> DataFrame:
-    """Scores that need a likelihood of the rows."""
-    spark, schema = made.sparkSession, design.schema
+    """Scores that need a likelihood of the rows; the sets stay a table all along."""
+    schema = design.schema
     made = stored(made, "sets")
-    # What the driver holds of a parent set is a few numbers; the search needs no less.
-    todo = [(int(r["row_id"]), int(r["child"]), [int(p) for p in r["parents"]]) for r in made.select("row_id", "child", "parents").collect()]
     x = design.frame(df)
-    stats = x.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(1, len(design.names))]).first()
-    n, n_vars = float(stats["n"]), len(schema.dists)
-    jobs = [(build_model(k, design, c, p, n, prior), stats[f"x{design.of[c][0]}"]) for k, c, p in todo]
-    gaussian = [j for j in jobs if j[0].dist is Dist.GAUSSIAN]
-    other = [j for j in jobs if j[0].dist is not Dist.GAUSSIAN]
-    result: dict[int, tuple] = {}
-    if gaussian:
+    stats = x.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(1, len(design.names))]).first().asDict()
+    n, n_vars, grouped = float(stats["n"]), len(schema.dists), bool(schema.group)
+    dists = list(schema.dists.values())
+    normal = [i for i, d in enumerate(dists) if d is Dist.GAUSSIAN]
+    tol, most = control.tol, control.max_iters
+
+    def job(key, child, parents):
+        return build_model(key, design, child, parents, n, prior), stats[f"x{design.of[child][0]}"]
+
+    def mixed(loglik: float, df_: int) -> tuple:
+        s = M.scores(loglik, df_, n, 0, n_vars)
+        s["mdl"] = s["bic"] + (df_ - 1) * np.log(n_vars)
+        return (*(float(s[k]) for k in SCORES), 0)
+
+    def finish(job, fit) -> tuple:
+        model = job[0]
+        if fit is None or not np.isfinite(fit.loglik):
+            return (*M.FAILED.values(), 2)
         if prior:
-            rows = Rows.of_groups(df, design)
-            fits = solve(rows, gaussian, lambda job: lmm_bayes_solver(job[0], m, prior), lmm_bayes_call)
-            for i, (model, _) in enumerate(gaussian):
-                result[model.key] = _bayes_group(fits[i], model.size + 2)
-        else:
-            for (model, _), fit in zip(gaussian, lmm_fits(df, design, m, [j[0] for j in gaussian], reml), strict=True):
-                df_ = len(model.cols) + 2
-                s = M.scores(fit[0], df_, n, 0, n_vars)
-                s["mdl"] = s["bic"] + (df_ - 1) * np.log(n_vars)
-                result[model.key] = (*(float(s[k]) for k in SCORES), 0)
-    if other:
-        rows = Rows(df, design, group=bool(schema.group))
-        if schema.group:
-            fits = solve(rows, other, lambda job: glmm_solver(job[0], job[1], prior, control.tol, control.max_iters), glmm_call)
+            if grouped:
+                return _bayes_group(fit, model.size + model.blocks)
+            value = M.laplace(fit)
+            return (value, None, None, None, 0 if np.isfinite(value) else 2)
+        if grouped:
+            return mixed(fit.loglik, model.size + len(fit.extra["log_sd"]))
+        gram = fit.info[: len(model.cols), : len(model.cols)]
+        drop = M.full_rank(gram) if len(gram) else 0
+        s = M.scores(fit.loglik, model.blocks * (len(model.cols) - drop), n, model.n_parents - drop, n_vars)
+        return (*(float(s[k]) for k in SCORES), 0)
+
+    out = []
+    children = {r[0] for r in made.select("child").distinct().collect()}
+    if gaussian := children & set(normal):
+        sets = made.filter(F.col("child").isin([*gaussian]))
+        rows = Rows.of_groups(df, design)
+        if prior:
+            out.append(fit_sets(rows, sets, job, lambda j: lmm_bayes_solver(j[0], m, prior), lmm_bayes_call, lambda j, fit: _bayes_group(fit, j[0].size + 2), _SCORE_COLUMNS))
         else:
-            fits = solve(rows, other, lambda job: glm_solver(job[0], job[1], control.tol, control.max_iters), glm_call)
-        for i, (model, _) in enumerate(other):
-            fit = fits[i]
-            if fit is None or not np.isfinite(fit.loglik):
-                result[model.key] = (*M.FAILED.values(), 2)
-            elif prior:
-                value = M.laplace(fit) if not schema.group else None
-                result[model.key] = (value, None, None, None, 0 if np.isfinite(value) else 2) if not schema.group else _bayes_group(fit, model.size + model.blocks)
-            elif schema.group:
-                df_ = model.size + len(fit.extra["log_sd"])
-                s = M.scores(fit.loglik, df_, n, 0, n_vars)
-                s["mdl"] = s["bic"] + (df_ - 1) * np.log(n_vars)
-                result[model.key] = (*(float(s[k]) for k in SCORES), 0)
-            else:
-                gram = fit.info[: len(model.cols), : len(model.cols)]
-                drop = M.full_rank(gram) if len(gram) else 0
-                s = M.scores(fit.loglik, model.blocks * (len(model.cols) - drop), n, model.n_parents - drop, n_vars)
-                result[model.key] = (*(float(s[k]) for k in SCORES), 0)
-    plain = lambda x: None if x is None else x if isinstance(x, int) else float(x)
-    values = spark.createDataFrame([(k, *map(plain, v)) for k, v in result.items()], "row_id long, mlik double, aic double, bic double, mdl double, error_code int")
-    return made.join(values, "row_id").select(*made.columns, *SCORES, "error_code")
+            out.append(fit_sets(rows, sets, job, lambda j: lmm_solver(j[0], m, reml), lmm_call, lambda j, fit: mixed(fit[0], len(j[0].cols) + 2) if fit else (*M.FAILED.values(), 2), _SCORE_COLUMNS))
+    if children - set(normal):
+        sets = made.filter(~F.col("child").isin(normal)) if normal else made
+        make = (lambda j: glmm_solver(j[0], j[1], prior, tol, most)) if grouped else (lambda j: glm_solver(j[0], j[1], tol, most))
+        out.append(fit_sets(Rows(df, design, group=grouped), sets, job, make, glmm_call if grouped else glm_call, finish, _SCORE_COLUMNS))
+    both = out[0]
+    for other in out[1:]:
+        both = both.unionByName(other)
+    return both.select(*made.columns, *SCORES, "error_code")
 
 
 def _bayes_group(fit, size: int) -> tuple:

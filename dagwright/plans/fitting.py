@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from ..operators import mixed as X
 from ..operators import models as M
 from ..operators.moments import Design
 from ..schema import Dist, Schema
-from ..storage import stored
+from ..storage import Growing, stored
 from .grouped import Groups
 
 #: A table of at most so many numbers (32 MB) is sent to the tasks, which then
@@ -111,6 +113,53 @@ def solve(rows: Rows, jobs: list, make: Callable, call: Callable) -> dict:
     return found
 
 
+def fit_sets(rows: Rows, sets: DataFrame, job: Callable, make: Callable, call: Callable, finish: Callable, columns: str) -> DataFrame:
+    """``sets`` (row_id, child, parents, ...) with the scores of each: ``job(row_id,
+    child, parents)`` is its job, ``make`` and ``call`` as in :func:`solve`,
+    ``finish(job, fit)`` its row of ``columns``; stored.
+
+    A table that is sent to the tasks meets the sets where they are: a set never
+    leaves its task. Over a larger one, ``TOGETHER`` sets at a time advance by scan;
+    they are read one partition after another and written when done, so the driver
+    holds one such block, however many sets there are.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+    types = ", ".join([*(f"{c} {t}" for c, t in sets.dtypes), columns])
+    if rows.local:
+        shared = rows.spark.sparkContext.broadcast(rows.matrix())
+
+        def each(batches):
+            a, w, g = shared.value
+            for pdf in batches:
+                out = []
+                for key, child, parents in zip(pdf["row_id"], pdf["child"], pdf["parents"], strict=True):
+                    j = job(int(key), int(child), [int(p) for p in parents])
+                    try:
+                        fit = M.run(make(j), lambda ask, j=j: call(j, ask, a, w, g))
+                    except (np.linalg.LinAlgError, FloatingPointError, ValueError):
+                        fit = None
+                    out.append(finish(j, fit))
+                yield pd.concat([pdf.reset_index(drop=True), _scored(out, names)], axis=1)
+
+        parts = max(rows.spark.sparkContext.defaultParallelism * 2, math.ceil(sets.count() / 2_000))
+        return stored(sets.repartition(parts).mapInPandas(each, types), "scores")
+    done = Growing(rows.spark, types, "scores")
+    todo = sets.toLocalIterator()
+    while some := list(islice(todo, TOGETHER)):
+        jobs = [job(int(r["row_id"]), int(r["child"]), [int(p) for p in r["parents"]]) for r in some]
+        groups = Groups(rows.frame, rows.width) if rows.group else None
+        fits = _lockstep(rows, groups, jobs, range(len(jobs)), make, call)
+        if groups:
+            groups.close()
+        done.add([(*r, *finish(j, fits[i])) for i, (r, j) in enumerate(zip(some, jobs, strict=True))])
+    return done.frame()
+
+
+def _scored(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    plain = lambda x: None if x is None else x if isinstance(x, int) else float(x)
+    return pd.DataFrame([tuple(map(plain, r)) for r in rows], columns=names).astype({names[-1]: "int32"})
+
+
 def _lockstep(rows: Rows, groups: Groups | None, jobs: list, ids: Iterable[int], make, call) -> dict:
     solvers = {i: make(jobs[i]) for i in ids}
     asks, found = {}, {}
@@ -285,49 +334,29 @@ def group_sums(df: DataFrame, design: Design) -> DataFrame:
     return stored(x.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(1, len(design.names))]), "groups")
 
 
-def lmm_terms(sums: DataFrame, width: int, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each ratio, the sum over groups of c s s' and of ln(1 + ratio n): one scan."""
-
-    def part(batches):
-        inner, logs = np.zeros((len(ratios), width, width)), np.zeros(len(ratios))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = b.column("n").to_numpy()
-            s = np.column_stack([n, *[b.column(f"x{i}").to_numpy() for i in range(1, width)]])
-            for k, r in enumerate(ratios):
-                c = r / (1 + r * n)
-                inner[k] += s.T @ (s * c[:, None])
-                logs[k] += np.log1p(r * n).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(inner.size + logs.size)), pa.array(np.r_[inner.ravel(), logs])], names=["k", "v"])
-
-    out = np.zeros(len(ratios) * (width * width + 1))
-    for k, v in sums.mapInArrow(part, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        out[k] = v
-    cut = len(ratios) * width * width
-    return out[:cut].reshape(len(ratios), width, width), out[cut:]
-
-
-def lmm_fits(df: DataFrame, design: Design, m, models: list[M.Model], reml: bool = True) -> list[tuple]:
-    """Best fit of each gaussian model with a random intercept. The variance
-    ratio is closed in on by three scans over the groups' sums, each with the
-    grids of all models."""
-    sums, width = group_sums(df, design), len(design.names)
-    yx = m.raw(list(range(width)))
-    yx[0, 0] = m.n
-    grid = {i: np.r_[0.0, np.logspace(-8, 6, 43)] for i in range(len(models))}
-    best: dict[int, tuple] = {}
+def lmm_solver(model: M.Model, m, reml: bool = True):
+    """Gaussian random intercept over the groups' sums (:meth:`Rows.of_groups`): the
+    variance ratio is closed in on by four grids; asks for ratios, gets for each the
+    sums over groups of c s s' and of ln(1 + ratio n)."""
+    own = [*model.cols, model.y[0]]
+    yx = m.raw(own)
+    if 0 in own:
+        yx[own.index(0), own.index(0)] = m.n
+    grid, best, p = np.r_[0.0, np.logspace(-8, 6, 43)], None, len(model.cols)
     for turn in range(4):
-        ratios = np.unique(np.concatenate(list(grid.values())))
-        inner, logs = lmm_terms(sums, width, ratios)
-        for i, model in enumerate(models):
-            at = np.searchsorted(ratios, grid[i])
-            fit = M.lmm(m.n, yx, ratios[at], inner[at], logs[at], model.cols, model.y[0], reml)
-            best[i] = fit if turn == 0 or fit[0] >= best[i][0] else best[i]
-            k = int(np.searchsorted(grid[i], fit[1]))
-            lo, hi = grid[i][max(k - 1, 0)], grid[i][min(k + 1, len(grid[i]) - 1)]
-            grid[i] = np.unique(np.r_[fit[1], np.linspace(lo, hi, 13)])
-    return [best[i] for i in range(len(models))]
+        got = (yield grid).reshape(len(grid), -1)
+        fit = M.lmm(m.n, yx, grid, got[:, :-1].reshape(len(grid), p + 1, p + 1), got[:, -1], list(range(p)), p, reml)
+        best = fit if turn == 0 or fit[0] >= best[0] else best
+        k = int(np.searchsorted(grid, fit[1]))
+        lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
+        grid = np.unique(np.r_[fit[1], np.linspace(lo, hi, 13)])
+    return best
+
+
+def lmm_call(job, ask, a, w, g) -> np.ndarray:
+    model = job[0]
+    s = np.column_stack([w if c == 0 else a[:, c] for c in (*model.cols, model.y[0])])
+    return np.concatenate([np.r_[(s.T @ (s * (r / (1 + r * w))[:, None])).ravel(), np.log1p(r * w).sum()] for r in ask])
 
 
 def only_needed(df: DataFrame, schema: Schema) -> DataFrame:

@@ -52,6 +52,27 @@ def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     return out
 
 
+class Growing:
+    """A table that is written block by block; goes as those of :func:`stored` do."""
+
+    def __init__(self, spark: SparkSession, schema: str, name: str = "table"):
+        self.spark, self.schema = spark, schema
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if not _made:
+            atexit.register(_clean)
+        _made.append((spark, self.path))
+
+    def add(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, self.schema).write.mode("append").parquet(self.path)
+
+    def frame(self) -> DataFrame:
+        """What has been written; empty if nothing has."""
+        self.spark.createDataFrame([], self.schema).write.mode("append").parquet(self.path)
+        out = self.spark.read.schema(self.schema).parquet(self.path)
+        out._stored_at = self.path
+        return out
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Deletes tables of :func:`stored` that nothing reads any more."""
     paths = {getattr(t, "_stored_at", None) for t in tables}
