@@ -39,45 +39,6 @@ def _prepared(cache: DataFrame, score: str) -> DataFrame:
     return cache.select("row_id", "child", "mask", "n_parents", score_column(score).cast("double").alias("score"))
 
 
-def _node_tables(pdf: pd.DataFrame, n: int, choice: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per child and subset S: best score of a cached parent set within S, and its
-    row (of equal scores the first). One pass per bit instead of one per subset."""
-    size = 1 << n
-    best = np.full((n, size), -np.inf)
-    row = np.full((n, size), np.iinfo(np.int64).max, np.int64)
-    for r in pdf.sort_values("row_id").itertuples():
-        v = r.score + prior_terms(n, int(r.n_parents), choice)
-        if v > best[r.child, r.mask]:
-            best[r.child, r.mask], row[r.child, r.mask] = v, r.row_id
-    every = np.arange(size)
-    for b in range(n):
-        has = every[(every >> b & 1) == 1]
-        less = has ^ (1 << b)
-        for i in range(n):
-            new, old = best[i, less], best[i, has]
-            take = (new > old) | ((new == old) & (row[i, less] < row[i, has]))
-            best[i, has] = np.where(take, new, old)
-            row[i, has] = np.where(take, row[i, less], row[i, has])
-    return best, row
-
-
-def _chain(best: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """g(S): best score of an ordering of S, and S's last node (of equals the first)."""
-    size = 1 << n
-    g, last = np.full(size, -np.inf), np.full(size, -1, np.int32)
-    g[0] = 0.0
-    every = np.arange(size)
-    for level in range(1, n + 1):
-        s = every[np.bitwise_count(every) == level]
-        for i in range(n):
-            mine = s[(s >> i & 1) == 1]
-            rest = mine ^ (1 << i)
-            v = best[i, rest] + g[rest]
-            better = v > g[mine]
-            g[mine[better]], last[mine[better]] = v[better], i
-    return g, last
-
-
 def _valued(cache: DataFrame, n: int, score: str, prior: int) -> DataFrame:
     """The cache's sets with ``value``, the score and the structural prior."""
     return _prepared(cache, score).withColumn("value", F.col("score") + exact.prior_column(n, prior))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,9 @@ from pyspark.sql.types import DoubleType
 
 from ..graph import Dag
 from ..schema import Dist, Schema
+from ..storage import stored
 from .fit import Network
+from .moments import Design, Moments
 
 
 def random_dag(nodes: Sequence[str], density: float = 0.5, seed: int = 0) -> Dag:
@@ -41,17 +45,24 @@ def _poisson(rate: pd.Series, u: pd.Series) -> pd.Series:
         todo &= u > total
     if big.any():
         # Wilson-Hilferty; exact enough beyond 500
-        z = np.sqrt(2) * _erfinv(2 * u[big] - 1)
+        z = _normal_quantile(u[big])
         out[big] = np.maximum(0, np.round(rate[big] * (1 - 1 / (9 * rate[big]) + z / (3 * np.sqrt(rate[big]))) ** 3))
     return pd.Series(out)
 
 
-def _erfinv(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -1 + 1e-15, 1 - 1e-15)
-    a = 0.147
-    ln = np.log(1 - x * x)
-    t = 2 / (np.pi * a) + ln / 2
-    return np.sign(x) * np.sqrt(np.sqrt(t * t - ln / a) - t)
+def _normal_quantile(u: np.ndarray) -> np.ndarray:
+    """Quantiles of the standard normal: a first guess by the logistic distribution,
+    then Halley steps on the distribution function to rounding."""
+    u = np.clip(u, 1e-15, 1 - 1e-15)
+    z = np.clip(np.log(u / (1 - u)) / 1.702, -8, 8)
+    for _ in range(30):
+        density = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+        error = (0.5 * np.array([math.erfc(-x / math.sqrt(2)) for x in z]) - u) / density
+        step = error / (1 + 0.5 * z * error)
+        z = z - np.clip(step, -1, 1)
+        if np.abs(step).max(initial=0) < 1e-12:
+            break
+    return z
 
 
 def uniform(key: Column, *salt: int) -> Column:
@@ -64,15 +75,18 @@ def normal(key: Column, *salt: int) -> Column:
     return F.sqrt(-2 * F.ln(uniform(key, *salt, 0))) * F.cos(2 * F.pi() * uniform(key, *salt, 1))
 
 
-def simulate(spark: SparkSession, network: Network, rows: int = 1000, seed: int = 42, groups: int | None = None) -> DataFrame:
+def simulate(spark: SparkSession, network: Network, rows: int = 1000, seed: int = 42, groups: int | None = None, replicates: int | None = None) -> DataFrame:
     """``(id, nodes...)``: rows drawn parent by parent, in generated code (counts
     by an Arrow function). A network with random intercepts draws a value for
-    each of ``groups`` (by default as many as rows / 10) and adds ``group_id``."""
+    each of ``groups`` (by default as many as rows / 10) and adds ``group_id``.
+    With ``replicates``, so many tables of ``rows`` rows are one, told apart by
+    ``replicate``; each has groups of its own."""
     schema, dag = network.schema, network.dag
     grouped = any(f.sigma_alpha for f in network.nodes.values())
-    out = spark.range(rows)
+    out = spark.range(rows * (replicates or 1))
     if grouped:
-        out = out.withColumn("group_id", F.col("id") % (groups or max(1, rows // 10)))
+        groups = groups or max(1, rows // 10)
+        out = out.withColumn("group_id", F.floor(F.col("id") / rows) * groups + F.col("id") % rows % groups)
     for k, c in enumerate(dag.order()):
         f = network.nodes[c]
         states = list(schema.levels[c]) if f.dist is Dist.MULTINOMIAL else [None]
@@ -114,7 +128,8 @@ def simulate(spark: SparkSession, network: Network, rows: int = 1000, seed: int
         out = out.withColumn(c, value)
         if "u" in out.columns:
             out = out.drop("u")
-    return out.select("id", *(["group_id"] if grouped else []), *schema.nodes)
+    number = [F.floor(F.col("id") / rows).alias("replicate")] if replicates else []
+    return out.select("id", *number, *(["group_id"] if grouped else []), *schema.nodes)
 
 
 def _term(schema: Schema, child: str, name: str, state: str | None, parent: str | None) -> Column:
@@ -131,66 +146,102 @@ def _term(schema: Schema, child: str, name: str, state: str | None, parent: str
 
 def bootstrap_support(spark: SparkSession, network: Network, replicates: int, rows: int, limit: int, score: str = "bic", seed: int = 42) -> DataFrame:
     """``(parent, child, n, share)``: how often each arc is found again in networks
-    learned from rows drawn from the network. Gaussian networks without groups: a
-    replicate is a row, drawn and searched within its task. Any other: a replicate
-    is a table, simulated, scored and searched by Spark, one after another."""
-    schema, dag = network.schema, network.dag
-    if schema.group or any(d is not Dist.GAUSSIAN for d in schema.dists.values()):
+    learned from rows drawn from the network.
+
+    All replicates are one simulated table. Gaussian networks need each replicate's
+    cross-products, sums with partial sums in each task whatever the number of rows;
+    others its rows, equal ones of discrete networks merged, in one task, if they
+    are at most as many numbers as a table that is sent to the tasks. All replicates'
+    parent sets are then searched together, so the number of jobs does not grow
+    with theirs. Replicates of more rows are scored one after another.
+    """
+    from ..plans import fitting as P
+    from . import exact
+    from .search import support
+
+    nodes = network.schema.nodes
+    schema = Schema(network.schema.dists, "group_id" if any(f.sigma_alpha for f in network.nodes.values()) else None, network.schema.levels)
+    design = Design.build(schema)
+    normal = not schema.group and all(d is Dist.GAUSSIAN for d in schema.dists.values())
+    if not normal and rows * (len(design.names) + 1) > P.LOCAL:
         return _table_bootstrap(spark, network, replicates, rows, limit, score, seed)
-    nodes, order = schema.nodes, dag.order()
-    plan = [(nodes.index(c), [(nodes.index(t[2]), t[3]) for t in network.nodes[c].terms if t[2]], next((t[3] for t in network.nodes[c].terms if not t[2]), 0.0), network.nodes[c].sigma) for c in order]
-    n = len(nodes)
+    drawn = simulate(spark, network, rows, seed, replicates=replicates)
+    x = design.frame(drawn, bool(schema.group), keep=["replicate"])
+    scored = _moment_scores(x, design, limit, score) if normal else _row_scores(x, design, limit, score)
+    sets = stored(scored, "replicates").withColumn("value", F.col("score"))
+    found = exact.best_sets(sets, len(nodes), ["replicate"])
+    if found.filter("row_id IS NULL").count():
+        raise ValueError("a replicate has a node without a parent set that fits")
+    runs = found.groupBy("replicate").agg(F.array_sort(F.collect_list(F.struct("child", "mask"))).alias("sets"))
+    runs = runs.select(F.col("replicate").alias("search_id"), F.transform("sets", lambda s: s["mask"]).alias("masks"))
+    return support(runs, nodes)
+
+
+_SETS = "replicate long, row_id long, child int, mask long, score double"
 
-    def kernel(batches):
-        from itertools import combinations
 
-        from . import models as M
-        from .moments import Moments
-        from .search import _chain, _node_tables
+def _every_set(n: int, limit: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """All parent sets of up to ``limit`` nodes, in the order of a cache."""
+    pairs = ((c, ps) for c in range(n) for size in range(limit + 1) for ps in combinations([p for p in range(n) if p != c], size))
+    return [(k, c, ps) for k, (c, ps) in enumerate(pairs)]
 
+
+def _scored(replicate: int, design: Design, limit: int, score: str, m: Moments, a=None, w=None, g=None) -> pd.DataFrame:
+    from ..plans.cache import SCORES, score_here
+
+    sets = _every_set(len(design.schema.dists), limit)
+    got = pd.DataFrame(score_here(design, m, a, w, g, sets), columns=["row_id", *SCORES, "error_code"])
+    value = got[score] if score == "mlik" else -got[score]
+    out = pd.DataFrame({"replicate": replicate, "row_id": got["row_id"], "child": [c for _, c, _ in sets], "mask": [sum(1 << p for p in ps) for _, _, ps in sets], "score": value.astype(float)})
+    return out[(got["error_code"] == 0) & np.isfinite(out["score"])].astype({"child": "int32"})
+
+
+def _moment_scores(x: DataFrame, design: Design, limit: int, score: str) -> DataFrame:
+    """Every replicate's scores from its cross-products: one aggregate."""
+    width = len(design.names)
+    pairs = [(i, j) for i in range(1, width) for j in range(i, width)]
+    sums = x.groupBy("replicate").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(1, width)], *[F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs])
+
+    def kernel(batches):
         for pdf in batches:
-            out = []
-            for r in pdf["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                x = np.zeros((rows, n))
-                for i, slopes, base, sd in plan:
-                    x[:, i] = base + sum((b * x[:, p] for p, b in slopes), np.zeros(rows)) + sd * rng.standard_normal(rows)
-                z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
-                cross = np.zeros((n + 1, n + 1))
-                cross[1:, 1:] = z.T @ z
-                m = Moments(float(rows), np.r_[1.0, np.zeros(n)], cross)
-                table, k = [], 0
-                for c in range(n):
-                    for size in range(limit + 1):
-                        for ps in combinations([p for p in range(n) if p != c], size):
-                            model = M.Model(k, Dist.GAUSSIAN, (c + 1,), [0, *[p + 1 for p in ps]], size)
-                            ll, _, rank = M.gaussian(m, model)
-                            s = M.scores(ll, rank + 1, rows, size, n)
-                            table.append((k, c, sum(1 << p for p in ps), size, s[score] if score == "mlik" else -s[score]))
-                            k += 1
-                t = pd.DataFrame(table, columns=["row_id", "child", "mask", "n_parents", "score"])
-                best, row = _node_tables(t, n, 1)
-                _, last = _chain(best, n)
-                masks, left = [0] * n, (1 << n) - 1
-                while left:
-                    i = int(last[left])
-                    left ^= 1 << i
-                    masks[i] = int(t["mask"].iloc[int(row[i, left])])
-                out.append((int(r), 0.0, masks, []))
-            yield pd.DataFrame(out, columns=["search_id", "score", "masks", "path"])
+            for r in pdf.itertuples(index=False):
+                cov = np.zeros((width, width))
+                for i, j in pairs:
+                    cov[i, j] = cov[j, i] = getattr(r, f"c{i}_{j}")
+                sd = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))
+                m = Moments(float(r.n), np.r_[1.0, np.zeros(width - 1)], cov * (r.n - 1) / np.outer(sd, sd))
+                yield _scored(int(r.replicate), design, limit, score, m)
 
-    from .search import support
+    return sums.mapInPandas(kernel, _SETS)
 
-    parts = max(1, min(replicates, spark.sparkContext.defaultParallelism))
-    runs = spark.range(0, replicates, 1, parts).mapInPandas(kernel, "search_id long, score double, masks array<long>, path array<double>")
-    return support(runs, nodes)
 
+def _row_scores(x: DataFrame, design: Design, limit: int, score: str) -> DataFrame:
+    """Every replicate's scores from its rows: one task for each replicate."""
+    width, group = len(design.names), bool(design.schema.group)
+    gaussian = [c for d, cols in zip(design.schema.dists.values(), design.of, strict=True) if d is Dist.GAUSSIAN for c in cols]
+    x = x.withColumn("w", F.lit(1.0)) if gaussian else x.groupBy(*x.columns).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+    def kernel(pdf):
+        pdf = pdf.sort_values([*(["g"] if group else []), *(f"x{i}" for i in range(1, width))])
+        a = np.column_stack([np.ones(len(pdf)), *(pdf[f"x{i}"].to_numpy(float) for i in range(1, width))])
+        w = pdf["w"].to_numpy(float)
+        g = np.unique(pdf["g"].to_numpy(), return_inverse=True)[1] if group else np.zeros(len(pdf), int)
+        n = w.sum()
+        for c in gaussian:
+            mean = (w @ a[:, c]) / n
+            sd = np.sqrt((w @ (a[:, c] - mean) ** 2) / max(n - 1, 1))
+            a[:, c] = (a[:, c] - mean) / (sd or 1.0)
+        mean = (w @ a) / n
+        centred = a - mean
+        centred[:, 0] = 0.0
+        return _scored(int(pdf["replicate"].iloc[0]), design, limit, score, Moments(float(n), mean, centred.T @ (centred * w[:, None])), a, w, g)
 
+    return x.groupBy("replicate").applyInPandas(kernel, _SETS)
 
 
 def _table_bootstrap(spark: SparkSession, network: Network, replicates: int, rows: int, limit: int, score: str, seed: int) -> DataFrame:
     from ..plans.cache import build_cache
-    from ..storage import dropped, stored
+    from ..storage import dropped
     from .search import best_rows, support
 
     nodes = network.schema.nodes

@@ -116,29 +116,27 @@ def _from_moments(made: DataFrame, design: Design, m: Moments, prior: M.Priors |
 _SCORE_COLUMNS = "mlik double, aic double, bic double, mdl double, error_code int"
 
 
-def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, prior: M.Priors | None, reml: bool, control: BuildControl) -> DataFrame:
-    """Scores that need a likelihood of the rows; the sets stay a table all along."""
-    schema = design.schema
-    made = stored(made, "sets")
-    x = design.frame(df)
-    stats = x.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(1, len(design.names))]).first().asDict()
-    n, n_vars, grouped = float(stats["n"]), len(schema.dists), bool(schema.group)
-    dists = list(schema.dists.values())
-    normal = [i for i, d in enumerate(dists) if d is Dist.GAUSSIAN]
+def scoring(design: Design, n: float, mean: Mapping[str, float] | np.ndarray, m: Moments | None, prior: M.Priors | None, reml: bool, control: BuildControl):
+    """``(job, ways)``: ``job(row_id, child, parents)`` is the job of a parent set,
+    ``ways(gaussian)`` the solver, what it asks of the rows (of the groups' sums,
+    for gaussian nodes with groups), and what becomes of its fit: a row of scores."""
+    n_vars, grouped = len(design.schema.dists), bool(design.schema.group)
     tol, most = control.tol, control.max_iters
 
     def job(key, child, parents):
-        return build_model(key, design, child, parents, n, prior), stats[f"x{design.of[child][0]}"]
+        return build_model(key, design, child, parents, n, prior), float(mean[design.of[child][0]])
 
     def mixed(loglik: float, df_: int) -> tuple:
         s = M.scores(loglik, df_, n, 0, n_vars)
         s["mdl"] = s["bic"] + (df_ - 1) * np.log(n_vars)
         return (*(float(s[k]) for k in SCORES), 0)
 
+    failed = (*M.FAILED.values(), 2)
+
     def finish(job, fit) -> tuple:
         model = job[0]
         if fit is None or not np.isfinite(fit.loglik):
-            return (*M.FAILED.values(), 2)
+            return failed
         if prior:
             if grouped:
                 return _bayes_group(fit, model.size + model.blocks)
@@ -151,25 +149,70 @@ def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, p
         s = M.scores(fit.loglik, model.blocks * (len(model.cols) - drop), n, model.n_parents - drop, n_vars)
         return (*(float(s[k]) for k in SCORES), 0)
 
-    out = []
+    def ways(gaussian: bool):
+        if gaussian and prior:
+            return (lambda j: lmm_bayes_solver(j[0], m, prior)), lmm_bayes_call, lambda j, fit: _bayes_group(fit, j[0].size + 2)
+        if gaussian:
+            return (lambda j: lmm_solver(j[0], m, reml)), lmm_call, lambda j, fit: mixed(fit[0], len(j[0].cols) + 2) if fit else failed
+        if grouped:
+            return (lambda j: glmm_solver(j[0], j[1], prior, tol, most)), glmm_call, finish
+        return (lambda j: glm_solver(j[0], j[1], tol, most)), glm_call, finish
+
+    return job, ways
+
+
+def _fitted(df: DataFrame, made: DataFrame, design: Design, m: Moments | None, prior: M.Priors | None, reml: bool, control: BuildControl) -> DataFrame:
+    """Scores that need a likelihood of the rows; the sets stay a table all along."""
+    made = stored(made, "sets")
+    x = design.frame(df)
+    stats = x.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(1, len(design.names))]).first()
+    mean = np.array([1.0, *(stats[f"x{i}"] for i in range(1, len(design.names)))])
+    job, ways = scoring(design, float(stats["n"]), mean, m, prior, reml, control)
+    normal = [i for i, d in enumerate(design.schema.dists.values()) if d is Dist.GAUSSIAN]
     children = {r[0] for r in made.select("child").distinct().collect()}
+    out = []
     if gaussian := children & set(normal):
-        sets = made.filter(F.col("child").isin([*gaussian]))
-        rows = Rows.of_groups(df, design)
-        if prior:
-            out.append(fit_sets(rows, sets, job, lambda j: lmm_bayes_solver(j[0], m, prior), lmm_bayes_call, lambda j, fit: _bayes_group(fit, j[0].size + 2), _SCORE_COLUMNS))
-        else:
-            out.append(fit_sets(rows, sets, job, lambda j: lmm_solver(j[0], m, reml), lmm_call, lambda j, fit: mixed(fit[0], len(j[0].cols) + 2) if fit else (*M.FAILED.values(), 2), _SCORE_COLUMNS))
+        out.append(fit_sets(Rows.of_groups(df, design), made.filter(F.col("child").isin([*gaussian])), job, *ways(True), _SCORE_COLUMNS))
     if children - set(normal):
         sets = made.filter(~F.col("child").isin(normal)) if normal else made
-        make = (lambda j: glmm_solver(j[0], j[1], prior, tol, most)) if grouped else (lambda j: glm_solver(j[0], j[1], tol, most))
-        out.append(fit_sets(Rows(df, design, group=grouped), sets, job, make, glmm_call if grouped else glm_call, finish, _SCORE_COLUMNS))
+        out.append(fit_sets(Rows(df, design, group=bool(design.schema.group)), sets, job, *ways(False), _SCORE_COLUMNS))
     both = out[0]
     for other in out[1:]:
         both = both.unionByName(other)
     return both.select(*made.columns, *SCORES, "error_code")
 
 
+def score_here(design: Design, m: Moments, a: np.ndarray, w: np.ndarray, g: np.ndarray, sets: Iterable[tuple[int, int, tuple[int, ...]]]) -> list[tuple]:
+    """``(row_id, mlik, aic, bic, mdl, error_code)`` of sets of a table that is all
+    at hand (rows ``a``, weights, groups, moments), gaussian columns standardised:
+    what a cache build would give. Without groups, ``a`` may be None if all nodes
+    are gaussian."""
+    schema, n_vars = design.schema, len(design.schema.dists)
+    dists = list(schema.dists.values())
+    job, ways = scoring(design, m.n, m.mean, m, None, True, BuildControl())
+    sums = None
+    if schema.group:
+        n = np.bincount(g, w)
+        sums = np.column_stack([np.bincount(g, w * a[:, i]) for i in range(a.shape[1])]), n, np.zeros(len(n), int)
+    out = []
+    for key, child, parents in sets:
+        j = job(key, child, list(parents))
+        normal = dists[child] is Dist.GAUSSIAN
+        if normal and not schema.group:
+            ll, _, rank = M.gaussian(m, j[0])
+            s = M.scores(ll, rank + 1, m.n, j[0].n_parents, n_vars)
+            out.append((key, *(float(s[k]) for k in SCORES), 0))
+            continue
+        make, call, finish = ways(normal)
+        at = sums if normal else (a, w, g)
+        try:
+            fit = M.run(make(j), lambda ask, j=j, at=at, call=call: call(j, ask, *at))
+        except (np.linalg.LinAlgError, FloatingPointError, ValueError):
+            fit = None
+        out.append((key, *finish(j, fit)))
+    return out
+
+
 def _bayes_group(fit, size: int) -> tuple:
     """Laplace's method over coefficients and precisions from the point and
     information that the outer search found (in ln of the spreads)."""
