@@ -20,7 +20,7 @@ from ..sources import export
 from ..sources.tables import lineitem_nodes, read
 from .cache import build_cache, score_column, tidy
 from .controls import control
-from .queries import _FIVE, _G1, _G2, _MIXED, _NET, _cache_sql, _dp_sql, _five, _gauss, _shown, _trace_sql, gauss_cache, query
+from .queries import _FIVE, _MIXED, _N_SQL, _NET, _TWO_SQL, _cache_sql, _dp_sql, _five, _gauss, _shown, _trace_sql, arcs_sql, gauss_cache, learned, learned_dag, query
 
 LN2PI = "ln(2 * pi())"
 
@@ -510,31 +510,35 @@ def hillclimb_retained(spark, sf):
 # --- Graphs ---------------------------------------------------------------
 
 
-@query("break_cycles", "SELECT * FROM (VALUES (0, false, true, true), (1, false, true, true), (2, false, true, true)) t(seed, has_cycle, keeps, subset)")
+@query(
+    "break_cycles",
+    f"WITH {_N_SQL}, {arcs_sql('e')}, k AS (SELECT min(parent || '>' || child) AS kept FROM e) SELECT seed::INTEGER AS seed, false AS has_cycle, (SELECT count(*) FROM e, k WHERE parent || '>' || child = kept) = 1 AS keeps, (SELECT count(*) FROM e) > 0 AS subset FROM range(3) t(seed)",
+)
 def break_cycles(spark, sf):
-    loops = Dag.of("abcdef", [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "f")], acyclic=False)
-    out = None
+    """The learned network with every arc there and back, freed of cycles; one arc is kept."""
+    dag = learned_dag(spark, sf)
+    loops = Dag.of(dag.nodes, [*dag.arcs, *((c, p) for p, c in dag.arcs)], acyclic=False)
+    kept, out = min(dag.arcs, key=">".join), None
     for seed in range(3):
-        d = loops.without_cycles([("a", "b")], seed)
-        one = graph.cyclic(d.edges(spark), 6).select(F.lit(seed).alias("seed"), "has_cycle", F.lit(("a", "b") in d.arcs).alias("keeps"), F.lit(d.arcs < loops.arcs).alias("subset"))
+        d = loops.without_cycles([kept], seed)
+        one = graph.cyclic(d.edges(spark), len(dag.nodes)).select(F.lit(seed).alias("seed"), "has_cycle", F.lit(kept in d.arcs).alias("keeps"), F.lit(d.arcs < loops.arcs).alias("subset"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _essential_sql(dag: Dag, name: str) -> str:
-    e = f"{name}_e(parent, child) AS (VALUES {', '.join(f'({p!r}, {c!r})' for p, c in sorted(dag.arcs))})"
-    s = f"{name}_s AS (SELECT child AS node FROM {name}_e GROUP BY child HAVING count(*) >= 2)"
-    return f"{e}, {s}, {name} AS (SELECT parent, child FROM {name}_e UNION SELECT child, parent FROM {name}_e WHERE child NOT IN (SELECT node FROM {name}_s))"
+def _essential_sql(of: str, name: str) -> str:
+    s = f"{name}_s AS (SELECT child AS node FROM {of} GROUP BY child HAVING count(*) >= 2)"
+    return f"{s}, {name} AS (SELECT parent, child FROM {of} UNION SELECT child, parent FROM {of} WHERE child NOT IN (SELECT node FROM {name}_s))"
 
 
 @query(
     "compare_essential",
-    f"""WITH {_essential_sql(_G1, 'r')}, {_essential_sql(_G2, 't')}, n AS (SELECT (SELECT count(*) FROM r JOIN t USING (parent, child))::DOUBLE AS tp, (SELECT count(*) FROM r)::DOUBLE AS cp, (SELECT count(*) FROM t)::DOUBLE AS pp,
- (SELECT count(DISTINCT least(parent, child) || '-' || greatest(parent, child)) FROM ((SELECT * FROM r EXCEPT SELECT * FROM t) UNION ALL (SELECT * FROM t EXCEPT SELECT * FROM r))) AS hamming)
-SELECT round(tp / cp, 9) AS tpr, round((pp - tp) / (36 - cp), 9) AS fpr, round(tp / pp, 9) AS ppv, hamming FROM n""",
+    f"""WITH {_TWO_SQL}, {_essential_sql('r', 'er')}, {_essential_sql('t', 'et')}, n AS (SELECT (SELECT count(*) FROM er JOIN et USING (parent, child))::DOUBLE AS tp, (SELECT count(*) FROM er)::DOUBLE AS cp, (SELECT count(*) FROM et)::DOUBLE AS pp,
+ (SELECT count(DISTINCT least(parent, child) || '-' || greatest(parent, child)) FROM ((SELECT * FROM er EXCEPT SELECT * FROM et) UNION ALL (SELECT * FROM et EXCEPT SELECT * FROM er))) AS hamming)
+SELECT round(tp / cp, 9) AS tpr, round((pp - tp) / ({len(_FIVE) ** 2} - cp), 9) AS fpr, round(tp / pp, 9) AS ppv, hamming FROM n""",
 )
 def compare_essential(spark, sf):
-    c = graph.compare(graph.essential_graph(_G1.edges(spark)), graph.essential_graph(_G2.edges(spark)), 6)
+    c = graph.compare(graph.essential_graph(learned(spark, sf)), graph.essential_graph(learned(spark, sf, 2, 2)), len(_FIVE))
     return c.select(*[F.round(k, 9).alias(k) for k in ("tpr", "fpr", "ppv")], "hamming")
 
 

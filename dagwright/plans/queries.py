@@ -75,19 +75,30 @@ def odds_query(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.when(o == float("inf"), o).otherwise(F.round(o, 9)).alias("odds"))
 
 
-@query("link_names", "SELECT * FROM (VALUES ('binomial', 'logit', 1), ('gaussian', 'identity', 2), ('poisson', 'log', 3), ('multinomial', 'logit', 4)) t(dist, link, code)")
+_TYPED = ("l_quantity", "l_linenumber", "l_returnflag", "l_linestatus")
+
+
+@query(
+    "link_names",
+    "WITH k AS (SELECT column_name AS node, CASE WHEN data_type = 'DOUBLE' THEN 'gaussian' WHEN data_type IN ('INTEGER', 'BIGINT') THEN 'poisson' WHEN column_name = 'l_linestatus' AND (SELECT count(DISTINCT l_linestatus) FROM lineitem) = 2 THEN 'binomial' ELSE 'multinomial' END AS dist"
+    " FROM (SELECT 'l_quantity' AS column_name, typeof(any_value(l_quantity)) AS data_type FROM lineitem UNION ALL SELECT 'l_linenumber', typeof(any_value(l_linenumber)) FROM lineitem UNION ALL SELECT 'l_returnflag', 'VARCHAR' UNION ALL SELECT 'l_linestatus', 'VARCHAR'))"
+    " SELECT dist, CASE dist WHEN 'gaussian' THEN 'identity' WHEN 'poisson' THEN 'log' ELSE 'logit' END AS link, CASE dist WHEN 'binomial' THEN 1 WHEN 'gaussian' THEN 2 WHEN 'poisson' THEN 3 ELSE 4 END AS code FROM k",
+)
 def link_names(spark, sf):
+    """Link and code of the distribution of each of some columns of lineitem."""
     from ..schema import Dist
 
-    t = spark.createDataFrame([(d.value, d.code) for d in Dist], "dist string, code int")
-    return t.select("dist", link_name(F.col("dist")).alias("link"), "code")
+    t = _dist_frame(spark, sf)
+    code = F.create_map(*[F.lit(x) for d in Dist for x in (d.value, d.code)])
+    return t.select("dist", link_name(F.col("dist")).alias("link"), F.element_at(code, F.col("dist")).alias("code"))
 
 
-@query("split_names", "SELECT 'a|b : c + d' AS text, 4 AS n, 'a,b,c,d' AS parts")
+@query("split_names", "SELECT text, len(string_split(text, ' ')) + 2 AS n, array_to_string(string_split(text, ' '), ',') || ',' || p_brand || ',' || p_size AS parts FROM (SELECT p_name AS text, p_brand, p_size FROM part)")
 def split_names_query(spark, sf):
-    t = spark.createDataFrame([("a|b : c + d",)], "text string")
-    parts = split_names(F.col("text"), "|", ":", "+")
-    return t.select("text", F.size(parts).alias("n"), F.array_join(parts, ",").alias("parts"))
+    """Names of parts, brand and size behind other separators, taken apart."""
+    t = read(spark, sf, "part")
+    parts = split_names(F.concat(F.regexp_replace("p_name", " ", " + "), F.lit(" : "), "p_brand", F.lit(" | "), F.col("p_size").cast("string")), "|", ":", "+")
+    return t.select(F.col("p_name").alias("text"), F.size(parts).alias("n"), F.array_join(parts, ",").alias("parts"))
 
 
 @query("group_ids", "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_nationkey) AS INTEGER) AS group_id FROM customer")
@@ -552,98 +563,131 @@ def density_quantiles(spark, sf):
 
 
 # --- Graphs ---------------------------------------------------------------
+# Networks that the engine learns from lineitem: the best ones with one parent at
+# most, and with two under the prior that is uniform over sizes.
 
-_NODES = ("a", "b", "c", "d", "e", "f")
-_G1 = Dag.parse("~ f|e:a + e|c + c|a:b + d|b", _NODES)
-_G2 = Dag.of(_NODES, [("e", "f"), ("a", "f"), ("e", "c"), ("a", "c"), ("d", "a")])
+_NODES = _FIVE
+_N_SQL = f"nodes(pos, node) AS (VALUES {', '.join(f'({i}, {n!r})' for i, n in enumerate(_NODES))})"
 
 
-def _edges_sql(dag: Dag, name: str) -> str:
-    return f"{name}(parent, child) AS (VALUES {', '.join(f'({p!r}, {c!r})' for p, c in sorted(dag.arcs))})"
+def arcs_sql(name: str, limit: int = 1, prior: int = 1) -> str:
+    """CTE ``name(parent, child)``; ``nodes`` stands before it."""
+    return f"{name} AS MATERIALIZED (SELECT p.node AS parent, c.node AS child FROM ({_dp_sql(_trace_sql(), limit, prior)}) q JOIN nodes c ON c.pos = q.child JOIN nodes p ON (q.mask >> p.pos) & 1 = 1)"
 
 
-_N_SQL = f"nodes(pos, node) AS (VALUES {', '.join(f'({i}, {n!r})' for i, n in enumerate(_NODES))})"
+def learned_dag(spark, sf, limit: int = 1, prior: int = 1) -> Dag:
+    return search.most_probable(gauss_cache(spark, sf, limit), _NODES, "bic", prior).dag
+
 
+def learned(spark, sf, limit: int = 1, prior: int = 1) -> DataFrame:
+    """``(parent, child)`` of a learned network."""
+    return learned_dag(spark, sf, limit, prior).edges(spark)
 
-@query("dag_edges", f"WITH {_edges_sql(_G1, 'e')} SELECT parent, child FROM e")
+
+_E_SQL = f"{_N_SQL}, {arcs_sql('e')}"
+_TWO_SQL = f"{_N_SQL}, {arcs_sql('r')}, {arcs_sql('t', 2, 2)}"
+
+
+@query("dag_edges", f"WITH {_E_SQL} SELECT parent, child FROM e")
 def dag_edges(spark, sf):
-    return _G1.edges(spark)
+    """The learned network written as a formula, and read back."""
+    dag = learned_dag(spark, sf)
+    text = "~ " + " + ".join(f"{c}|{':'.join(dag.parents(c))}" for c in _NODES if dag.parents(c))
+    return Dag.parse(text, _NODES).edges(spark)
 
 
-@query("markov_blanket", f"WITH {_edges_sql(_G1, 'e')} SELECT DISTINCT node FROM (SELECT child AS o, parent AS node FROM e UNION ALL SELECT parent, child FROM e UNION ALL SELECT x.parent, y.parent FROM e x JOIN e y ON x.child = y.child) WHERE o IN ('b', 'e') AND node <> o")
+@query("markov_blanket", f"WITH {_E_SQL} SELECT DISTINCT node FROM (SELECT child AS o, parent AS node FROM e UNION ALL SELECT parent, child FROM e UNION ALL SELECT x.parent, y.parent FROM e x JOIN e y ON x.child = y.child) WHERE o IN ('l_discount', 'l_extendedprice') AND node <> o")
 def markov_blanket(spark, sf):
-    return graph.markov_blanket(_G1.edges(spark), ["b", "e"])
+    return graph.markov_blanket(learned(spark, sf), ["l_discount", "l_extendedprice"])
 
 
 @query(
     "info_dag",
-    f"""WITH {_edges_sql(_G1, 'e')}, {_N_SQL}, p AS (SELECT child AS o, parent AS x FROM e UNION SELECT parent, child FROM e UNION SELECT a.child, b.child FROM e a JOIN e b ON a.parent = b.parent),
+    f"""WITH {_E_SQL}, p AS (SELECT child AS o, parent AS x FROM e UNION SELECT parent, child FROM e UNION SELECT a.child, b.child FROM e a JOIN e b ON a.parent = b.parent),
 m AS (SELECT node, count(x) AS mb FROM nodes LEFT JOIN p ON node = o AND x <> o GROUP BY node), t AS (SELECT count(*) AS arcs FROM e)
 SELECT count(*) AS n_nodes, min(arcs) AS n_arcs, avg(mb) AS mb_average, 2 * min(arcs)::DOUBLE / count(*) AS nh_average, min(arcs)::DOUBLE / count(*) AS parent_average, min(arcs)::DOUBLE / count(*) AS children_average FROM m, t""",
 )
 def info_dag(spark, sf):
-    return graph.summary(_G1.edges(spark), graph.node_frame(spark, _NODES))
+    return graph.summary(learned(spark, sf), graph.node_frame(spark, _NODES))
+
+
+_PLACES = len(_NODES) ** 2
 
 
 @query(
     "compare_dags",
-    f"""WITH {_edges_sql(_G1, 'r')}, {_edges_sql(_G2, 't')}, n AS (SELECT
+    f"""WITH {_TWO_SQL}, n AS (SELECT
  (SELECT count(*) FROM r JOIN t USING (parent, child))::DOUBLE AS tp, (SELECT count(*) FROM r)::DOUBLE AS cp, (SELECT count(*) FROM t)::DOUBLE AS pp,
  (SELECT count(DISTINCT least(parent, child) || '-' || greatest(parent, child)) FROM ((SELECT * FROM r EXCEPT SELECT * FROM t) UNION ALL (SELECT * FROM t EXCEPT SELECT * FROM r))) AS hamming)
-SELECT round(tp / cp, 9) AS tpr, round((pp - tp) / (36 - cp), 9) AS fpr, round((36 - (pp - tp) - (cp - tp)) / 36, 9) AS accuracy, round((cp - tp) / pp, 9) AS fdr,
+SELECT round(tp / cp, 9) AS tpr, round((pp - tp) / ({_PLACES} - cp), 9) AS fpr, round(({_PLACES} - (pp - tp) - (cp - tp)) / {_PLACES}, 9) AS accuracy, round((cp - tp) / pp, 9) AS fdr,
  round(sqrt(tp / pp * (tp / cp)), 9) AS g_measure, round(2 / (1 / (tp * pp) + 1 / (tp * cp)), 9) AS f1, round(tp / pp, 9) AS ppv, round((cp - tp) / pp, 9) AS "for", hamming,
- round((pp - tp) / pp, 9) AS fdr_std, round(2 * tp / (cp + pp), 9) AS f1_std, round((cp - tp) / (36 - pp), 9) AS for_std FROM n""",
+ round((pp - tp) / pp, 9) AS fdr_std, round(2 * tp / (cp + pp), 9) AS f1_std, round((cp - tp) / ({_PLACES} - pp), 9) AS for_std FROM n""",
 )
 def compare_dags(spark, sf):
-    c = graph.compare(_G1.edges(spark), _G2.edges(spark), len(_NODES))
+    c = graph.compare(learned(spark, sf), learned(spark, sf, 2, 2), len(_NODES))
     return c.select(*[F.col(k) if k == "hamming" else F.round(k, 9).alias(k) for k in c.columns])
 
 
 def _essential(kind):
-    return lambda spark, sf: graph.essential_graph(_G1.edges(spark), kind)
+    return lambda spark, sf: graph.essential_graph(learned(spark, sf, 2, 2), kind)
 
 
 for _kind, _extra in (("minimal", ""), ("completed", " AND parent NOT IN (SELECT node FROM s)")):
     query(
         f"essential_graph_{_kind[:3]}",
-        f"WITH {_edges_sql(_G1, 'e')}, s AS (SELECT child AS node FROM e GROUP BY child HAVING count(*) >= 2) SELECT parent, child FROM e UNION SELECT child, parent FROM e WHERE child NOT IN (SELECT node FROM s){_extra}",
+        f"WITH {_N_SQL}, {arcs_sql('e', 2, 2)}, s AS (SELECT child AS node FROM e GROUP BY child HAVING count(*) >= 2) SELECT parent, child FROM e UNION SELECT child, parent FROM e WHERE child NOT IN (SELECT node FROM s){_extra}",
     )(_essential(_kind))
 
 
 @query(
     "has_cycle",
-    f"WITH RECURSIVE {_edges_sql(_G1, 'e')}, r(parent, child) AS (SELECT parent, child FROM e UNION SELECT r.parent, e.child FROM r JOIN e ON r.child = e.parent)"
-    " SELECT 'dag' AS name, coalesce(bool_or(parent = child), false) AS has_cycle FROM r UNION ALL SELECT 'loop', true",
+    f"WITH RECURSIVE {_E_SQL}, f AS (SELECT 'dag' AS name, * FROM e UNION ALL SELECT 'loop', * FROM e UNION ALL SELECT 'loop', child, parent FROM e),"
+    " r(name, parent, child) AS (SELECT * FROM f UNION SELECT r.name, r.parent, f.child FROM r JOIN f ON r.child = f.parent AND r.name = f.name)"
+    " SELECT name, coalesce(bool_or(parent = child), false) AS has_cycle FROM r GROUP BY name",
 )
 def has_cycle(spark, sf):
-    loop = Dag.of("abc", [("a", "b"), ("b", "c"), ("c", "a")], acyclic=False)
-    first = graph.cyclic(_G1.edges(spark), len(_NODES)).select(F.lit("dag").alias("name"), "has_cycle")
-    return first.unionByName(graph.cyclic(loop.edges(spark), 3).select(F.lit("loop").alias("name"), "has_cycle"))
+    """The learned network, and the same with all arcs there and back."""
+    arcs = learned(spark, sf)
+    first = graph.cyclic(arcs, len(_NODES)).select(F.lit("dag").alias("name"), "has_cycle")
+    loop = arcs.unionByName(arcs.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
+    return first.unionByName(graph.cyclic(loop, len(_NODES)).select(F.lit("loop").alias("name"), "has_cycle"))
 
 
-_DISTS = dict(zip(_NODES, ("gaussian", "binomial", "poisson", "multinomial", "gaussian", "binomial"), strict=True))
+#: Columns whose distribution is told from the table: text by its number of values.
+_TOLD = ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
 
 
-def _dist_frame(spark) -> DataFrame:
-    return spark.createDataFrame([(i, n, _DISTS[n]) for i, n in enumerate(_NODES)], "pos int, node string, dist string")
+def _dist_frame(spark, sf) -> DataFrame:
+    """``(pos, node, dist)`` of lineitem's columns."""
+    t = read(spark, sf, "lineitem")
+    kinds = dict(t.dtypes)
+    told = [F.when(F.countDistinct(c) == 2, "binomial").otherwise("multinomial") if kinds[c] == "string" else F.lit("poisson" if "int" in kinds[c] else "gaussian") for c in _TOLD]
+    row = t.agg(*[d.alias(c) for c, d in zip(_TOLD, told, strict=True)], F.count(F.lit(1)).alias("n"))
+    each = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("node"), F.col(c).alias("dist")) for i, c in enumerate(_TOLD)])
+    return row.select(F.explode(each).alias("x")).select("x.*")
 
 
-_D_SQL = f"nodes(pos, node, dist) AS (VALUES {', '.join(f'({i}, {n!r}, {_DISTS[n]!r})' for i, n in enumerate(_NODES))})"
+_D_SQL = "d AS (SELECT CASE WHEN count(DISTINCT l_returnflag) = 2 THEN 'binomial' ELSE 'multinomial' END AS d0, CASE WHEN count(DISTINCT l_linestatus) = 2 THEN 'binomial' ELSE 'multinomial' END AS d1 FROM lineitem), nodes(pos, node, dist) AS (SELECT 0, 'l_returnflag', d0 FROM d UNION ALL SELECT 1, 'l_linestatus', d1 FROM d UNION ALL SELECT 2, 'l_linenumber', 'poisson' UNION ALL SELECT 3, 'l_quantity', 'gaussian')"
 _SHAPE_SQL = "CASE dist WHEN 'binomial' THEN 'box' WHEN 'gaussian' THEN 'circle' WHEN 'poisson' THEN 'oval' ELSE 'diamond' END"
 
 
+def _gaussian_frame(spark, sf) -> DataFrame:
+    columns = lineitem_nodes(spark, sf).select(*_NODES).dtypes
+    return spark.createDataFrame([(i, c, "gaussian" if k == "double" else "poisson") for i, (c, k) in enumerate(columns)], "pos int, node string, dist string")
+
+
 @query(
     "dot_lines",
-    f"""WITH {_edges_sql(_G1, 'e')}, {_D_SQL} SELECT 1 AS section, pos, -1 AS pos2, '"' || node || '"[shape=' || {_SHAPE_SQL} || '];' AS line FROM nodes
+    f"""WITH {_E_SQL} SELECT 1 AS section, pos, -1 AS pos2, '"' || node || '"[shape=circle];' AS line FROM nodes
 UNION ALL SELECT 2, p.pos, c.pos, '"' || parent || '"->"' || child || '";' FROM e JOIN nodes p ON p.node = parent JOIN nodes c ON c.node = child""",
 )
 def dot_lines(spark, sf):
-    return export.dot_lines(_dist_frame(spark), _G1.edges(spark))
+    return export.dot_lines(_gaussian_frame(spark, sf), learned(spark, sf))
 
 
-@query("export_arcs", f"WITH {_edges_sql(_G1, 'e')} SELECT parent AS source_variable_id, child AS target_variable_id FROM e")
+@query("export_arcs", f"WITH {_E_SQL} SELECT parent AS source_variable_id, child AS target_variable_id FROM e")
 def export_arcs(spark, sf):
-    return _G1.edges(spark).select(F.col("parent").alias("source_variable_id"), F.col("child").alias("target_variable_id"))
+    return learned(spark, sf).select(F.col("parent").alias("source_variable_id"), F.col("child").alias("target_variable_id"))
 
 
 @query(
@@ -656,16 +700,20 @@ def export_variables(spark, sf):
 
 @query("plot_nodes", f"WITH {_D_SQL} SELECT pos, node, dist, {_SHAPE_SQL} AS shape FROM nodes")
 def plot_nodes(spark, sf):
-    return export.plot_attributes(_dist_frame(spark), _G1.edges(spark))[0]
+    return export.plot_attributes(_dist_frame(spark, sf), learned(spark, sf))[0]
 
 
-_S_SQL = "s(parent, child, strength) AS (VALUES " + ", ".join(f"({p!r}, {c!r}, {(i + 1) * 0.25}::DOUBLE)" for i, (p, c) in enumerate(sorted(_G1.arcs))) + ")"
+_S_SQL = "s AS (SELECT parent, child, CASE " + " ".join(f"WHEN least(parent, child) = '{min(a, b)}' AND greatest(parent, child) = '{max(a, b)}' THEN (SELECT round(abs(corr({a}, {b})), 2) FROM {_NET})" for i, a in enumerate(_NODES) for b in _NODES[i + 1 :]) + " END AS strength FROM e)"
 
 
-@query("plot_edges", f"WITH {_S_SQL}, m AS (SELECT min(strength) AS lo, max(strength) AS hi FROM s) SELECT parent, child, printf('%.2f', strength) AS label, round_even(5 * (strength - lo) / (hi - lo), 0) + 1 AS lwd FROM s, m")
+@query("plot_edges", f"WITH {_E_SQL}, {_S_SQL}, m AS (SELECT min(strength) AS lo, max(strength) AS hi FROM s) SELECT parent, child, printf('%.2f', strength) AS label, round_even(5 * coalesce((strength - lo) / nullif(hi - lo, 0), 1), 0) + 1 AS lwd FROM s, m")
 def plot_edges(spark, sf):
-    s = spark.createDataFrame([(p, c, (i + 1) * 0.25) for i, (p, c) in enumerate(sorted(_G1.arcs))], "parent string, child string, strength double")
-    return export.plot_attributes(_dist_frame(spark), _G1.edges(spark), s)[1]
+    """Arcs as thick as their ends' correlation."""
+    arcs = sorted(learned_dag(spark, sf).arcs)
+    t = lineitem_nodes(spark, sf)
+    strength = t.agg(*[F.round(F.abs(F.corr(p, c)), 2).alias(f"s{i}") for i, (p, c) in enumerate(arcs)])
+    each = F.array(*[F.struct(F.lit(p).alias("parent"), F.lit(c).alias("child"), F.col(f"s{i}").alias("strength")) for i, (p, c) in enumerate(arcs)])
+    return export.plot_attributes(_gaussian_frame(spark, sf), learned(spark, sf), strength.select(F.explode(each).alias("x")).select("x.*"))[1]
 
 
 from . import grouped_queries, model_queries  # noqa: E402, F401  register their queries
