@@ -6,7 +6,7 @@ import html
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -69,12 +69,16 @@ class Dom:
 def parse(page: str) -> Dom:
     """The block tree of a page, as browsers mend it: implied end tags, stray
     end tags ignored, inline elements never close blocks, what is open at the end
-    closes there. Character references are decoded, white space becomes one space."""
+    closes there. Character references are decoded, white space becomes one space.
+    Open elements are known by their places on the stack, tag by tag, so every tag
+    of the page takes a few steps, however many elements are open."""
     dom = Dom()
     root = dom.add(-1, ("html", ""), None)
     # (tag, block node, whether in a link, whether unseen)
     stack: list[tuple[str, int, bool, bool]] = [("", root, False, False)]
-    opened: Counter = Counter()
+    # Places on the stack of the elements of each tag that an end tag can still close, and of all blocks.
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
     pieces: list[tuple[str, bool]] = []
 
     def flush():
@@ -86,30 +90,37 @@ def parse(page: str) -> Dom:
             pieces.clear()
 
     def pop(to: int):
-        if any(e[0] in BLOCK for e in stack[to:]):
+        if blocks and blocks[-1] >= to:
             flush()
-        for e in stack[to:]:
-            opened[e[0]] -= 1
-        del stack[to:]
+        while len(stack) > to:
+            tag = stack.pop()[0]
+            if places[tag] and places[tag][-1] == len(stack):
+                places[tag].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     def find(tags, stop=frozenset()) -> int:
-        if any(opened[t] > 0 for t in tags):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in tags:
-                    return i
-                if stack[i][0] in stop:
-                    return 0
-        return 0
+        """The innermost of ``tags``, unless one of ``stop`` lies within it; 0: none."""
+        i = last(tags)
+        return i if i and last(stop) < i else 0
+
+    def innermost(tags) -> int:
+        """The innermost of ``tags``, all of them blocks, unless another block lies within it."""
+        i = last(tags)
+        return i if i and blocks[-1] == i else 0
 
     # Nothing is a tag after the last ">": it is not sought there again and again.
-    at, end, last = 0, len(page), page.rfind(">") + 1
+    at, end, until = 0, len(page), page.rfind(">") + 1
     while at < end:
-        m = TOKEN.search(page, at, last) if at < last else None
+        m = TOKEN.search(page, at, until) if at < until else None
         text = page[at : m.start()] if m else page[at:].partition("<!--")[0]
         if text and not stack[-1][3]:
             pieces.append((text, stack[-1][2]))
         # What a comment without an end holds goes to the end of the page.
-        if not m or m.end() == last and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
+        if not m or m.end() == until and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
             break
         at = m.end()
         close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -120,12 +131,11 @@ def parse(page: str) -> Dom:
             if tag == "br" and not stack[-1][3]:
                 pieces.append((" ", False))
             elif i := find({tag}):
-                if tag in BLOCK or not any(e[0] in BLOCK for e in stack[i + 1 :]):
+                if tag in BLOCK or not blocks or blocks[-1] <= i:
                     pop(i)
                 else:
-                    opened[tag] -= 1
+                    places[tag].pop()
                     stack[i] = ("*", *stack[i][1:])
-                    opened["*"] += 1
             continue
         if tag in RAW:
             m = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
@@ -134,11 +144,11 @@ def parse(page: str) -> Dom:
         if tag == "body" and (i := find({"head"})):
             pop(i)
         if tag in BLOCK:
-            if i := find({"p"}, BLOCK - {"p"}):
+            if i := innermost(("p",)):
                 pop(i)
             if tag in CLOSES and (i := find(*CLOSES[tag])):
                 pop(i)
-            if tag in HEADINGS and (i := find(HEADINGS, BLOCK - HEADINGS)):
+            if tag in HEADINGS and (i := innermost(HEADINGS)):
                 pop(i)
             flush()
         if tag in VOID:
@@ -148,7 +158,9 @@ def parse(page: str) -> Dom:
         _, node, link, unseen = stack[-1]
         if tag in BLOCK and not unseen and tag not in ("html", "body"):
             node = dom.add(node, (tag, attrs.strip()), None)
-        opened[tag] += 1
+        places[tag].append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
         stack.append((tag, node, link or tag == "a", unseen or tag in UNSEEN))
     pop(1)
     flush()
