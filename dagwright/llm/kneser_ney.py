@@ -10,7 +10,6 @@ for is joined to it by shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -208,10 +207,27 @@ def sorted_tables(parts: Iterable[tuple]) -> dict[tuple[str, int], tuple[np.ndar
     return out
 
 
+#: Steps of a histogram of weights to a doubling.
+STEPS = 16
+
+
+def heaviest(tables: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` entries of the greatest weight: all that lie above a step of
+    the histogram of weights, of which the driver gets a few hundred counts."""
+    step = F.floor(F.log2(F.greatest(F.col("weight").cast("double"), F.lit(1.0))) * STEPS)
+    cut, total = None, 0
+    for r in sorted(tables.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > most:
+            break
+        cut = r["step"]
+    return tables.filter(step >= cut) if cut is not None else tables.filter(F.lit(False))
+
+
 def hot(tables: DataFrame) -> tuple[dict, bool]:
-    """The HOT entries of the greatest weight, and whether these are all."""
+    """At most HOT entries, those of the greatest weight, and whether these are all."""
     whole = tables.count() <= HOT
-    top = tables if whole else tables.orderBy(F.desc("weight"), "grp", "k", "key").limit(HOT)
+    top = tables if whole else heaviest(tables, HOT)
     packed = written(top.select("grp", "k", "key", "p").mapInArrow(_packed, "grp string, k int, key binary, p binary"), "hot")
     rows = packed.toArrow()
     dropped(packed)
