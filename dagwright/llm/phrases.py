@@ -8,20 +8,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, mix64, sliced, written
 
-#: Tokens that a task counts together; memory, not results, depends on it.
-BLOCK = 1_500_000
-#: Words, and bytes of words, that a task knows by number at a time.
-WORDS, WORD_BYTES = 400_000, 1 << 25
+#: Words of a block, at most; memory, not results, depends on it.
+BLOCK = 2_000_000
+#: Bytes of different words in a block, at most.
+WORD_BYTES = 1 << 25
 #: Bytes of a text that are split together.
-STRETCH = 1 << 21
-#: Bits of the table that says which phrases of a level are frequent: 32 MB at most, at any size of the corpus.
-BITS = 28
+STRETCH = 1 << 18
+#: The table that says which phrases of a level are frequent has 2^BITS bits, 8 MB, at any size of the corpus.
+BITS = 26
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Every separator becomes a line feed, a tab a space.
@@ -49,7 +50,7 @@ def frequent_bits(level: DataFrame):
     next level counts what it emits in full, so results don't depend on it: its
     size is fixed, and a corpus with more frequent phrases than it can tell apart
     emits more to count. What the driver gets is one row for each 64 bits with
-    one set, at most 2^22 rows.
+    one set, at most 2^20 rows.
     """
 
     def bits(batches):
@@ -89,48 +90,55 @@ def _has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-# --- Counting in a task ---
+# --- Texts as numbered words ---
 
 
 class _Words(dict):
-    """Numbers of the words of one language: of all at level 1, of frequent ones beyond."""
+    """Numbers of the words of one language in a block."""
 
-    def __init__(self, lang: str, all_: Counts):
+    def __init__(self, lang: str, block: Blocks):
         super().__init__({b"": _SKIP, b"\n": _GAP})
-        self.lang, self.all = lang, all_
+        self.lang, self.block = lang, block
 
     def __missing__(self, word: bytes) -> int:
-        all_, n = self.all, _GAP
-        h = _hash(self.lang, word) if all_.tables else 0
-        if not all_.tables or _has(all_.tables[0], np.array([h], np.uint64))[0]:
-            n = len(all_.words)
-            all_.words.append(word)
-            all_.langs.append(self.lang)
-            all_.hashes.append(h)
-        all_.bytes += len(word) + 100
-        self[word] = n
+        block = self.block
+        n = self[word] = len(block.words)
+        block.words.append(word)
+        block.langs.append(block.lang_of[self.lang])
+        block.bytes += len(word) + 100
         return n
 
 
-class Counts:
-    """Counts the phrases of k words in a stream of texts, a block of tokens at a time."""
+class Blocks:
+    """Turns a stream of texts into blocks of numbered words. A block inside a text
+    ends with the ``overlap`` words that the next one begins with: phrases belong to
+    the block that has their first word among its own."""
 
-    def __init__(self, k: int, tables: list[np.ndarray]):
-        self.k, self.tables = k, tables
-        self.rest = np.empty(0, np.int64)
-        self.parts: list[np.ndarray] = []
-        self.n = 0
-        self.forget()
+    def __init__(self, overlap: int):
+        self.overlap = overlap
+        self.rest: list[tuple[str, bytes] | None] = []
+        self._new()
 
-    def forget(self) -> None:
+    def _new(self) -> None:
         self.words: list[bytes] = []
-        self.langs: list[str] = []
-        self.hashes: list[int] = []
+        self.langs: list[int] = []
+        self.lang_of: dict[str, int] = {}
         self.by_lang: dict[str, _Words] = {}
-        self.bytes = 0
-
-    def add(self, lang: str, text: str) -> Iterator[tuple[list, list, list]]:
-        """Takes a text; yields (langs, phrases, counts) of blocks that are full."""
+        self.parts: list[np.ndarray] = []
+        self.n = self.bytes = 0
+        if self.rest:
+            self.parts.append(np.array([_GAP if x is None else self._index(x[0])[x[1]] for x in self.rest], np.int32))
+            self.rest = []
+
+    def _index(self, lang: str) -> _Words:
+        if lang not in self.by_lang:
+            self.lang_of[lang] = len(self.lang_of)
+            self.by_lang[lang] = _Words(lang, self)
+            self.bytes += 1000
+        return self.by_lang[lang]
+
+    def add(self, lang: str, text: str) -> Iterator[pa.RecordBatch]:
+        """Takes a text; yields blocks that are full."""
         raw = text.encode("utf-8", "surrogatepass").lower().translate(_PLAIN)
         at = 0
         while at < len(raw):
@@ -138,105 +146,131 @@ class Counts:
             if end < len(raw):  # between two words
                 ends = [x for x in (raw.find(b" ", end), raw.find(b"\n", end)) if x >= 0]
                 end = min(ends, default=len(raw))
-            index = self.by_lang.get(lang)
-            if index is None:
-                index = self.by_lang[lang] = _Words(lang, self)
-                self.bytes += 1000
             tokens = raw[at:end].replace(b"\n", b" \n ").split(b" ")
-            ids = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+            ids = np.fromiter(map(self._index(lang).__getitem__, tokens), np.int32, len(tokens))
             self.parts.append(ids[ids != _SKIP])
             self.n += len(self.parts[-1])
             at = end
-            if self.n >= BLOCK or len(self.words) >= WORDS or self.bytes >= WORD_BYTES:
+            if self.n >= BLOCK or self.bytes >= WORD_BYTES:
                 yield self.block(at >= len(raw))
-        self.parts.append(np.array([_GAP]))
-
-    def block(self, whole: bool) -> tuple[list, list, list]:
-        """Counts what has come so far. Inside a text the last words go on into the
-        next block, which counts the phrases that begin with them."""
-        ids = np.concatenate([self.rest, *self.parts, np.array([_GAP] * whole, np.int64)])
-        stop = len(ids) if whole else max(len(ids) - self.k + 1, 0)
-        out = self.counted(ids, stop)
-        rest = ids[stop:]
-        kept = [(self.langs[i], self.words[i]) if i >= 0 else None for i in rest.tolist()]
-        self.parts, self.n = [], 0
-        if len(self.words) >= WORDS or self.bytes >= WORD_BYTES:
-            self.forget()
-            for lang, _ in filter(None, kept):
-                self.by_lang.setdefault(lang, _Words(lang, self))
-            rest = np.array([self.by_lang[x[0]][x[1]] if x else _GAP for x in kept], np.int64)
-        self.rest = rest
-        return out
-
-    def counted(self, ids: np.ndarray, stop: int) -> tuple[list, list, list]:
-        if self.k == 1:
-            n = np.bincount(ids[ids >= 0], minlength=len(self.words))
-            at = np.flatnonzero(n)
-            # The number of all words of a language stands beside them, without a phrase.
-            total: dict[str, int] = {}
-            for i in at.tolist():
-                total[self.langs[i]] = total.get(self.langs[i], 0) + int(n[i])
-            return [*(self.langs[i] for i in at.tolist()), *total], [*(self.words[i] for i in at.tolist()), *[None] * len(total)], [*n[at].tolist(), *total.values()]
-        word_hash = np.array(self.hashes, np.uint64)
-        now, h = ids, word_hash
-        for j in range(2, self.k + 1):
-            # A phrase is looked at where both of its parts of one word less are frequent.
-            ok = (now[:-1] >= 0) & (now[1:] >= 0)
-            at = np.flatnonzero(ok)
-            if j == self.k:
-                at = at[at < stop]
-            _, first, which, n = np.unique(now[at] << 32 | now[at + 1], return_index=True, return_inverse=True, return_counts=True)
-            first = at[first]
-            if j == self.k:
-                rows = ids[first[:, None] + np.arange(j)].tolist()
-                return [self.langs[r[0]] for r in rows], [b" ".join(map(self.words.__getitem__, r)) for r in rows], n.tolist()
-            h = _longer(h[now[first]], word_hash[ids[first + j - 1]])
-            frequent = _has(self.tables[j - 1], h)
-            number = np.where(frequent, np.cumsum(frequent) - 1, _GAP)
-            h, new = h[frequent], np.full(len(ids), _GAP, np.int64)
-            new[at] = number[which]
-            now = new
-
-
-def count_level(documents: DataFrame, k: int, tables: list) -> DataFrame:
-    """``(lang, phrase, f)``: occurrences of the phrases of k words whose parts of
-    one word less are both in the level before, by ``tables`` of all levels
-    before; level 1 has all words and a null phrase for their sum."""
+        self.parts.append(np.array([_GAP], np.int32))
+
+    def block(self, whole: bool = True) -> pa.RecordBatch:
+        ids = np.concatenate([np.empty(0, np.int32), *self.parts])
+        own = len(ids) if whole else max(len(ids) - self.overlap, 0)
+        n = np.bincount(ids[:own][ids[:own] >= 0], minlength=len(self.words))
+        names = list(self.lang_of)
+        row = [pa.array([names], pa.list_(pa.string())), pa.array([self.langs], pa.list_(pa.int32())), pa.array([self.words], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([n], pa.list_(pa.int64())), pa.array([ids.tobytes()]), pa.array([own], pa.int64())]
+        self.rest = [] if whole else [(names[self.langs[i]], self.words[i]) if i >= 0 else None for i in ids[own:].tolist()]
+        self._new()
+        return pa.RecordBatch.from_arrays(row, names=["names", "langs", "words", "n", "ids", "own"])
 
-    def rows(batches):
-        counts = Counts(k, [_table(t, len(tables)) for t in tables])
 
-        def batch(langs, phrases, n):
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+def blocks_of(documents: DataFrame, longest: int) -> DataFrame:
+    """The texts as blocks of up to ``BLOCK`` words: the names of their languages,
+    their different words with language and count, and the words of the texts
+    by number (int32, -1 between pieces and texts), ``own`` of them the block's."""
 
+    def rows(batches):
+        blocks = Blocks(longest - 1)
         for b in sliced(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-                for out in counts.add(lang, text.as_py() or ""):
-                    yield batch(*out)
-        yield batch(*counts.block(True))
+                yield from blocks.add(lang, text.as_py() or "")
+        yield blocks.block()
 
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return texts.mapInArrow(rows, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return texts.mapInArrow(rows, "names array<string>, langs array<int>, words array<string>, n array<long>, ids binary, own long")
+
+
+# --- Levels ---
+
+
+def phrases_of(ids: np.ndarray, own: int, hashes: np.ndarray, k: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, one row for each phrase of ``k`` words; counts) of a block."""
+    frequent = _has(tables[0], hashes)
+    # Level by level, ``now`` numbers the frequent phrase that begins at a word, or none.
+    now = np.append(np.where(frequent, np.arange(len(hashes)), _GAP), _GAP)[ids]
+    words, h = np.arange(len(hashes))[:, None], hashes
+    for j in range(2, k + 1):
+        # A phrase is looked at where both of its parts of one word less are frequent.
+        at = np.flatnonzero((now[:-1] >= 0) & (now[1:] >= 0))
+        if j == k:
+            at = at[at < own]
+        key = now[at] << 32 | ids[at + j - 1]
+        kinds = np.sort(key)
+        first = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])) if len(kinds) else np.empty(0, np.int64)
+        n, kinds = np.diff(np.append(first, len(kinds))), kinds[first]
+        before, last = kinds >> 32, kinds & 0xFFFFFFFF
+        if j == k:
+            return np.column_stack([words[before], last]), n
+        grown = _longer(h[before], hashes[last])
+        frequent = _has(tables[j - 1], grown)
+        kinds, h, words = kinds[frequent], grown[frequent], np.column_stack([words[before], last])[frequent]
+        new = np.full(len(now), _GAP, np.int64)
+        if len(kinds):
+            place = np.minimum(np.searchsorted(kinds, key), len(kinds) - 1)
+            hit = kinds[place] == key
+            new[at[hit]] = place[hit]
+        now = new
+    raise ValueError("phrases have two words or more")
+
+
+def count_level(blocks: DataFrame, k: int, tables: list) -> DataFrame:
+    """``(lang, phrase, f)``: occurrences of the phrases of k words whose parts of
+    one word less are both in the level before, by ``tables`` of all levels
+    before; level 1 has all words and a null phrase for their sum."""
+    if k == 1:
+        each = blocks.select("names", F.explode(F.arrays_zip("langs", "words", "n")).alias("w")).filter("w.n > 0")
+        words = each.select(F.element_at("names", F.col("w.langs") + 1).alias("lang"), F.col("w.words").alias("phrase"), F.col("w.n").alias("n"))
+        counts = words.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        sums = words.groupBy("lang").agg(F.sum("n").alias("f")).select("lang", F.lit(None).cast("string").alias("phrase"), "f")
+        return counts.unionByName(sums)
+
+    def count(row, bits):
+        column = lambda c: row.column(c)[0]
+        words, langs, names = (column(c).values for c in ("words", "langs", "names"))
+        of = names.to_pylist()
+        hashes = np.array([_hash(of[i], w) for i, w in zip(langs.to_pylist(), words.cast(pa.binary()).to_pylist(), strict=True)], np.uint64)
+        found, n = phrases_of(np.frombuffer(column("ids").as_buffer(), np.int32), column("own").as_py(), hashes, k, bits)
+        for s in range(0, len(n), 1 << 15):
+            part = found[s : s + (1 << 15)]
+            phrases = pc.binary_join_element_wise(*[words.take(pa.array(part[:, i])) for i in range(k)], pa.scalar(" "))
+            yield pa.RecordBatch.from_arrays([names.take(langs.take(pa.array(part[:, 0]))), phrases, pa.array(n[s : s + (1 << 15)], pa.int64())], names=["lang", "phrase", "n"])
+
+    def rows(batches):
+        bits = [_table(t, len(tables)) for t in tables]
+        for b in batches:
+            for row in sliced([b], 1):
+                yield from count(row, bits)
+            pa.default_memory_pool().release_unused()
+
+    return blocks.drop("n").mapInArrow(rows, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
 def level_tables(documents: DataFrame, longest: int = 4, least: int = 30) -> tuple[list[DataFrame], DataFrame]:
     """Frequent phrases of 1 to ``longest`` words, a table ``(lang, phrase, f)``
     for each length, and ``(lang, n)``, the number of all words.
 
-    Apriori: a level is counted in one pass over the texts, which emits only
-    phrases whose two parts of one word less were frequent; those are broadcast
-    as a table of bits of fixed size (:func:`frequent_bits`). A task adds up a
-    block of tokens before Spark adds up all, in hash aggregates with partial
-    sums: a word or phrase that a third of the texts have is one row a task.
+    Apriori: the texts are read once and kept as blocks of numbered words; each
+    level is one pass over the blocks, which emits only phrases whose two parts of
+    one word less were frequent; those are broadcast as a table of bits of fixed
+    size (:func:`frequent_bits`). A block adds up its phrases before Spark adds up
+    all, in hash aggregates with partial sums: a word or phrase that a third of
+    the texts have is one row a task.
     """
+    # Few blocks to a row group and one to a page: the sizes that Parquet's writers
+    # look at only every hundred rows would let a whole task's blocks be one page.
+    small = {"compression": "zstd", "parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.row.count.limit": "1"}
+    blocks = written(blocks_of(documents, longest), "blocks", **small)
     levels, tables = [], []
-    first = written(count_level(documents, 1, []).filter((F.col("f") >= least) | F.col("phrase").isNull()), "words")
+    first = written(count_level(blocks, 1, []).filter((F.col("f") >= least) | F.col("phrase").isNull()), "words")
     levels.append(first.filter("phrase IS NOT NULL"))
     for k in range(2, longest + 1):
         tables.append(frequent_bits(levels[-1]))
-        levels.append(written(count_level(documents, k, tables).filter(F.col("f") >= least), f"phrases{k}"))
+        levels.append(written(count_level(blocks, k, tables).filter(F.col("f") >= least), f"phrases{k}"))
     for t in tables:
         t.unpersist()
+    dropped(blocks)
     return levels, first.filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
 
 
