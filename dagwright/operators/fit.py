@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
@@ -90,6 +91,11 @@ class Network:
 
 #: Steps of a grid's side that are asked for at once.
 STEPS = 8
+#: A side's step doubles where a density is over this share of the one before.
+FLAT = 0.8
+#: Neighbouring densities differ by at most this share of the highest one, after
+#: HALVINGS rounds at most.
+STEEP, HALVINGS = 0.3, 12
 
 
 def wald(z: float) -> float:
@@ -298,7 +304,10 @@ def marginals(
 
     The grid of a parameter goes from its mode in steps of half a standard
     deviation, either way, until the density is under ``control.min_pdf`` or
-    ``control.max_grid_iter`` steps are made; a precision's stays above 0. With
+    ``control.max_grid_iter`` steps are made. Each side doubles its own step where
+    the density hardly falls; intervals are halved while the densities at their ends
+    differ by more than STEEP of the highest. A precision's grid stays above 0, which
+    it comes near by halves. With
     ``points``, it is that many of them over mode +- spread standard deviations.
     The points that all parameters ask for are solved together, some rounds of them.
     """
@@ -354,22 +363,45 @@ def marginals(
         for (c, _, t, x), f in zip(grid, densities([(c, k, x) for c, k, _, x in grid]), strict=True):
             rows.append((c, t[0], x, f))
     else:
-        # (term, side) -> steps made; a side that has come under min_pdf goes no further.
-        sides = {(i, s): 0 for i in range(len(terms)) for s in (1, -1)}
-        asked = [(i, 0, 0) for i in range(len(terms))]
-        while asked or sides:
-            for (i, s), done in sides.items():
-                asked += [(i, s, n) for n in range(done + 1, min(done + STEPS, control.max_grid_iter) + 1)]
-            places = [(i, s, n, terms[i][2][3] + s * n * 0.5 * max(terms[i][2][4], 1e-12)) for i, s, n in asked]
-            places = [x for x in places if x[3] > 0 or not terms[x[0]][2][0].endswith("|precision")]
-            found = densities([(terms[i][0], terms[i][1], x) for i, _, _, x in places])
-            rows += [(terms[i][0], terms[i][2][0], float(x), f) for (i, _, _, x), f in zip(places, found, strict=True)]
-            last = {(i, s): (n, f) for (i, s, n, _), f in zip(places, found, strict=True)}
-            sides = {k: last[k][0] for k in sides if k in last and last[k][1] > control.min_pdf and sides[k] + STEPS <= last[k][0] < control.max_grid_iter}
-            asked = []
+        mode, unit = ([t[k] for _, _, t in terms] for k in (3, 4))
+        bounded = [t[0].endswith("|precision") for _, _, t in terms]
+        found: list[dict[float, float]] = [{} for _ in terms]
+
+        def ask(places: list[tuple[int, float]]) -> None:
+            for (i, x), f in zip(places, densities([(terms[i][0], terms[i][1], x) for i, x in places]), strict=True):
+                found[i][x] = f
+
+        # (term, side) -> where it stands, its step and the steps made; a side that has come under min_pdf goes no further.
+        sides = {(i, s): (mode[i], 0.5 * max(unit[i], 1e-12), 0) for i in range(len(terms)) for s in (1, -1)}
+        ask([(i, float(x)) for i, x in enumerate(mode)])
+        while sides and control.max_grid_iter > 0:
+            way = {k: _way(*state, k[1], bounded[k[0]], control.max_grid_iter) for k, state in sides.items()}
+            ask([(k[0], x) for k, xs in way.items() for x in xs])
+            left = {}
+            for k, xs in way.items():
+                (_, h, n), f = sides[k], [found[k[0]][x] for x in xs]
+                if f[-1] > control.min_pdf and n + len(xs) < control.max_grid_iter:
+                    left[k] = xs[-1], 2 * h if len(f) > 1 and f[-1] > FLAT * f[-2] else h, n + len(xs)
+            sides = left
+        for _ in range(HALVINGS):
+            steep = [(i, (a + b) / 2) for i, at in enumerate(found) for a, b in itertools.pairwise(sorted(at)) if abs(at[a] - at[b]) > STEEP * max(at.values())]
+            if not steep:
+                break
+            ask(steep)
+        rows = [(c, t[0], float(x), f) for (c, _, t), at in zip(terms, found, strict=True) for x, f in at.items()]
     return df.sparkSession.createDataFrame(rows, "node string, param string, x double, f double")
 
 
+def _way(x: float, h: float, made: int, side: int, bounded: bool, most: int) -> list[float]:
+    """The next points of one side of a grid; towards a bound at 0, halves of what
+    is left where the step would reach it."""
+    out = []
+    for k in range(1, min(STEPS, most - made) + 1):
+        to = x + side * k * h
+        out.append(float(to if to > 0 or not bounded else (out[-1] if out else x) / 2))
+    return out
+
+
 def posterior(df: DataFrame, schema: Schema, dag: Dag, control: FitControl | None = None, **how) -> tuple[DataFrame, DataFrame]:
     """What a Bayesian fit's user looks at: :func:`marginals` on ``control.n_grid``
     equal steps, of unit area if ``control.std_area``, and their

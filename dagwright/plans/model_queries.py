@@ -335,13 +335,13 @@ def bugs_group_text(spark, sf):
 # --- Marginals ------------------------------------------------------------
 
 
-def _marginal_sql(grid: str, tail: str) -> str:
+def _marginal_sql(grid: str, tail: str, table: str = "lineitem", node: str = "l_extendedprice") -> str:
     """Densities of the mean and the precision of a standardised column: each with
     the other at its best, and its curvature there."""
     goal = f"0.5 * n * (ln(t) - {LN2PI}) - 0.5 * t * (n - 1 + n * b * b) + 0.5 * (ln(0.001) - {LN2PI}) - 0.0005 * b * b + ln(5e-5) - 5e-5 * t"
-    return f"""WITH c AS (SELECT count(*)::DOUBLE AS n FROM lineitem), mode AS (SELECT n, (n / 2) / ((n - 1) / 2 + 5e-5) AS tau FROM c),
+    return f"""WITH c AS (SELECT count(*)::DOUBLE AS n FROM {table}), mode AS (SELECT n, (n / 2) / ((n - 1) / 2 + 5e-5) AS tau FROM c),
 best AS (SELECT n, tau, g - 0.5 * ln((tau * n + 0.001) * (n / 2) / (tau * tau)) + {LN2PI} AS whole FROM (SELECT n, tau, {goal} AS g FROM (SELECT n, tau, tau AS t, 0.0::DOUBLE AS b FROM mode))),
-params AS (SELECT n, tau, whole, 'l_extendedprice|intercept' AS param, 0.0::DOUBLE AS mid, 1 / sqrt(tau * n + 0.001) AS sd FROM best UNION ALL SELECT n, tau, whole, 'l_extendedprice|precision', tau, 1 / sqrt(n / 2 / (tau * tau)) FROM best),
+params AS (SELECT n, tau, whole, '{node}|intercept' AS param, 0.0::DOUBLE AS mid, 1 / sqrt(tau * n + 0.001) AS sd FROM best UNION ALL SELECT n, tau, whole, '{node}|precision', tau, 1 / sqrt(n / 2 / (tau * tau)) FROM best),
 {grid},
 asked AS (SELECT *, CASE WHEN param LIKE '%intercept' THEN x ELSE 0 END AS b, CASE WHEN param LIKE '%intercept' THEN (n / 2) / ((n - 1 + n * x * x) / 2 + 5e-5) ELSE x END AS t FROM points),
 f AS (SELECT param, k, x, exp({goal} - 0.5 * ln(CASE WHEN param LIKE '%intercept' THEN n / 2 / (t * t) ELSE t * n + 0.001 END) + 0.5 * {LN2PI} - whole) AS f FROM asked)
@@ -371,6 +371,26 @@ def marginal_adaptive(spark, sf):
     return _price_marginals(spark, sf, control=control("bayes", True, min_pdf=0.001)).withColumn("x", F.col("x") + F.lit(0.0))
 
 
+@query(
+    "marginal_skewed",
+    _marginal_sql(
+        "points AS (SELECT *, i AS k, mid + sd * (i - 4000) / 400.0::DOUBLE AS x FROM params, (SELECT unnest(range(0, 16001)) AS i) WHERE param LIKE '%precision' AND mid + sd * (i - 4000) / 400.0::DOUBLE > 0)",
+        "SELECT param, round(sum(f) * any_value(sd) / 400, 2) AS area, round(sum(x * f) / sum(f), 2) AS mean FROM f JOIN params USING (param) GROUP BY param",
+        "supplier",
+        "s_acctbal",
+    ),
+)
+def marginal_skewed(spark, sf):
+    """Few rows: a precision whose density leans against 0. Its grid finds the steps
+    that area and mean need, from a mode and a curvature that fit neither side."""
+    schema = Schema.of({"s_acctbal": "gaussian"})
+    t = spark.read.parquet(f"{sf}/supplier.parquet").select("s_acctbal")
+    found = fitting.marginals(t, schema, Dag.of(schema.nodes), control=control("bayes", True, min_pdf=1e-6))
+    even = fitting.regrid(found.filter("param LIKE '%precision'"), 4000)
+    step = (F.max("x") - F.min("x")) / 3999
+    return even.groupBy("param").agg(F.round(step * F.sum("f"), 2).alias("area"), F.round(F.sum(F.col("x") * F.col("f")) / F.sum("f"), 2).alias("mean"))
+
+
 _LINE = "SELECT 'a' AS node, 'p' AS param, {x} AS x, 2 * ({x}) + 1 AS f FROM (SELECT unnest(range(0, {n})) AS i)"
 
 

@@ -14,6 +14,7 @@ from dagwright.operators.moments import Design, moments
 from dagwright.operators.parent_sets import parent_sets
 from dagwright.plans import fitting as P
 from dagwright.plans.cache import build_cache
+from dagwright.plans.controls import control
 from dagwright.schema import Dist, Schema
 from dagwright.sources import export
 from dagwright.sources.tables import chain_sample
@@ -186,6 +187,33 @@ def test_laplace_of_a_gaussian_node(spark, sample):
     assert abs(exact - value) < 0.01
 
 
+def test_grid_of_a_skewed_precision(spark):
+    # Five rows: the density of the precision is far from normal on either side of its mode.
+    from math import exp, lgamma, log
+
+    t = spark.createDataFrame([(float(x * x),) for x in range(5)], "g double")
+    schema = Schema.of({"g": "gaussian"})
+    d = fitting.marginals(t, schema, Dag.of(schema.nodes), control=control("bayes", True, min_pdf=1e-7)).toPandas()
+    for _, one in d.groupby("param"):
+        one = one.sort_values("x")
+        x, f = one["x"].to_numpy(), one["f"].to_numpy()
+        assert np.abs(np.diff(f)).max() <= 0.3 * f.max() + 1e-12 and f[0] < 0.1 * f.max() and f[-1] <= 1e-7
+    assert one["param"].iloc[0] == "g|precision" and x[0] > 0
+    # Gamma(shape, rate) up to the constant of Laplace's method, which the mass gives.
+    shape, rate = 1 + 5 / 2 - 0.5, (5 - 1) / 2 + 5e-5
+    mass = np.trapezoid(fitting.spline(x, f, np.linspace(x[0], x[-1], 20_001)), dx=(x[-1] - x[0]) / 20_000)
+    exact = np.array([exp(shape * log(rate) - lgamma(shape) + (shape - 1) * log(v) - rate * v) for v in x])
+    assert np.abs(f / mass - exact).max() < 0.01 * exact.max() and 0.8 < mass < 1.2
+
+
+def test_grid_steps():
+    from dagwright.operators.fit import _way
+
+    assert _way(1.0, 0.5, 0, 1, True, 1000) == [1.0 + 0.5 * k for k in range(1, 9)]
+    assert _way(1.0, 0.4, 0, -1, True, 4) == [0.6, pytest.approx(0.2), pytest.approx(0.1), pytest.approx(0.05)]
+    assert _way(1.0, 1.0, 7, -1, False, 9) == [0.0, -1.0]
+
+
 def test_marginals_have_area_one(spark, sample):
     s = Schema.of({"b": "gaussian", "c": "binomial"})
     dag = Dag.of("bc", [("b", "c")])
