@@ -159,14 +159,21 @@ def contingency(binned: DataFrame, columns: Iterable[str] | None = None) -> Data
 def entropies(counts: DataFrame, subsets: Mapping[str, Sequence[str]], base: float = 2.0) -> DataFrame:
     """``(name, h)``: entropy of each subset of the columns of a table of counts
     (columns..., n); the empty subset has entropy 0."""
-    parts = None
-    for name, columns in subsets.items():
-        margin = counts.groupBy(*columns).agg(F.sum("n").alias("n")) if columns else counts.agg(F.sum("n").alias("n"))
-        part = margin.select(F.lit(name).alias("name"), "n")
-        parts = part if parts is None else parts.unionByName(part)
+    names, sets = list(subsets), list(subsets.values())
+    cells = _rolled(counts.withColumn("top", F.lit(0)), [c for c in counts.columns if c != "n"], sets, [list(range(len(sets)))])
     # H = ln N - sum(n ln n) / N
     h = F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")
-    return parts.groupBy("name").agg((h / math.log(base)).alias("h"))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("id") + 1)
+    return cells.groupBy("id").agg((h / math.log(base)).alias("h")).select(name.alias("name"), "h")
+
+
+def _rolled(cells: DataFrame, columns: Sequence[str], sets: Sequence[Sequence[str]], under: Sequence[Sequence[int]]) -> DataFrame:
+    """``(id, n)``: cells (columns..., n, top) merged to those of the sets of columns
+    whose places ``under[top]`` lists."""
+    mine = F.coalesce(*[F.when(F.col("top") == i, F.array(*map(F.lit, ks))) for i, ks in enumerate(under)])
+    # A column outside the set is null in all its rows, so a null inside it stays a level of its own.
+    kept = [F.when(F.col("id").isin([k for k, s in enumerate(sets) if c in s]), F.col(c)).alias(c) for c in columns]
+    return cells.select("n", *columns, F.explode(mine).alias("id")).select("id", "n", *kept).groupBy("id", *columns).agg(F.sum("n").alias("n")).select("id", "n")
 
 
 def entropy(counts: DataFrame) -> DataFrame:
@@ -250,17 +257,35 @@ def _set_name(columns: Sequence[str]) -> str:
     return "h_" + "_".join(columns)
 
 
-def set_entropies(binned: DataFrame, sets: Sequence[Sequence[str]], base: float = 2.0) -> DataFrame:
-    """One row with the entropy of each set of columns (``h_<a>_<b>``), by grouping
-    sets over one scan; the empty set has entropy 0."""
+def set_counts(binned: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """``(id, n)``: the cells of each set of columns, by the set's place in ``sets``.
+
+    Rows are counted by the sets alone that no other one contains; all others are
+    rolled up from the cells of the first of these that contains them. So a row
+    becomes as many as there are largest sets (one of them: a plain groupBy), and
+    cells, not rows, become as many as there are smaller sets."""
     columns = [c for c in binned.columns if any(c in s for s in sets)]
+    largest = [s for s in sets if not any(set(s) < set(t) for t in sets)]
+    if not largest:
+        return binned.sparkSession.createDataFrame([], "id int, n long")
+    if len(largest) == 1:
+        cells = binned.groupBy(*largest[0]).agg(F.count(F.lit(1)).alias("n")).withColumn("top", F.lit(0).cast("long"))
+    else:
+        # Bit i of the id, from the last column on, is set where the column is not in the set.
+        ids = [sum(1 << i for i, c in enumerate(reversed(columns)) if c not in s) for s in largest]
+        cells = binned.groupingSets([[F.col(c) for c in s] for s in largest], *[F.col(c) for c in columns]).agg(F.grouping_id().alias("id"), F.count(F.lit(1)).alias("n"))
+        cells = cells.withColumn("top", F.coalesce(*[F.when(F.col("id") == k, F.lit(i)) for i, k in enumerate(ids)]).cast("long"))
+    under = [[k for k, s in enumerate(sets) if next(i for i, t in enumerate(largest) if set(s) <= set(t)) == top] for top in range(len(largest))]
+    return _rolled(cells, columns, sets, under)
+
+
+def set_entropies(binned: DataFrame, sets: Sequence[Sequence[str]], base: float = 2.0) -> DataFrame:
+    """One row with the entropy of each set of columns (``h_<a>_<b>``), from one
+    scan (:func:`set_counts`); the empty set has entropy 0."""
     full = [s for s in sets if s]
-    counts = binned.groupingSets([[F.col(c) for c in s] for s in full], *[F.col(c) for c in columns]).agg(F.grouping_id().alias("id"), F.count(F.lit(1)).alias("n"))
     h = F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")
-    by = counts.groupBy("id").agg((h / math.log(base)).alias("h"))
-    # Bit i of the id, from the last column on, is set where the column is not in the set.
-    ids = {_set_name(s): sum(1 << i for i, c in enumerate(reversed(columns)) if c not in s) for s in full}
-    row = by.agg(*[F.max(F.when(F.col("id") == k, F.col("h"))).alias(name) for name, k in ids.items()])
+    by = set_counts(binned, full).groupBy("id").agg((h / math.log(base)).alias("h"))
+    row = by.agg(*[F.max(F.when(F.col("id") == k, F.col("h"))).alias(_set_name(s)) for k, s in enumerate(full)])
     return row.withColumn(_set_name(()), F.lit(0.0))
 
 

@@ -60,3 +60,32 @@ def test_links_of_independent_columns(spark):
     assert info.link_strength(t, s, []).count() == 0
     with pytest.raises(ValueError):
         info.link_strength(t, s, [("a", "b")], "x")
+
+
+def test_cells_of_sets_are_rolled_up(spark):
+    rng = np.random.default_rng(4)
+    rows = [tuple(None if v == 3 else int(v) for v in rng.integers(0, 4, 4)) for _ in range(600)]
+    t = spark.createDataFrame(rows, "a int, b int, c int, d int").selectExpr("a", "b", "c", "d")
+    names = "abcd"
+    for sets in (["abcd", "ab", "a", "d", "bcd"], ["ab", "a", "bc", "b", "cd", "d"], ["a", "b"], ["abc"], []):
+        got = {}
+        for r in info.set_counts(t, [tuple(s) for s in sets]).collect():
+            got.setdefault(r["id"], []).append(r["n"])
+        for k, s in enumerate(sets):
+            cells = {}
+            for row in rows:
+                key = tuple(row[names.index(c)] for c in s)
+                cells[key] = cells.get(key, 0) + 1
+            # A null is a level of its own, and no column of another set splits a cell.
+            assert sorted(got[k]) == sorted(cells.values())
+        assert len(got) == len(sets)
+    h = info.set_entropies(t, [("a", "b"), ("a",), ()]).first()
+    p = np.array([sum(r[0] == v for r in rows) for v in (None, 0, 1, 2)]) / 600
+    assert h["h_"] == 0 and abs(h["h_a"] + (p * np.log2(p)).sum()) < 1e-12
+
+
+def test_one_family_needs_no_expand(spark):
+    t = spark.range(100).selectExpr("cast(id % 3 as int) a", "cast(id % 4 as int) b", "cast(id % 5 as int) c")
+    plan = info.set_entropies(t, [("a", "b", "c"), ("a", "b"), ("c",)])._jdf.queryExecution().optimizedPlan().toString()
+    # Cells are multiplied (Generate), above the rows' aggregate; rows aren't.
+    assert "Expand" not in plan and plan.index("Generate") < plan.rindex("Aggregate")
