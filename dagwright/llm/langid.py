@@ -22,6 +22,8 @@ ORDERS = (1, 2, 3)
 #: Languages whose model is broadcast at once, 4 * BUCKETS bytes each (16 MB);
 #: more are scored one such block after another.
 TOGETHER = 64
+#: Languages whose counts a task holds at once, 8 * BUCKETS bytes each (64 MB).
+HELD = 128
 #: Characters that are worked on at once.
 BLOCK = 1 << 18
 UNKNOWN = "und"
@@ -138,19 +140,27 @@ class LanguageModel:
 
 
 def _counts(batches):
-    """(lang, bucket, n) of a task's texts; bucket -1 counts the texts."""
+    """(lang, bucket, n) of a task's texts; bucket -1 counts the texts. A task holds
+    HELD languages at most; beyond, it sends on what it counted and begins anew."""
     counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS + 1, np.int64))
+
+    def sent():
+        for lang, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+        counts.clear()
+
     for batch in sliced(batches):
         by = defaultdict(list)
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             by[lang].append(text or "")
         for lang, texts in by.items():
+            if lang not in counts and len(counts) >= HELD:
+                yield from sent()
             counts[lang][BUCKETS] += len(texts)
             for a, b in _blocks(texts):
                 counts[lang][:BUCKETS] += np.bincount(_grams(texts[a:b])[1], minlength=BUCKETS)
-    for lang, n in counts.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+    yield from sent()
 
 
 @dataclass(frozen=True)

@@ -1,6 +1,7 @@
 """Line dedup, mixing, language ID, quality, LM scoring, BPE, chat, HTML: cases and brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -163,6 +164,69 @@ def test_fit_tells_unlearned_languages(spark):
     assert sum(x["fit"] > -3.5 for x in got.values()) == len(got)
 
 
+def bucket_of(gram):
+    """The bucket of one n-gram, in plain integers."""
+    h = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+    for c in gram:
+        h = (h ^ ord(c)) * 0x85EBCA6B & 0xFFFFFFFF
+        h ^= h >> 15
+    return (h * 0xC2B2AE35 & 0xFFFFFFFF) >> 16
+
+
+def grams_of(text):
+    s = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in (text or '').lower()).split())} "
+    return [bucket_of(s[i : i + k]) for k in (1, 2, 3) for i in range(len(s) - k + 1) if s[i : i + k].strip()] if s.strip() else []
+
+
+def test_language_training_is_brute_force(spark, monkeypatch):
+    r = random.Random(7)
+    alphabets = {"a": "abcde ", "b": "cdefg é", "c": "ghß1 ab", "d": "xyzab. "}
+    rows_ = [(i, "".join(r.choice(alphabets[x]) for _ in range(r.randrange(60))), x) for i in range(160) for x in [r.choice("aabcd")]]
+    rows_ += [(900, None, "a"), (901, "", "b"), (902, "12", "c"), (903, "abc", None)]
+    t = spark.createDataFrame(rows_, "doc_id long, text string, lang string").repartition(2)
+    docs, counts = Counter(), {x: Counter() for x in alphabets}
+    for _, text, lang in rows_:
+        if lang:
+            docs[lang] += 1
+            counts[lang].update(grams_of(text))
+
+    def judged(text):
+        grams = grams_of(text)
+        if not grams:
+            return "und", 0.0
+        weight = {}
+        for x in sorted(alphabets):
+            whole = sum(counts[x].values()) + 0.1 * 65536
+            weight[x] = math.log(docs[x] / sum(docs.values())) + sum(math.log((counts[x][g] + 0.1) / whole) for g in grams)
+        best = max(sorted(weight), key=weight.get)
+        return best, 1 / sum(math.exp(v - weight[best]) for v in weight.values())
+
+    # Also with tasks that hold one language at a time.
+    for held in (langid.HELD, 1):
+        monkeypatch.setattr(langid, "HELD", held)
+        model = langid.train(t)
+        assert model.names == sorted(alphabets) and [int(n) for n in model.docs] == [docs[x] for x in model.names]
+        assert [int(n) for n in model.grams] == [sum(counts[x].values()) for x in model.names]
+        got = {x["doc_id"]: x for x in langid.predict(t, model).collect()}
+        for i, text, _ in rows_:
+            lang, p = judged(text)
+            assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - p) < 1e-3
+
+
+def test_language_counts_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "HELD", 3)
+    langs = [f"l{i % 10}" for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(["ab"] * 200)], names=["lang", "text"])
+    total = Counter()
+    for out in langid._counts([batch]):
+        for lang, bucket, n in zip(*(out.column(k).to_pylist() for k in range(3)), strict=True):
+            total[lang, bucket] += n
+    assert {k[0] for k in total} == set(langs) and all(total[x, -1] == 20 for x in set(langs))
+    assert sum(n for (x, b), n in total.items() if b >= 0) == 200 * len(grams_of("ab"))
+
+
 def test_language_scores_are_brute_force():
     r = random.Random(0)
     texts = ["".join(r.choice("ab cé1") for _ in range(r.randrange(30))) for _ in range(50)]
