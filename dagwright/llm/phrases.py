@@ -235,7 +235,9 @@ def count_level(blocks: DataFrame, k: int, tables: list) -> DataFrame:
         for s in range(0, len(n), 1 << 15):
             part = found[s : s + (1 << 15)]
             phrases = pc.binary_join_element_wise(*[words.take(pa.array(part[:, i])) for i in range(k)], pa.scalar(" "))
-            yield pa.RecordBatch.from_arrays([names.take(langs.take(pa.array(part[:, 0]))), phrases, pa.array(n[s : s + (1 << 15)], pa.int64())], names=["lang", "phrase", "n"])
+            # One string of both is a smaller row to shuffle; no phrase has a line feed.
+            keys = pc.binary_join_element_wise(phrases, names.take(langs.take(pa.array(part[:, 0]))), pa.scalar("\n"))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n[s : s + (1 << 15)], pa.int64())], names=["key", "n"])
 
     def rows(batches):
         bits = [_table(t, len(tables)) for t in tables]
@@ -244,7 +246,9 @@ def count_level(blocks: DataFrame, k: int, tables: list) -> DataFrame:
                 yield from count(row, bits)
             pa.default_memory_pool().release_unused()
 
-    return blocks.drop("n").mapInArrow(rows, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    counted = blocks.drop("n").mapInArrow(rows, "key string, n long").groupBy("key").agg(F.sum("n").alias("f"))
+    phrase = F.substring_index("key", "\n", 1)
+    return counted.select(F.expr("substring(key, locate('\n', key) + 1)").alias("lang"), phrase.alias("phrase"), "f")
 
 
 def level_tables(documents: DataFrame, longest: int = 4, least: int = 30) -> tuple[list[DataFrame], DataFrame]:
